@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gnomon.llm import cutoff, encoding, formatting, leaks, survivor
+from gnomon.llm import cutoff, encoding, formatting, leaks, near, survivor
 from gnomon.llm.consistent import lookalikes
 from gnomon.session import table
 
 
+def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    quotes, candidates = table(spark, sf, "quotes"), table(spark, sf, "scanned_candidates")
+    rows = quotes.select(F.col("quote_id").alias("id"), "quote").unionByName(candidates.select(F.col("cand_id").alias("id"), "quote"))
+    return near.near_pairs(rows, "id", "quote")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_records(*_near(spark, sf))
+
+
+def p2_links(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record: its class (records with the same words) and the number of classes that it is linked to."""
+    links, members = _near(spark, sf)
+    ends = F.explode(F.array("node_a", "node_b")).alias("node")
+    return members.select("id", F.col("node").alias("class_id")).join(links.select(ends).groupBy(F.col("node").alias("class_id")).agg(F.count("*").alias("links")), "class_id", "left").fillna(0, ["links"])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes(table(spark, sf, "quotes"), "quote_id", ["quote", "time_text"]).filter(F.size("classes") > 0).select("quote_id", "field_name")
 
@@ -71,7 +88,7 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_consistent, p5_found, p5_rates, p6_found, p6_passages, p7_found, p7_fused, p8_ids, p9_found, p9_spans, p9_clean)
+    f.__name__: f for f in (p2_found, p2_links, p3_found, p3_consistent, p5_found, p5_rates, p6_found, p6_passages, p7_found, p7_fused, p8_ids, p9_found, p9_spans, p9_clean)
 }
 
 # What p3 counts as a change, for DuckDB's regular expressions.
@@ -84,18 +101,20 @@ _INVISIBLE = _SUSPECT.split("|")[0]
 
 
 def _sql_letters(text: str) -> str:
-    """Letters and digits of the consistent form, but with every look-alike as its Latin letter: equal exactly where the forms are equal."""
+    """Letters and digits in lower case, with one letter for all that look alike in either case: equal where the consistent forms are equal, and else only by a freak of two whole passages."""
     from gnomon.llm.consistent import CYRILLIC_LOOKS, GREEK_LOOKS
 
     wide = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94) if chr(0x21 + i).isalnum()}
-    table_ = CYRILLIC_LOOKS | GREEK_LOOKS | wide
+    one: dict[str, str] = {"ς": "σ"}
+    for a, b in (CYRILLIC_LOOKS | GREEK_LOOKS | wide).items():
+        a, b = a.lower(), b.lower()
+        a, b = one.get(a, a), one.get(b, b)
+        one = {k: b if v == a else v for k, v in one.items()} | {a: b}
+    one = {k: v for k, v in one.items() if k != v}
     bare = f"regexp_replace(nfc_normalize({text}), '{_INVISIBLE}', '', 'g')"
     for ligature, letters in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}.items():
         bare = f"replace({bare}, '{ligature}', '{letters}')"
-    mapped = f"lower(translate({bare}, '{''.join(table_)}', '{''.join(table_.values())}'))"
-    mapped = f"translate({mapped}, 'ς', 'σ')"
-    lower = {k.lower(): v.lower() for k, v in table_.items() if len(k.lower()) == 1}
-    return f"regexp_replace(translate({mapped}, '{''.join(lower)}', '{''.join(lower.values())}'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
+    return f"regexp_replace(translate(lower({bare}), '{''.join(one)}', '{''.join(one.values())}'), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 
 
 _CANON = f"""SELECT *, min(quote_id) OVER (PARTITION BY canon) AS first_id FROM (
