@@ -41,7 +41,7 @@ WORD_FORMS = {
 }
 ROMAN = {"1": "i", "2": "ii", "3": "iii", "4": "iv", "5": "v", "6": "vi", "7": "vii", "8": "viii", "9": "ix", "10": "x"}
 HONORIFICS = frozenset("sir dr rev capt prof mr mrs miss ms lady lord col gen lt maj hon dame fr saint".split())
-ORGANISATION = frozenset("of and the for company press society association university department committee brotherhood railway observatory institute college council club guild board office library museum".split())
+ORGANISATION = frozenset("of and the for company press society association university department committee brotherhood railway observatory institute college council club guild board office library museum historical literary printing royal".split())
 NOBODY = frozenset("anon anonymous unknown none null nobody na n/a various untitled - ? unsigned author".split())
 # Fixed values end.
 
@@ -84,7 +84,7 @@ def parse(field: str, name: str) -> tuple[str, str, bool] | None:
         return None
     words = [w for w in re.findall(r"[^\W_]+|&", text.replace("'", "")) if w]
     written = token_form(words)
-    if any(w in ORGANISATION for w in [*words, *written]) or "&" in words:
+    if any(w in ORGANISATION or len(w) >= 6 and any(len(o) >= 6 and near(w, o) for o in ORGANISATION) for w in [*words, *written]) or "&" in words:
         return "tokens", " ".join(written), False
     if "," in text:
         last, _, given = text.partition(",")
