@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +40,8 @@ SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 WIDE = "０-９Ａ-Ｚａ-ｚ"
 LIGATURES = "ﬀ-ﬆﬓ-ﬗ"
 MARKS = "\u0300-\u036f"
-#: Java: a text without a match is in its consistent form already.
-SUSPECT = (
-    f"[{INVISIBLE}{SPACES}{WIDE}{LIGATURES}{MARKS}]"
-    r"|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]|[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}]\p{IsLatin}"
-)
+#: Java, quick: characters beyond ASCII, Latin letters and typographic marks. A text without any is in its consistent form already; Python looks at the others.
+SUSPECT = "[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u2010-\\u2027\\u2030-\\u205e]"
 RESULT = T.StructType([T.StructField("form", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType()))])
 
 #: Joiners that Indic and Arabic spelling and emoji need.
@@ -51,7 +49,9 @@ _join_controls = re.compile("(?<=[\u0900-\u0dff\u0600-ۿက-႟ក-\u17ff])[\u20
 _invisible, _spaces = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{SPACES}]")
 _wide_run, _wide = re.compile("[！-～]+"), re.compile(f"[{WIDE}]")
 _ligature, _marked = re.compile(f"[{LIGATURES}]"), re.compile(f"\\S[{MARKS}]+")
+_foreign = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _word = re.compile(r"[^\W\d_]+")
+_other = regex.compile(r"[^\p{L}\p{Nd}]+")
 
 
 @lru_cache(maxsize=65536)
@@ -131,7 +131,7 @@ def consistent(text: str | None, model: Bigrams) -> tuple[str | None, list[str]]
             classes.append("mixed_script")
         return read
 
-    if not held.isascii():
+    if _foreign.search(held):
         held = _word.sub(settle, held)
     return held, list(dict.fromkeys(classes))
 
@@ -177,10 +177,16 @@ def with_form(df: DataFrame, column: str, model: Bigrams, form: str = "form", cl
     return df.drop(folded)
 
 
-def letters(form: Column) -> Column:
+def letters(form: str) -> str:
     """The letters and digits of a consistent form, ignoring case."""
-    low = F.regexp_replace(F.lower(form), "[^\\p{L}\\p{Nd}]+", "")
-    return F.replace(F.translate(low, "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return _other.sub("", form.lower()).replace("\u03c2", "\u03c3").replace("\u00df", "ss")
+
+
+def canonical(form: str) -> str:
+    """What copies share: the letters of a text, or the sorted letters of an unsplit record's fields."""
+    if "|" in form:
+        return "|".join(sorted(filter(None, map(letters, form.split("|")))))
+    return letters(form)
 
 
 def lookalikes(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:

@@ -13,45 +13,67 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.consistent import Bigrams, bigram_model, letters, with_form
+from gnomon.llm.consistent import bigram_model, canonical, with_form
 from gnomon.session import materialize
 
 BUCKET_ROWS = 200_000  #: most combined rows of a bucket, what one trie may hold
 FIRST_BYTES = 4
 STRIDE = 16  #: bytes of an edge of the trie
 COMBINE_ROWS = 100_000  #: distinct texts held while combining, then passed on
-_combined = pa.schema([("canon", pa.string()), ("copies", pa.int64()), ("first_id", pa.int64())])
+_counted = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("first_id", pa.int64())])
 
 
-def with_canon(df: DataFrame, column: str, model: Bigrams) -> DataFrame:
-    """``df`` with ``canon``: "" for a text without letters and digits, null for a null."""
-    fields = F.transform(F.split("form", "\\|"), letters)
-    many = F.array_join(F.array_sort(F.filter(fields, lambda x: x != "")), "|")
-    df = with_form(df, column, model, "form")
-    return df.withColumn("canon", F.when(F.contains("form", F.lit("|")), many).otherwise(letters(F.col("form"))))
+def key(canon: bytes) -> tuple[int, int]:
+    """128 bits to join on instead of the text."""
+    k = xxhash.xxh3_128_intdigest(canon)
+    return (k >> 64) - (1 << 63), (k & (1 << 64) - 1) - (1 << 63)
 
 
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side: rows of (canon, id) to one row for each text and partition, or more if it holds very many texts."""
+def keyed(df: DataFrame, id_column: str, keep: tuple[str, ...]) -> DataFrame:
+    """One pass over (id, form, kept columns): each row with its key, and for each text and task one row (canon, copies, first_id), or more if a task holds very many texts. Forms without letters and digits are left out."""
+    plain = df.select(F.col(id_column).cast("long").alias(id_column), "form", *keep).filter("form is not null")
+    fields = [f"{n} {t}" for n, t in plain.drop("form").dtypes] + ["k1 bigint", "k2 bigint", "canon string", "copies bigint", "first_id bigint"]
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"canon": list(seen), "copies": [n for n, _ in seen.values()], "first_id": [i for _, i in seen.values()]}, schema=_combined)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        kinds: list[pa.Field] = []
 
-    seen: dict[str, list[int]] = {}
-    for batch in batches:
-        for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if held := seen.get(text):
-                held[0] += 1
-                held[1] = min(held[1], row)
-            else:
-                seen[text] = [1, row]
-        if len(seen) > COMBINE_ROWS:
-            yield flush()
+        def flush() -> pa.RecordBatch:
+            n = len(seen)
+            texts = [pa.array(list(seen), pa.string()), pa.array([c for c, _ in seen.values()], pa.int64()), pa.array([i for _, i in seen.values()], pa.int64())]
             seen.clear()
-    yield flush()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, f.type) for f in kinds), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *texts], names=names)
+
+        names: list[str] = []
+        for batch in batches:
+            kinds = [f for f in batch.schema if f.name != "form"]
+            names = [f.name for f in kinds] + ["k1", "k2", "canon", "copies", "first_id"]
+            place = batch.schema.get_field_index("form")
+            rows, keys = [], []
+            for i, (row, form) in enumerate(zip(batch.column(0).to_pylist(), batch.column(place).to_pylist())):
+                if canon := canonical(form):
+                    rows.append(i)
+                    keys.append(key(canon.encode()))
+                    if held := seen.get(canon):
+                        held[0] += 1
+                        held[1] = min(held[1], row)
+                    else:
+                        seen[canon] = [1, row]
+            kept = batch.take(pa.array(rows, pa.int64()))
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(f.name) for f in kinds), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names
+            )
+            if len(seen) > COMBINE_ROWS:
+                yield flush()
+        if seen:
+            yield flush()
+
+    return plain.mapInArrow(run, ", ".join(fields))
 
 
 def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -106,8 +128,8 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows sorted by bucket to the terminals with more than one copy, a trie at a time."""
 
     def full(trie: Trie) -> pa.RecordBatch:
-        found = [(t.decode(), n, i) for t, n, i in trie.terminals() if n > 1]
-        return pa.RecordBatch.from_pydict({"canon": [t for t, _, _ in found], "copies": [n for _, n, _ in found], "first_id": [i for _, _, i in found]}, schema=_combined)
+        found = [(*key(t), n, i) for t, n, i in trie.terminals() if n > 1]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] or [pa.array([], pa.int64())] * 4, schema=_counted)
 
     trie, at = Trie(), None
     for batch in batches:
@@ -119,26 +141,19 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield full(trie)
 
 
-def duplicate_groups(canon: DataFrame, id_column: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """canon, copies and first_id of each text that more than one row of ``canon`` holds. Rows without letters and digits are in no group."""
-    held = canon.filter("canon != ''").select("canon", F.col(id_column).cast("long"))
-    rows = materialize(held.mapInArrow(combine, "canon string, copies bigint, first_id bigint"))
-    routed = radix_buckets(rows, bucket_rows).select("bucket", "canon", "copies", "first_id")
-    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_buckets, "canon string, copies bigint, first_id bigint")
-
-
-def keyed(df: DataFrame) -> DataFrame:
-    """``df`` with two hashes of ``canon`` in its place: 128 bits to join on instead of the text."""
-    return df.withColumns({"k1": F.xxhash64("canon"), "k2": F.xxhash64("canon", F.lit("gnomon"))}).drop("canon")
+def duplicate_groups(texts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Key, copies and first_id of each text that more than one row holds, of combined rows (canon, copies, first_id)."""
+    routed = radix_buckets(texts, bucket_rows).select("bucket", "canon", "copies", "first_id")
+    return routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_buckets, "k1 bigint, k2 bigint, copies bigint, first_id bigint")
 
 
-def collapse(df: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def collapse(df: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row for each row of ``df`` that has copies: its id, first_id (the smallest of its group), copies, and the columns in ``keep``.
 
     Null texts and texts without letters and digits are copies of nothing. Rows that repeat entirely count as copies. An empty table gives no rows; other columns don't matter.
     """
     model = bigram_model(df.select(F.col(text_column).alias("t")))
-    canon = with_canon(df.select(id_column, text_column, *keep), text_column, model).select(id_column, *keep, "canon")
-    groups = materialize(keyed(duplicate_groups(canon.select("canon", id_column), id_column)))
-    rows = keyed(canon.filter("canon != ''"))
-    return rows.join(groups, ["k1", "k2"]).drop("k1", "k2")
+    formed = with_form(df.select(id_column, text_column, *keep), text_column, model, "form")
+    rows = materialize(keyed(formed, id_column, keep))
+    groups = materialize(duplicate_groups(rows.filter("canon is not null").select("canon", "copies", "first_id"), bucket_rows))
+    return rows.filter("canon is null").select(id_column, *keep, "k1", "k2").join(groups, ["k1", "k2"]).drop("k1", "k2")

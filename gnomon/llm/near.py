@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.consistent import bigram_model, letters, with_form
+from gnomon.llm.consistent import bigram_model, canonical, with_form
 from gnomon.session import materialize
 
 WORDS, SIMILARITY = 3, 0.6
@@ -35,6 +36,7 @@ SEEN_NODES = 500_000  #: nodes that a task remembers, to pass each on once
 PAIRS_AT_ONCE = 500_000
 FLUSH = 400_000  #: postings packed at once
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
+_gap = regex.compile(r"[^\p{L}\p{Nd}]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -80,17 +82,21 @@ class Shingler:
         return owner[first], tokens[first]
 
 
-def nodes_of(batch: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, list[str]]:
-    """The nodes of a batch (id, node, words) that this task hasn't met, and their words."""
+def nodes_of(batch: pa.RecordBatch, seen: set[int]) -> tuple[list[int | None], np.ndarray, list[str]]:
+    """The node of each row of a batch (id, form), null without words; and the nodes that this task hasn't met, with their words."""
     if len(seen) > SEEN_NODES:
         seen.clear()
+    every: list[int | None] = []
     nodes, texts = [], []
-    for node, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    for form in batch.column(1).to_pylist():
+        text = _gap.sub(" ", form.lower()).strip()
+        node = xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None
+        every.append(node)
         if text and node not in seen:
             seen.add(node)
             nodes.append(node)
             texts.append(text)
-    return np.array(nodes, np.int64), texts
+    return every, np.array(nodes, np.int64), texts
 
 
 def sketch(rows: DataFrame, words: int) -> tuple[np.ndarray, int]:
@@ -99,7 +105,7 @@ def sketch(rows: DataFrame, words: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, shingler, seen = np.zeros(SKETCH, np.int64), Shingler(words), set()
         for batch in batches:
-            _, texts = nodes_of(batch, seen)
+            texts = nodes_of(batch, seen)[2]
             if texts:
                 total += np.bincount((shingler(texts)[1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         if total.any():
@@ -205,10 +211,7 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
     """
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     formed = with_form(rows, "text", bigram_model(rows.select("text")), "form")
-    sequence = F.trim(F.regexp_replace(F.lower("form"), "[^\\p{L}\\p{Nd}]+", " "))
-    fields = F.array_sort(F.filter(F.transform(F.split("form", "\\|"), letters), lambda x: x != ""))
-    k = F.when(F.contains("form", F.lit("|")), F.xxhash64(F.array_join(fields, "|"))).otherwise(F.xxhash64(F.replace(F.col("words"), F.lit(" "), F.lit(""))))
-    texts = formed.select("id", "form", sequence.alias("words")).withColumn("k", k).filter("words != ''").select("id", F.xxhash64("words").alias("node"), "words", "k")
+    texts = formed.filter("form is not null").select("id", "form")
     counts, total = sketch(texts, words)
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(counts.astype("<u4").tobytes() if counts.max(initial=0) < 2**32 else np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
@@ -229,7 +232,7 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
             return pa.RecordBatch.from_pydict({"id": pa.nulls(n, pa.int64()), "node": pa.nulls(n, pa.int64()), "k": pa.nulls(n, pa.int64()), "tokens": pa.nulls(n, pa.list_(pa.int32())), "bucket": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
         for batch in batches:
-            nodes, held_texts = nodes_of(batch, seen)
+            every, nodes, held_texts = nodes_of(batch, seen)
             sets: dict[int, np.ndarray] = {}
             if held_texts:
                 owner, tokens = shingler(held_texts)
@@ -237,9 +240,10 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
                 low = ordered.astype(np.uint32).view(np.int32)
                 sets = {node: low[starts[i] : starts[i + 1]] for i, node in enumerate(nodes.tolist())}
                 waiting.append(postings)
-            lists = [sets.pop(node, None) for node in batch.column(1).to_pylist()]
+            lists = [sets.pop(node, None) for node in every]
+            same = [xxhash.xxh3_64_intdigest(canonical(form)) - (1 << 63) for form in batch.column(1).to_pylist()]
             n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "node": batch.column(1), "k": batch.column(3), "tokens": pa.array(lists, pa.list_(pa.int32())), "bucket": pa.nulls(n, pa.int64()), "blob": pa.nulls(n, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "node": pa.array(every, pa.int64()), "k": pa.array(same, pa.int64()), "tokens": pa.array(lists, pa.list_(pa.int32())), "bucket": pa.nulls(n, pa.int64()), "blob": pa.nulls(n, pa.binary())})
             if sum(map(len, waiting)) > FLUSH:
                 yield packed()
         if waiting:
@@ -273,7 +277,7 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
     common = F.size(F.array_intersect("set_a", "set_b"))
     alike = common / (F.size("set_a") + F.size("set_b") - common)
     links = candidates.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", alike.alias("similarity")).filter(F.col("similarity") >= similarity)
-    return links, made.filter("id is not null").select("id", "node", "k")
+    return links, made.filter("id is not null and node is not null").select("id", "node", "k")
 
 
 def near_records(links: DataFrame, members: DataFrame) -> DataFrame:
