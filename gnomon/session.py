@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,8 @@ def session(master: str = "local[8]", **conf: str) -> SparkSession:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """The table of that name, a parquet file or directory."""
+    """The table of that name, a parquet file or directory. Python workers then find this package where the driver found it, unless their path is set."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
