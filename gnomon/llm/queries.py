@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gnomon.llm import cutoff, encoding, formatting, leaks, near, survivor
+from gnomon.llm import cutoff, encoding, formatting, leaks, names, near, sentences, survivor
 from gnomon.llm.consistent import lookalikes
 from gnomon.session import table
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return names.resolve(table(spark, sf, "quotes"), {"author": "author", "title": "title"})
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.name_pairs(_names(spark, sf))
+
+
+def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every string with its entity's least spelling."""
+    found = _names(spark, sf)
+    return found.join(found.groupBy("field", "entity").agg(F.min("name").alias("entity_name"), F.count("*").alias("spellings")), ["field", "entity"]).select(F.col("field").alias("field_name"), "name", "entity_name", "spellings")
+
+
 def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     quotes, candidates = table(spark, sf, "quotes"), table(spark, sf, "scanned_candidates")
     rows = quotes.select(F.col("quote_id").alias("id"), "quote").unionByName(candidates.select(F.col("cand_id").alias("id"), "quote"))
@@ -87,8 +101,21 @@ def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf, "documents"), table(spark, sf, "semantic_golden_cases"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split(table(spark, sf, "documents"))
+
+
+def p10_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sentence with its number and text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    units = sentences.split(docs).distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char"))
+    texts = docs.filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return units.withColumn("sentence", place).join(texts, "doc_id").select("doc_id", "sentence", F.substring(F.col("text"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int")).alias("unit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_links, p3_found, p3_consistent, p5_found, p5_rates, p6_found, p6_passages, p7_found, p7_fused, p8_ids, p9_found, p9_spans, p9_clean)
+    f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_links, p3_found, p3_consistent, p5_found, p5_rates, p6_found, p6_passages, p7_found, p7_fused, p8_ids, p9_found, p9_spans, p9_clean, p10_found, p10_units)
 }
 
 # What p3 counts as a change, for DuckDB's regular expressions.
