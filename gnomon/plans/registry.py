@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.plans import problems
+from gnomon.plans import coverage_plans, problems, scalar_plans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES
-ORACLES: dict[str, str] = problems.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for _part in (problems, scalar_plans, coverage_plans):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
