@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gnomon.plans import coverage_plans, problems, scalar_plans
+from gnomon.plans import clock_plans, coverage_plans, problems, relation_plans, scalar_plans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (problems, scalar_plans, coverage_plans):
+for _part in (problems, scalar_plans, coverage_plans, relation_plans, clock_plans):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
