@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -51,6 +52,10 @@ _wide_run, _wide = re.compile("[！-～]+"), re.compile(f"[{WIDE}]")
 _ligature, _marked = re.compile(f"[{LIGATURES}]"), re.compile(f"\\S[{MARKS}]+")
 _foreign = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _word = re.compile(r"[^\W\d_]+")
+_suspect = re.compile("[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
+_gap = re.compile(r"[\W_]+")
+#: Numbers that are no digits, which Python counts among word characters.
+_odd = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0be6-\u0bff\u0f2a-\u0f33\u2070-\u218b\u2460-\u249b\u24ea-\u24ff\u2776-\u2793\u3007\u3021-\u3029\u3192-\u3195\u3220-\u3229\u3248-\u324f\u3251-\u325f\u3280-\u3289\u32b1-\u32bf\U00010107-\U0001ecff]")
 _other = regex.compile(r"[^\p{L}\p{Nd}]+")
 
 
@@ -86,16 +91,25 @@ class Bigrams:
         return max((s + self.step(p, ""), w) for p, (s, w) in paths.items())[1]
 
 
-def count_bigrams(text: str, into: Counter) -> None:
-    """Add the letter bigrams of ``text`` in words of one script."""
-    for (a, b), n in Counter(zip(" " + text, text + " ")).items():
-        x, y = script(a), script(b)
-        if x and x == y:
-            into[a, b] += n
-        elif x and not b.isalpha():
-            into[a, ""] += n
-        elif y and not a.isalpha():
-            into["", b] += n
+_CODES = 0x2000  #: code points below hold the four scripts
+
+
+def _alphabet() -> tuple[list[str], np.ndarray]:
+    """The letters of the four scripts in lower case, and for each code point its letter's number; 0 for any other."""
+    places: dict[str, int] = {}
+    codes = np.zeros(_CODES + 1, np.int32)
+    for code in range(_CODES):
+        ch = chr(code)
+        if ch.isalpha() and script(ch) and len(ch.lower()) == 1:
+            codes[code] = places.setdefault(ch.lower(), len(places) + 1)
+    return ["", *places], codes
+
+
+def count_bigrams(texts: list[str | None], total: np.ndarray, codes: np.ndarray) -> None:
+    """Add the letter bigrams of texts to the matrix ``total``; row and column 0 are a word's edge."""
+    points = np.frombuffer("\n".join(["", *filter(None, texts), ""]).encode("utf-32-le", "replace"), "<u4")
+    letters_ = codes[np.minimum(points, _CODES)]
+    total += np.bincount(letters_[:-1] * len(total) + letters_[1:], minlength=total.size).reshape(total.shape)
 
 
 def consistent(text: str | None, model: Bigrams) -> tuple[str | None, list[str]]:
@@ -140,10 +154,14 @@ def bigram_model(*texts: DataFrame) -> Bigrams:
     """Bigrams of every text of one-column frames. Only pairs of lower-case letters of one of four scripts, or of such a letter and a word's edge, are kept: some hundred thousand pairs at most, however large the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        alphabet, codes = _alphabet()
+        total = np.zeros((len(alphabet), len(alphabet)), np.int64)
         for batch in batches:
-            count_bigrams("\n".join(x for x in batch.column(0).to_pylist() if x).lower(), total)
-        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in total], "b": [b for _, b in total], "n": list(total.values())}, schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+            count_bigrams(batch.column(0).to_pylist(), total, codes)
+        pairs = [(alphabet[i], alphabet[j], int(total[i, j])) for i, j in np.argwhere(total) if i or j]
+        pairs = [(a, b, n) for a, b, n in pairs if not a or not b or script(a) == script(b)]
+        columns = list(zip(*pairs)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["a", "b", "n"])
 
     parts = [df.mapInArrow(counted, "a string, b string, n bigint") for df in texts]
     union = parts[0]
@@ -177,9 +195,15 @@ def with_form(df: DataFrame, column: str, model: Bigrams, form: str = "form", cl
     return df.drop(folded)
 
 
+def words_of(form: str) -> str:
+    """The words of a consistent form, in lower case, with a space between."""
+    low = form.lower()
+    return (_other.sub(" ", low) if _odd.search(low) else _gap.sub(" ", low)).strip()
+
+
 def letters(form: str) -> str:
     """The letters and digits of a consistent form, ignoring case."""
-    return _other.sub("", form.lower()).replace("\u03c2", "\u03c3").replace("\u00df", "ss")
+    return words_of(form).replace(" ", "").replace("\u03c2", "\u03c3").replace("\u00df", "ss")
 
 
 def canonical(form: str) -> str:
@@ -189,6 +213,16 @@ def canonical(form: str) -> str:
     return letters(form)
 
 
+class Folder:
+    """Consistent forms in a Python worker, made from the model's broadcast counts; a text without any suspect character is its own."""
+
+    def __init__(self, counts: dict[tuple[str, str], int]) -> None:
+        self.model = Bigrams(counts)
+
+    def __call__(self, text: str) -> str:
+        return consistent(text, self.model)[0] if not text.isascii() and _suspect.search(text) else text
+
+
 def lookalikes(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
     """One row per text field: its consistent form and the kinds of change it needed.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.consistent import bigram_model, canonical, with_form
+from gnomon.llm.consistent import Folder, bigram_model, canonical
 from gnomon.session import materialize
 
 BUCKET_ROWS = 200_000  #: most combined rows of a bucket, what one trie may hold
@@ -33,12 +33,14 @@ def key(canon: bytes) -> tuple[int, int]:
     return (k >> 64) - (1 << 63), (k & (1 << 64) - 1) - (1 << 63)
 
 
-def keyed(df: DataFrame, id_column: str, keep: tuple[str, ...]) -> DataFrame:
-    """One pass over (id, form, kept columns): each row with its key, and for each text and task one row (canon, copies, first_id), or more if a task holds very many texts. Forms without letters and digits are left out."""
-    plain = df.select(F.col(id_column).cast("long").alias(id_column), "form", *keep).filter("form is not null")
-    fields = [f"{n} {t}" for n, t in plain.drop("form").dtypes] + ["k1 bigint", "k2 bigint", "canon string", "copies bigint", "first_id bigint"]
+def keyed(df: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...]) -> DataFrame:
+    """One pass over (id, text, kept columns): each row with its key, and for each text and task one row (canon, copies, first_id), or more if a task holds very many texts. Texts without letters and digits are left out."""
+    plain = df.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).alias("__text"), *keep).filter("__text is not null")
+    shared = df.sparkSession.sparkContext.broadcast(bigram_model(plain.select("__text")).counts)
+    fields = [f"{n} {t}" for n, t in plain.drop("__text").dtypes] + ["k1 bigint", "k2 bigint", "canon string", "copies bigint", "first_id bigint"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Folder(shared.value)
         seen: dict[str, list[int]] = {}
         kinds: list[pa.Field] = []
 
@@ -50,12 +52,12 @@ def keyed(df: DataFrame, id_column: str, keep: tuple[str, ...]) -> DataFrame:
 
         names: list[str] = []
         for batch in batches:
-            kinds = [f for f in batch.schema if f.name != "form"]
+            kinds = [f for f in batch.schema if f.name != "__text"]
             names = [f.name for f in kinds] + ["k1", "k2", "canon", "copies", "first_id"]
-            place = batch.schema.get_field_index("form")
+            place = batch.schema.get_field_index("__text")
             rows, keys = [], []
-            for i, (row, form) in enumerate(zip(batch.column(0).to_pylist(), batch.column(place).to_pylist())):
-                if canon := canonical(form):
+            for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(place).to_pylist())):
+                if canon := canonical(fold(text)):
                     rows.append(i)
                     keys.append(key(canon.encode()))
                     if held := seen.get(canon):
@@ -152,8 +154,6 @@ def collapse(df: DataFrame, id_column: str, text_column: str, keep: tuple[str, .
 
     Null texts and texts without letters and digits are copies of nothing. Rows that repeat entirely count as copies. An empty table gives no rows; other columns don't matter.
     """
-    model = bigram_model(df.select(F.col(text_column).alias("t")))
-    formed = with_form(df.select(id_column, text_column, *keep), text_column, model, "form")
-    rows = materialize(keyed(formed, id_column, keep))
+    rows = materialize(keyed(df, id_column, text_column, keep))
     groups = materialize(duplicate_groups(rows.filter("canon is not null").select("canon", "copies", "first_id"), bucket_rows))
-    return rows.filter("canon is null").select(id_column, *keep, "k1", "k2").join(groups, ["k1", "k2"]).drop("k1", "k2")
+    return rows.filter("canon is null").select(F.col("__id").alias(id_column), *keep, "k1", "k2").join(groups, ["k1", "k2"]).drop("k1", "k2")

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.llm.consistent import bigram_model, canonical, with_form
+from gnomon.llm.consistent import Folder, bigram_model, canonical, words_of
 from gnomon.session import materialize
 
 WORDS, SIMILARITY = 3, 0.6
@@ -36,7 +36,7 @@ SEEN_NODES = 500_000  #: nodes that a task remembers, to pass each on once
 PAIRS_AT_ONCE = 500_000
 FLUSH = 400_000  #: postings packed at once
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
-_gap = regex.compile(r"[^\p{L}\p{Nd}]+")
+_made = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("k", pa.int64()), ("tokens", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -82,35 +82,51 @@ class Shingler:
         return owner[first], tokens[first]
 
 
-def nodes_of(batch: pa.RecordBatch, seen: set[int]) -> tuple[list[int | None], np.ndarray, list[str]]:
-    """The node of each row of a batch (id, form), null without words; and the nodes that this task hasn't met, with their words."""
-    if len(seen) > SEEN_NODES:
-        seen.clear()
-    every: list[int | None] = []
-    nodes, texts = [], []
-    for form in batch.column(1).to_pylist():
-        text = _gap.sub(" ", form.lower()).strip()
-        node = xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None
-        every.append(node)
-        if text and node not in seen:
-            seen.add(node)
-            nodes.append(node)
-            texts.append(text)
-    return every, np.array(nodes, np.int64), texts
-
-
-def sketch(rows: DataFrame, words: int) -> tuple[np.ndarray, int]:
-    """Estimated numbers of texts for each token, in ``SKETCH`` counters; and the number of tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, shingler, seen = np.zeros(SKETCH, np.int64), Shingler(words), set()
+def nodes(rows: DataFrame, words: int) -> DataFrame:
+    """One pass over (id, text): each row with its node and key (id, node, k); each node that a task meets with its tokens (node, tokens); and what the task counted of them (block, counts)."""
+    shared = rows.sparkSession.sparkContext.broadcast(bigram_model(rows.select("text")).counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, shingler, total = Folder(shared.value), Shingler(words), np.zeros(SKETCH, np.int64)
+        seen: set[int] = set()
+
+        def made(**columns: object) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _made], schema=_made)
+
         for batch in batches:
-            texts = nodes_of(batch, seen)[2]
+            if len(seen) > SEEN_NODES:
+                seen.clear()
+            ids, every, keys, new, texts = [], [], [], [], []
+            for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                form = fold(raw)
+                text = words_of(form)
+                if not text:
+                    continue
+                node = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                same = canonical(form) if "|" in form else text.replace(" ", "").replace("\u03c2", "\u03c3").replace("\u00df", "ss")
+                ids.append(row)
+                every.append(node)
+                keys.append(xxhash.xxh3_64_intdigest(same) - (1 << 63))
+                if node not in seen:
+                    seen.add(node)
+                    new.append(node)
+                    texts.append(text)
+            yield made(id=ids, node=every, k=keys)
             if texts:
-                total += np.bincount((shingler(texts)[1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                owner, tokens = shingler(texts)
+                total += np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+                yield made(node=new, tokens=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64))))
         if total.any():
             parts = np.split(np.minimum(total, 2**32 - 1).astype("<u4"), SKETCH_BLOCKS)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(SKETCH_BLOCKS), pa.int32()), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+            yield made(block=range(SKETCH_BLOCKS), counts=[x.tobytes() for x in parts])
+
+    return materialize(rows.mapInArrow(run, "id bigint, node bigint, k bigint, tokens array<bigint>, block int, counts binary"))
+
+
+def sketch(made: DataFrame) -> np.ndarray:
+    """Estimated numbers of texts for each token, summed over the tasks' counts: ``SKETCH`` counters, whatever the collection."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -120,16 +136,16 @@ def sketch(rows: DataFrame, words: int) -> tuple[np.ndarray, int]:
         if sums:
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
 
-    schema = "block int, counts binary"
     out = np.zeros(SKETCH, np.int64)
-    for r in rows.mapInArrow(count, schema).repartition(SKETCH_BLOCKS, "block").mapInArrow(add, schema).collect():
-        step = SKETCH // SKETCH_BLOCKS
+    step = SKETCH // SKETCH_BLOCKS
+    counted = made.filter("counts is not null").select("block", "counts")
+    for r in counted.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect():
         out[r.block * step : (r.block + 1) * step] = np.frombuffer(bytes(r.counts), "<i8")
-    return out, int(out.sum())
+    return out
 
 
-def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings of each text's prefix; and of each text its tokens' start and the tokens, in the global order."""
+def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Postings of each text's prefix."""
     freq = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
     order = np.lexsort((tokens, freq, owner))
     tokens, freq = tokens[order], freq[order].astype(np.float64)
@@ -163,7 +179,25 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: n
             copy["cell"] = low.astype(np.uint32) * np.uint32(n) + high + 1
             copy["own"] = low == high
             spread.append(copy)
-    return np.concatenate(spread), starts, tokens
+    return np.concatenate(spread)
+
+
+def packed(postings: np.ndarray) -> bytes:
+    """Postings column by column, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(postings[name]).tobytes() for name in POSTING.names)
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    out = np.zeros(sum(map(len, blobs)) // POSTING.itemsize, POSTING)
+    at = 0
+    for blob in blobs:
+        n, place = len(blob) // POSTING.itemsize, 0
+        for name in POSTING.names:
+            kind = POSTING[name]
+            out[name][at : at + n] = np.frombuffer(blob, kind, n, place)
+            place += n * kind.itemsize
+        at += n
+    return out
 
 
 def pairs_of(postings: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,56 +241,44 @@ def pairs_of(postings: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarr
 def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links (node_a, node_b, similarity) between different word sequences, and members (id, node, k: what copies share).
 
-    A text is its words in lower case, in consistent form. Null texts and those with fewer words than a shingle are linked to nothing; repeated rows are members of one node. Nodes are 64-bit hashes of the words, verified on 32-bit hashes of the shingles.
+    A text is its words in lower case, in consistent form. Null texts and those with fewer words than a shingle are linked to nothing; repeated rows are members of one node. Nodes are 64-bit hashes of the words, verified on 31-bit hashes of the shingles.
     """
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    formed = with_form(rows, "text", bigram_model(rows.select("text")), "form")
-    texts = formed.filter("form is not null").select("id", "form")
-    counts, total = sketch(texts, words)
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(counts.astype("<u4").tobytes() if counts.max(initial=0) < 2**32 else np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
-    buckets = max(16, -(-total // BUCKET_POSTINGS))
+    made = nodes(rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("text is not null"), words)
+    counts = sketch(made)
+    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
+    buckets = max(16, -(-int(counts.sum()) // BUCKET_POSTINGS))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shingler, seen = np.frombuffer(shared.value, "<u4"), Shingler(words), set()
+        held = np.frombuffer(shared.value, "<u4")
         waiting: list[np.ndarray] = []
 
-        def packed() -> pa.RecordBatch:
-            all_ = np.concatenate(waiting)
+        def blobs() -> pa.RecordBatch:
+            every = np.concatenate(waiting)
             waiting.clear()
-            to = ((mixed(all_["token"] + all_["cell"].astype(np.uint64) * _MIX[0])) % np.uint64(buckets)).astype(np.int64)
+            to = ((mixed(every["token"] + every["cell"].astype(np.uint64) * _MIX[0])) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             names, starts = np.unique(to[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(all_[order], starts[1:])]
-            n = len(names)
-            return pa.RecordBatch.from_pydict({"id": pa.nulls(n, pa.int64()), "node": pa.nulls(n, pa.int64()), "k": pa.nulls(n, pa.int64()), "tokens": pa.nulls(n, pa.list_(pa.int32())), "bucket": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([packed(x) for x in np.split(every[order], starts[1:])], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
-            every, nodes, held_texts = nodes_of(batch, seen)
-            sets: dict[int, np.ndarray] = {}
-            if held_texts:
-                owner, tokens = shingler(held_texts)
-                postings, starts, ordered = prefixes(owner, tokens, nodes, held, similarity)
-                low = ordered.astype(np.uint32).view(np.int32)
-                sets = {node: low[starts[i] : starts[i + 1]] for i, node in enumerate(nodes.tolist())}
-                waiting.append(postings)
-            lists = [sets.pop(node, None) for node in every]
-            same = [xxhash.xxh3_64_intdigest(canonical(form)) - (1 << 63) for form in batch.column(1).to_pylist()]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "node": pa.array(every, pa.int64()), "k": pa.array(same, pa.int64()), "tokens": pa.array(lists, pa.list_(pa.int32())), "bucket": pa.nulls(n, pa.int64()), "blob": pa.nulls(n, pa.binary())})
+            lists = batch.column(1)
+            tokens = np.asarray(lists.flatten()).view(np.uint64)
+            sizes = np.asarray(pc.list_value_length(lists))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            waiting.append(prefixes(owner, tokens, np.asarray(batch.column(0)), held, similarity))
             if sum(map(len, waiting)) > FLUSH:
-                yield packed()
+                yield blobs()
         if waiting:
-            yield packed()
+            yield blobs()
 
-    made = materialize(texts.mapInArrow(post, "id bigint, node bigint, k bigint, tokens array<int>, bucket bigint, blob binary"))
+    posted = made.filter("tokens is not null").select("node", "tokens").mapInArrow(post, "bucket bigint, blob binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
         at = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            for a, b, need in pairs_of(np.frombuffer(b"".join(blobs), POSTING), similarity):
+            for a, b, need in pairs_of(unpacked(blobs), similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["node_a", "node_b", "need"])
 
         for batch in batches:
@@ -269,15 +291,15 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
         if blobs:
             yield from out()
 
-    posted = made.filter("blob is not null").select("bucket", "blob")
     met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node_a bigint, node_b bigint, need int")
     candidates = met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("node_a", "node_b")
-    sets = made.filter("tokens is not null").select("node", "tokens").dropDuplicates(["node"])
+    short = F.transform("tokens", lambda x: F.shiftrightunsigned(x, 33).cast("int"))  # 31 bits to verify on
+    sets = made.filter("tokens is not null").select("node", short.alias("tokens")).dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("node_a"), F.col("tokens").alias("set_a")), sets.select(F.col("node").alias("node_b"), F.col("tokens").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     alike = common / (F.size("set_a") + F.size("set_b") - common)
     links = candidates.join(a, "node_a").join(b, "node_b").select("node_a", "node_b", alike.alias("similarity")).filter(F.col("similarity") >= similarity)
-    return links, made.filter("id is not null and node is not null").select("id", "node", "k")
+    return links, made.filter("id is not null").select("id", "node", "k")
 
 
 def near_records(links: DataFrame, members: DataFrame) -> DataFrame:
