@@ -34,6 +34,8 @@ CELL_TEXTS = 2_000  #: texts of one token in a block of its grid
 BUCKET_POSTINGS = 500_000
 SEEN_NODES = 500_000  #: nodes that a task remembers, to pass each on once
 PAIRS_AT_ONCE = 500_000
+TOKEN_BYTES = 5  #: of a token in a posting: in one bucket two tokens that agree in these are as good as never different, and verification settles them
+BROADCAST_NODES = 4_000_000  #: candidate nodes (8 bytes each) up to which they are broadcast to the sets; beyond, the sets are joined as they are
 FLUSH = 400_000  #: postings packed at once
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
 _made = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("k", pa.int64()), ("tokens", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
@@ -183,16 +185,23 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: n
 
 
 def packed(postings: np.ndarray) -> bytes:
-    """Postings column by column, which compresses better than row by row."""
-    return b"".join(np.ascontiguousarray(postings[name]).tobytes() for name in POSTING.names)
+    """Postings column by column, which compresses better than row by row; of a token ``TOKEN_BYTES``."""
+    columns = [np.ascontiguousarray(postings[name]) for name in POSTING.names]
+    columns[0] = columns[0].view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+    return b"".join(c.tobytes() for c in columns)
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
-    out = np.zeros(sum(map(len, blobs)) // POSTING.itemsize, POSTING)
+    width = POSTING.itemsize - 8 + TOKEN_BYTES
+    out = np.zeros(sum(map(len, blobs)) // width, POSTING)
     at = 0
     for blob in blobs:
-        n, place = len(blob) // POSTING.itemsize, 0
-        for name in POSTING.names:
+        n = len(blob) // width
+        tokens = np.zeros((n, 8), np.uint8)
+        tokens[:, :TOKEN_BYTES] = np.frombuffer(blob, np.uint8, n * TOKEN_BYTES).reshape(n, TOKEN_BYTES)
+        out["token"][at : at + n] = tokens.view("<u8").ravel()
+        place = n * TOKEN_BYTES
+        for name in POSTING.names[1:]:
             kind = POSTING[name]
             out[name][at : at + n] = np.frombuffer(blob, kind, n, place)
             place += n * kind.itemsize
@@ -292,9 +301,13 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
             yield from out()
 
     met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node_a bigint, node_b bigint, need int")
-    candidates = met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("node_a", "node_b")
+    candidates = materialize(met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("node_a", "node_b"))
     short = F.transform("tokens", lambda x: F.shiftrightunsigned(x, 33).cast("int"))  # 31 bits to verify on
-    sets = made.filter("tokens is not null").select("node", short.alias("tokens")).dropDuplicates(["node"])
+    sets = made.filter("tokens is not null").select("node", short.alias("tokens"))
+    ends = candidates.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+    if ends.count() <= BROADCAST_NODES:
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
+    sets = sets.dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("node_a"), F.col("tokens").alias("set_a")), sets.select(F.col("node").alias("node_b"), F.col("tokens").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     alike = common / (F.size("set_a") + F.size("set_b") - common)
