@@ -115,17 +115,18 @@ def survivors(rows: DataFrame, quality: Quality) -> DataFrame:
         F.max(F.struct(best.alias("best"), F.col("quote_id").alias("id")))["id"].alias("last_id"),
         (-F.max(F.struct(best.alias("best"), (-F.col("quote_id")).alias("id")))["id"]).alias("lowest_id"),
         F.max("copies").alias("copies"),
+        (F.min("quote_id") < F.max("quote_id")).alias("several"),
         *(F.max(v).alias(f"most_{k}") for k, v in ranks.items()),
     )
     whole = (F.col("top.best.marked") == F.col("most_marked")) & (F.col("top.best.listed") == F.col("most_listed")) & (F.col("top.best.at") == F.col("most_at"))
     alone = F.col("last_id") == F.col("lowest_id")  # no other row equals the best in every field
-    return found.select("first_id", "copies", (-F.col("top.id")).alias("quote_id"), (whole & alone).alias("dominant"), F.col("top.trust").alias("trust"))
+    return found.select("first_id", "copies", (-F.col("top.id")).alias("quote_id"), (whole & alone & F.col("several")).alias("dominant"), F.col("top.trust").alias("trust"))
 
 
 def best_rows(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """The survivor of each group of copies, with ``dominant`` and its source's ``trust``.
 
-    A null status, highlight or time is the worst of its field; a null or unlisted source name is one unlisted source. Rows that repeat entirely tie, so that none of them dominates. Empty tables give no rows.
+    A null status, highlight or time is the worst of its field; a null or unlisted source name is one unlisted source. A row that repeats entirely is one row, and alone dominates nothing. Empty tables give no rows.
     """
     rows, names = members(quotes, sources)
     return survivors(rows, infer(materialize(claims(rows)), names))
