@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -69,13 +70,17 @@ class Endings:
 
     def share(self, word: str, before: str) -> tuple[float, int]:
         """The share of the uses of ``word`` that end a sentence, and its uses; of a word hardly seen, the share after the word before it."""
+        word = unicodedata.normalize("NFKC", word)
         word = word.translate(_latin) if re.search("[A-Za-z]", word) else word
         i = slot(word.lower())
         if len(word) == 1 and word not in "aAI":
             return 0.0, 0
-        if self.used[i] >= 5:
-            return self.ends[i] / self.used[i], self.used[i]
         j = slot(before.lower())
+        if self.used[i] >= 5:
+            share = self.ends[i] / self.used[i]
+            if word.istitle() and before and self.next_used[j]:  # a name ends a sentence where names do
+                share = max(share, self.next_ends[j] / self.next_used[j])
+            return share, self.used[i]
         # a name that nobody repeats may end a sentence; a fragment in lower case is no word
         if word[:1].isupper() and not word.isupper() and self.next_used[j]:
             return self.next_ends[j] / self.next_used[j], 0
