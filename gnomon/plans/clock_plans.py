@@ -118,3 +118,62 @@ def c27_scan_documents(spark, sf):
     parts = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", r"\R\s*\R")).alias("paragraph", "text"))
     near = neighbours(parts, "doc_id", [F.asc("paragraph")], "text")
     return near.select("doc_id", "paragraph", F.length("before").alias("before"), F.length("behind").alias("behind"), F.explode(times(F.col("text"))).alias("r")).select("doc_id", "paragraph", "before", "behind", F.col("r.start").alias("start_char"), "r.text", "r.minute", "r.confidence")
+
+
+@query()
+def b26_b28_context(spark, sf):
+    """The context of each candidate's highlight in its passage, with scores and the first ground to reject it."""
+    from gnomon.functions.passages import context_column, ground_column
+
+    rows = table(spark, sf, "scanned_candidates").select("cand_id", "quote", context_column("quote", "highlight_start", "highlight_end").alias("c"), ground_column("quote").alias("ground"))
+    return rows.select("cand_id", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), "c.context_score", "c.literary_score", "c.reason", "ground")
+
+
+@query()
+def b49_b50_excerpts(spark, sf):
+    """Shorter forms of each quote around its highlight."""
+    from gnomon.functions.passages import excerpt_column
+
+    rows = table(spark, sf, "quotes").select("quote_id", F.posexplode(excerpt_column("quote", "highlight_start", "highlight_end")).alias("place", "e"))
+    return rows.select("quote_id", "place", "e.text", "e.highlight_start", "e.highlight_end")
+
+
+@query()
+def b29_sentence_of_highlight(spark, sf):
+    """The length of the sentence that holds a quote's highlight."""
+    from gnomon.functions.passages import span_column
+
+    rows = table(spark, sf, "quotes").filter("highlight_start is not null").select("quote_id", "highlight_start", "highlight_end", span_column("quote").alias("s"))
+    own = F.filter("s", lambda x: (x[0] <= F.col("highlight_start")) & (F.col("highlight_end") <= x[1]))
+    return rows.select("quote_id", F.when(F.size(own) > 0, own[0][1] - own[0][0]).alias("chars"))
+
+
+@query("SELECT a.provenance_id, lower(a.raw_title) = lower(q.title) AS same FROM quote_provenance a JOIN quotes q USING (quote_id) WHERE regexp_matches(a.raw_title, '^[A-Za-z ]+$') AND regexp_matches(q.title, '^[A-Za-z ]+$') AND a.raw_title NOT LIKE '%  %' AND q.title NOT LIKE '%  %' AND trim(a.raw_title) = a.raw_title AND trim(q.title) = q.title")
+def b56_same_when_shown(spark, sf):
+    """Titles of imports and quotes that look the same; the SQL knows those of plain letters."""
+    from gnomon.functions.passages import same_when_shown
+
+    p, q = table(spark, sf, "quote_provenance").select("provenance_id", "quote_id", "raw_title"), table(spark, sf, "quotes").select("quote_id", "title")
+    plain = F.col("raw_title").rlike("^[A-Za-z]+( [A-Za-z]+)*$") & F.col("title").rlike("^[A-Za-z]+( [A-Za-z]+)*$")
+    return p.join(q, "quote_id").filter(plain).select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
+
+
+@query()
+def c12_c16_claims(spark, sf):
+    """Whether each highlighted phrase is the time that its quote claims."""
+    from gnomon.functions.claims import judged
+
+    rows = table(spark, sf, "quotes").select("quote_id", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day")).alias("d"))
+    return rows.select("quote_id", "d.kind", "d.action", F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"), "d.reason")
+
+
+@query()
+def e19_prior_and_now(spark, sf):
+    """Reviewers' judgements beside what the phrase says now: counts of each pair."""
+    from gnomon.functions.claims import judged
+    from gnomon.operators.references import whole_number
+
+    prior = table(spark, sf, "english_v2_manual_adjudications").select(whole_number(F.col("quote_id")).alias("quote_id"), F.col("original_minute").alias("minute"), "adjudication_action").distinct()
+    held = table(spark, sf, "quotes").join(prior, "quote_id")
+    rows = held.select("adjudication_action", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute")).alias("d"))
+    return rows.groupBy("adjudication_action", "d.action", "d.kind").agg(F.count("*").alias("n"))
