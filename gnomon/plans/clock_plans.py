@@ -79,7 +79,7 @@ def c04_round_trip_relative(spark, sf):
     return text.select("event_id", F.explode(times(F.col("text"))).alias("r")).select("event_id", "r.minute")
 
 
-@query(f"SELECT event_id, o.minute AS minute FROM events, UNNEST([(hour(ts) % 12) * 60, (hour(ts) % 12) * 60 + 720]) AS o(minute) WHERE minute(ts) = 0")
+@query(f"SELECT event_id, CAST(o.minute AS INT) AS minute FROM events, UNNEST([(hour(ts) % 12) * 60, (hour(ts) % 12) * 60 + 720]) AS o(minute) WHERE minute(ts) = 0")
 def c06_round_trip_oclock(spark, sf):
     """Without a part of the day an hour is two minutes of the day."""
     text = made(spark, sf, lambda h, m: F.concat(F.lit("The clock struck; it was "), S.number_words(_twelve(h)), F.lit(" o’clock and raining."))).filter(F.col("m") % 60 == 0)

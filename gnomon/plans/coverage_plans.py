@@ -52,9 +52,10 @@ def d02_names_of_minutes(spark, sf):
     return rows.groupBy(F.col("minute_of_day").alias("minute")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("author"))), ";").alias("authors"), F.count_distinct(F.lower("title")).alias("titles"))
 
 
-@query(f"SELECT avg(usable) AS mean, median(usable) AS median, quantile_cont(usable, 0.1) AS p10, quantile_cont(usable, 0.25) AS p25, quantile_cont(usable, 0.75) AS p75, quantile_cont(usable, 0.9) AS p90, min(usable) AS least, max(usable) AS most FROM ({_COVER})")
+@query(f"SELECT round(avg(usable), 6) AS mean, round(median(usable), 6) AS median, round(quantile_cont(usable, 0.1), 6) AS p10, round(quantile_cont(usable, 0.25), 6) AS p25, round(quantile_cont(usable, 0.75), 6) AS p75, round(quantile_cont(usable, 0.9), 6) AS p90, min(usable) AS least, max(usable) AS most FROM ({_COVER})")
 def d05_d07_spread(spark, sf):
-    return C.spread(covered(spark, sf))
+    found = C.spread(covered(spark, sf))
+    return found.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes))
 
 
 @query(f"SELECT CAST(ceil(quantile_cont(usable, 0.9)) AS BIGINT) AS p90 FROM ({_COVER})")
@@ -84,13 +85,13 @@ def d10_top_titles(spark, sf):
 @query("SELECT arg_min(quote_id, (length(quote), quote_id)) AS shortest, min(length(quote)) AS least, arg_max(quote_id, (length(quote), -quote_id)) AS longest, max(length(quote)) AS most FROM quotes WHERE quote IS NOT NULL")
 def d11_extreme_quotes(spark, sf):
     n = F.length("quote")
-    return table(spark, sf, "quotes").filter("quote is not null").agg(F.min_by("quote_id", F.struct(n, F.col("quote_id"))).alias("shortest"), F.min(n).alias("least"), F.max_by("quote_id", F.struct(n, -F.col("quote_id"))).alias("longest"), F.max(n).alias("most"))
+    return table(spark, sf, "quotes").filter("quote is not null").agg(F.min_by("quote_id", F.struct(n, F.col("quote_id"))).alias("shortest"), F.min(n).cast("bigint").alias("least"), F.max_by("quote_id", F.struct(n, -F.col("quote_id"))).alias("longest"), F.max(n).cast("bigint").alias("most"))
 
 
-@query("SELECT source, count(*) AS candidates, count(*) FILTER (minute_of_day IS NOT NULL) AS certain, count(*) FILTER (possible_minute_am IS NOT NULL) AS open, count(DISTINCT title) AS titles, avg(context_score) AS context FROM scanned_candidates GROUP BY source")
+@query("SELECT source, count(*) AS candidates, count(*) FILTER (minute_of_day IS NOT NULL) AS certain, count(*) FILTER (possible_minute_am IS NOT NULL) AS open, count(DISTINCT title) AS titles, round(avg(context_score), 6) AS context FROM scanned_candidates GROUP BY source")
 def d12_d13_source_stats(spark, sf):
     return table(spark, sf, "scanned_candidates").groupBy("source").agg(
-        F.count("*").alias("candidates"), F.count_if(F.col("minute_of_day").isNotNull()).alias("certain"), F.count_if(F.col("possible_minute_am").isNotNull()).alias("open"), F.count_distinct("title").alias("titles"), F.avg("context_score").alias("context")
+        F.count("*").alias("candidates"), F.count_if(F.col("minute_of_day").isNotNull()).alias("certain"), F.count_if(F.col("possible_minute_am").isNotNull()).alias("open"), F.count_distinct("title").alias("titles"), F.round(F.avg("context_score"), 6).alias("context")
     )
 
 
@@ -179,7 +180,7 @@ def f09_fill_gain(spark, sf):
 
 @query(f"SELECT *, row_number() OVER (ORDER BY usable, total, authors, titles, minute) AS rank FROM ({_COVER})")
 def f01_target_rank(spark, sf):
-    return C.target_rank(covered(spark, sf))
+    return C.target_rank(covered(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"SELECT minute, usable, CASE WHEN usable <= 2 THEN 6 - usable WHEN usable <= 4 THEN 3 WHEN usable <= 6 THEN 2 ELSE 0 END AS band FROM ({_COVER})")

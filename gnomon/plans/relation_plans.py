@@ -109,9 +109,9 @@ def e11_union(spark, sf):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("SELECT s.source_id, (SELECT max(created_at) FROM quote_provenance p WHERE p.source_id = s.source_id) AS last_import, (SELECT count(*) FROM quote_provenance p WHERE p.source_id = s.source_id) AS imports FROM sources s")
+@query("SELECT s.source_id, (SELECT strftime(max(created_at), '%Y-%m-%d %H:%M:%S') FROM quote_provenance p WHERE p.source_id = s.source_id) AS last_import, (SELECT count(*) FROM quote_provenance p WHERE p.source_id = s.source_id) AS imports FROM sources s")
 def e12_scalar_subquery(spark, sf):
-    last = table(spark, sf, "quote_provenance").groupBy("source_id").agg(F.max("created_at").alias("last_import"), F.count("*").alias("imports"))
+    last = table(spark, sf, "quote_provenance").groupBy("source_id").agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last_import"), F.count("*").alias("imports"))
     return table(spark, sf, "sources").select("source_id").join(last, "source_id", "left").fillna(0, ["imports"])
 
 
@@ -145,7 +145,7 @@ def e20_latest_run(spark, sf):
     return O.latest(table(spark, sf, "import_runs").filter("run_status = 'COMPLETE'"), [F.desc("started_at"), F.desc("import_run_id")]).select("import_run_id")
 
 
-@query("SELECT doc_id, i - 1 AS place, lag(p, 1, '') OVER w AS before, p AS text, lead(p, 1, '') OVER w AS behind FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '(\\r?\\n){2,}') AS ps FROM documents WHERE text IS NOT NULL)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)")
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS place, lag(p, 1, '') OVER w AS before, p AS text, lead(p, 1, '') OVER w AS behind FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '(\\r?\\n){2,}') AS ps FROM documents WHERE text IS NOT NULL)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)")
 def f02_neighbours(spark, sf):
     parts = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", r"(\r?\n){2,}")).alias("place", "text"))
     return O.neighbours(parts, "doc_id", [F.asc("place")], "text")
