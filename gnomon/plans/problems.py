@@ -20,7 +20,7 @@ QUERIES = {f.__name__: f for f in (p4_found, p4_report)}
 
 
 def _orphans(rows: str, row_id: str, field: str, key: str, parent: str, parent_key: str, since: str) -> str:
-    return f"""SELECT DISTINCT '{rows}' AS table_name, r.{row_id} AS row_id, '{field}' AS field_name, CASE WHEN p.k IS NULL THEN 'missing' ELSE 'late' END AS ref_kind, strftime(r.created_at, '%Y-%m') AS ref_month
+    return f"""SELECT DISTINCT '{rows}' AS table_name, r.{row_id} AS row_id, '{field}' AS field_name, CASE WHEN p.k IS NULL THEN 'missing' ELSE 'late' END AS ref_kind, strftime(r.created_at AT TIME ZONE 'UTC', '%Y-%m') AS ref_month
 FROM {rows} r LEFT JOIN (SELECT {parent_key} AS k, min({since}) AS born FROM {parent} GROUP BY 1) p ON p.k = {key} WHERE {key} IS NOT NULL AND (p.k IS NULL OR p.born > r.created_at)"""
 
 

@@ -109,7 +109,7 @@ def e11_union(spark, sf):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("SELECT s.source_id, (SELECT strftime(max(created_at), '%Y-%m-%d %H:%M:%S') FROM quote_provenance p WHERE p.source_id = s.source_id) AS last_import, (SELECT count(*) FROM quote_provenance p WHERE p.source_id = s.source_id) AS imports FROM sources s")
+@query("SELECT s.source_id, (SELECT strftime(max(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') FROM quote_provenance p WHERE p.source_id = s.source_id) AS last_import, (SELECT count(*) FROM quote_provenance p WHERE p.source_id = s.source_id) AS imports FROM sources s")
 def e12_scalar_subquery(spark, sf):
     last = table(spark, sf, "quote_provenance").groupBy("source_id").agg(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("last_import"), F.count("*").alias("imports"))
     return table(spark, sf, "sources").select("source_id").join(last, "source_id", "left").fillna(0, ["imports"])
