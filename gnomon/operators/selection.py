@@ -97,3 +97,30 @@ def refresh_mode(shown: DataFrame, every: int = 15) -> DataFrame:
     w = Window.partitionBy("device").orderBy("at")
     full = F.lag("at").over(w).isNull() | (F.to_date(F.lag("at").over(w)) != F.to_date("at")) | (F.row_number().over(w) % every == 0)
     return shown.withColumn("mode", F.when(full, "GC16").otherwise("GL16"))
+
+
+def next_bag(state: DataFrame, pool: DataFrame, release: str) -> DataFrame:
+    """The bags (minute, cycle, ids) that the next choices draw from: what is left of each bag and still in the pool (minute, id); a bag that is used up, unreadable or missing starts a new cycle with its whole pool in a new order.
+
+    A bag is as long as its minute's pool.
+    """
+    ids = F.from_json("ids", "array<bigint>")
+    held = state.select("minute", "cycle", F.coalesce(ids, F.array().cast("array<bigint>")).alias("left"))
+    pools = pool.groupBy("minute").agg(F.collect_set("id").alias("ids"))
+    joined = pools.join(held, "minute", "left").withColumn("left", F.filter("left", lambda x: F.array_contains("ids", x)))
+    full = F.coalesce(F.size("left") > 0, F.lit(False))
+    kept = joined.filter(full).select("minute", "cycle", "left")
+    fresh = joined.filter(~full).select("minute", (F.coalesce("cycle", F.lit(0)) + 1).alias("cycle"), F.explode("ids").alias("id"))
+    key = F.concat_ws(":", F.lit(release), F.col("cycle").cast("string"), F.col("minute").cast("string"), F.col("id").cast("string"))
+    filled = with_checksum(fresh, key, "bag").groupBy("minute", "cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("bag", "id"))), lambda x: x["id"]).alias("left"))
+    return kept.unionByName(filled).select("minute", "cycle", F.to_json("left").alias("ids"))
+
+
+def state_lines(history: DataFrame, bags: DataFrame, shown: int, now: Column, kept_seconds: int = KEPT) -> DataFrame:
+    """The lines of a state file: version, number of displays, history that is still kept, and bags, in order."""
+    lines = [
+        history.sparkSession.createDataFrame([(0, "", "VERSION\t1"), (1, "", f"DISPLAY_COUNT\t{int(shown)}")], "part int, place string, value string"),
+        history.filter(F.col("at") >= now - F.make_interval(secs=F.lit(kept_seconds))).select(F.lit(2).alias("part"), F.date_format("at", "yyyyMMddHHmmss").alias("place"), F.concat_ws("\t", F.lit("H"), F.unix_timestamp("at").cast("string"), F.format_string("%04d", "minute"), F.col("id").cast("string")).alias("value")),
+        bags.select(F.lit(3).alias("part"), F.format_string("%04d", "minute").alias("place"), F.concat_ws("\t", F.lit("BAG"), F.format_string("%04d", "minute"), F.translate("ids", "[]", "")).alias("value")),
+    ]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2]).orderBy("part", "place", "value").select("value")
