@@ -61,7 +61,8 @@ def work_of(wikitext: str | None) -> tuple[str | None, str | None, int | None, s
     for name, template in zip(names, templates):
         if name.startswith(("header", ":mediawiki:proofreadpage", "index", "process header")):
             for m in re.finditer(r"\|\s*(title|author|year|publication year)\s*=\s*((?:\[\[[^\]]*\]\]|\{\{[^{}]*\}\}|[^|{}])*)", template, re.I):
-                plain = re.sub(r"\s+", " ", re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]|\{\{[^{}]*\}\}|'{2,}", r"\1", m[2])).strip()
+                plain = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", m[2])
+                plain = re.sub(r"\s+", " ", re.sub(r"\{\{[^{}]*\}\}|'{2,}", "", plain)).strip()
                 values.setdefault(m[1].lower().replace("publication ", ""), plain) if plain else None
     title = values.get("title") if not (values.get("title") or "").startswith("../") else None
     found = re.search(r"(?<!\d)(1\d{3}|20\d{2})(?!\d)", values.get("year", ""))
