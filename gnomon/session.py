@@ -37,16 +37,33 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset (tests, local mode) a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset a local session (tests) gets a temporary one; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gnomon-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="gnomon-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _drop_written() -> None:
+    """When the driver ends, its tables in the shared folder go."""
+    for spark, path in _written:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended: nothing can be done from here
+            return
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -55,4 +72,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/gnomon-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    if not _written:
+        atexit.register(_drop_written)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
