@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gnomon.llm import cutoff, encoding, formatting, leaks, names, near, sentences, survivor
 from gnomon.llm.consistent import lookalikes
-from gnomon.session import table
+from gnomon.session import spread, table
 
 
 def _names(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p1_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     quotes, candidates = table(spark, sf, "quotes"), table(spark, sf, "scanned_candidates")
-    rows = quotes.select(F.col("quote_id").alias("id"), "quote").unionByName(candidates.select(F.col("cand_id").alias("id"), "quote"))
+    rows = spread(quotes.select(F.col("quote_id").alias("id"), "quote")).unionByName(spread(candidates.select(F.col("cand_id").alias("id"), "quote")))
     return near.near_pairs(rows, "id", "quote")
 
 
@@ -52,7 +52,8 @@ def p3_consistent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return cutoff.cut_records({"quotes": (table(spark, sf, "quotes"), "quote_id", "source_name", "quote"), "quote_provenance": (table(spark, sf, "quote_provenance"), "provenance_id", "source_id", "raw_quote")})
+    fields = {"quotes": ("quote_id", "source_name", "quote"), "quote_provenance": ("provenance_id", "source_id", "raw_quote")}
+    return cutoff.cut_records({name: (spread(table(spark, sf, name).select(*columns)), *columns) for name, columns in fields.items()})
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,30 +64,38 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return _cut(spark, sf)[1]
 
 
+def _quotes(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf, "quotes").select("quote_id", "quote", *columns))
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return formatting.collapse(table(spark, sf, "quotes"), "quote_id", "quote").filter("quote_id <> first_id").select(F.col("first_id").alias("first_quote_id"), "quote_id")
+    return formatting.collapse(_quotes(spark, sf), "quote_id", "quote").filter("quote_id <> first_id").select(F.col("first_id").alias("first_quote_id"), "quote_id")
 
 
 def p6_passages(spark: SparkSession, sf: str) -> DataFrame:
     """One row per passage that has copies, with their number."""
-    return formatting.collapse(table(spark, sf, "quotes"), "quote_id", "quote").filter("quote_id = first_id").select(F.col("first_id").alias("first_quote_id"), "copies")
+    return formatting.collapse(_quotes(spark, sf), "quote_id", "quote").filter("quote_id = first_id").select(F.col("first_id").alias("first_quote_id"), "copies")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    best = survivor.best_rows(table(spark, sf, "quotes"), table(spark, sf, "sources"))
+    best = survivor.best_rows(_quotes(spark, sf, *survivor.FIELDS, "created_at"), table(spark, sf, "sources"))
     return best.filter("dominant").select(F.col("first_id").alias("first_quote_id"), "quote_id")
 
 
 def p7_fused(spark: SparkSession, sf: str) -> DataFrame:
-    return survivor.fused(table(spark, sf, "quotes"), table(spark, sf, "sources"))
+    return survivor.fused(_quotes(spark, sf, *survivor.FIELDS, "created_at"), table(spark, sf, "sources"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encode(table(spark, sf, "documents"))
+    return encoding.encode(_documents(spark, sf))
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks.leaked_spans(table(spark, sf, "documents"), table(spark, sf, "semantic_golden_cases"))
+    return leaks.leaked_spans(_documents(spark, sf), table(spark, sf, "semantic_golden_cases"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,11 +107,11 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks.without_leaks(table(spark, sf, "documents"), table(spark, sf, "semantic_golden_cases"))
+    return leaks.without_leaks(_documents(spark, sf), table(spark, sf, "semantic_golden_cases"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.split(table(spark, sf, "documents"))
+    return sentences.split(_documents(spark, sf))
 
 
 def p10_units(spark: SparkSession, sf: str) -> DataFrame:
