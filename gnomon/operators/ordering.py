@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,22 +84,17 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\w]+|_+", " ")), " "), lambda w: w != "")
 
 
-def _longest_run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def share_run(a: list[str], b: list[str], share: float = SHARED) -> bool:
+    """Whether two word lists hold a common run as long as ``share`` of the shorter."""
+    n = math.ceil(share * min(len(a), len(b)) - 1e-9)
+    runs = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
+    return n > 0 and any(tuple(b[i : i + n]) in runs for i in range(len(b) - n + 1))
+
+
+def _sharing(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pairs:
-        shares = []
-        for a, b in zip(pdf["words_a"], pdf["words_b"]):
-            a, b = list(a), list(b)
-            short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-            before, best = [0] * (len(short) + 1), 0
-            for w in long_:
-                now = [0] * (len(short) + 1)
-                for i, v in enumerate(short):
-                    if v == w:
-                        now[i + 1] = before[i] + 1
-                        best = max(best, now[i + 1])
-                before = now
-            shares.append(best / len(short))
-        yield pd.DataFrame({"id": pdf["id"], "known_id": pdf["known_id"], "share": shares})
+        keep = [share_run(list(a), list(b)) for a, b in zip(pdf["words_a"], pdf["words_b"])]
+        yield pdf.loc[keep, ["id", "known_id"]]
 
 
 def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
@@ -123,7 +119,7 @@ def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
     rest = a.join(equal.select("id"), "id", "left_anti")
     pairs = shingles(rest).alias("n").join(shingles(b).alias("k"), "key").filter(near).select(F.col("n.id").alias("id"), F.col("k.id").alias("known_id")).distinct()
     wide = pairs.join(rest.select("id", F.col("words").alias("words_a")), "id").join(b.select(F.col("id").alias("known_id"), F.col("words").alias("words_b")), "known_id").select("id", "known_id", "words_a", "words_b")
-    shared = wide.mapInPandas(_longest_run, "id bigint, known_id bigint, share double").filter(F.col("share") >= SHARED).groupBy("id").agg(F.min("known_id").alias("context_id"))
+    shared = wide.mapInPandas(_sharing, "id bigint, known_id bigint").groupBy("id").agg(F.min("known_id").alias("context_id"))
     found = new.select(F.col("id").cast("long").alias("id")).join(equal, "id", "left").join(shared, "id", "left")
     status = F.when(F.col("exact_id").isNotNull(), "EXACT").when(F.col("normal_id").isNotNull(), "NORMALIZED").when(F.col("context_id").isNotNull(), "CONTEXT").otherwise("NEW")
     return found.select("id", status.alias("status"), F.coalesce("exact_id", "normal_id", "context_id").alias("known_id"))

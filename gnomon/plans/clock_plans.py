@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gnomon.functions import scalars as S
 from gnomon.functions.clock import times
-from gnomon.session import table
+from gnomon.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,14 +28,14 @@ def query(sql: str | None = None):
 @query()
 def c01_c11_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Every reading of every quote."""
-    rows = table(spark, sf, "quotes").select("quote_id", F.posexplode(times(F.col("quote"))).alias("place", "r"))
+    rows = spread(table(spark, sf, "quotes").select("quote_id", "quote")).select("quote_id", F.posexplode(times(F.col("quote"))).alias("place", "r"))
     return rows.select("quote_id", "place", F.col("r.start").alias("start_char"), F.col("r.end").alias("end_char"), "r.text", "r.minute", "r.confidence", "r.rule", F.array_join(F.transform("r.options", lambda x: x.cast("string")), "|").alias("options"), "r.reason")
 
 
 @query()
 def c22_display_minutes(spark, sf):
     """The minutes that a candidate may be shown at: those of its one reading, if it has one that is exact or leaves two options."""
-    rows = table(spark, sf, "scanned_candidates").select("cand_id", times(F.col("quote")).alias("r")).filter(F.size("r") == 1).select("cand_id", F.col("r")[0].alias("r"))
+    rows = spread(table(spark, sf, "scanned_candidates").select("cand_id", "quote")).select("cand_id", times(F.col("quote")).alias("r")).filter(F.size("r") == 1).select("cand_id", F.col("r")[0].alias("r"))
     minutes = F.coalesce(F.when(F.col("r.minute").isNotNull(), F.array("r.minute")), F.col("r.options"))
     return rows.select("cand_id", F.explode(minutes).alias("minute"))
 
@@ -43,7 +43,7 @@ def c22_display_minutes(spark, sf):
 @query()
 def c16_agreement(spark, sf):
     """How far the readings of a quote agree with its own minute."""
-    rows = table(spark, sf, "quotes").select("minute_of_day", times(F.col("quote")).alias("r"))
+    rows = spread(table(spark, sf, "quotes").select("minute_of_day", "quote")).select("minute_of_day", times(F.col("quote")).alias("r"))
     exact = F.exists("r", lambda x: x["minute"] == F.col("minute_of_day"))
     option = F.exists("r", lambda x: F.array_contains(x["options"], F.col("minute_of_day")))
     kind = F.when(F.size("r") == 0, "none").when(exact, "exact").when(option, "option").otherwise("other")
@@ -52,7 +52,7 @@ def c16_agreement(spark, sf):
 
 def made(spark: SparkSession, sf: str, sentence) -> DataFrame:
     """Sentences made from the minute of each event."""
-    rows = table(spark, sf, "events").select("event_id", (F.hour("ts") * 60 + F.minute("ts")).cast("int").alias("m"))
+    rows = spread(table(spark, sf, "events").select("event_id", "ts")).select("event_id", (F.hour("ts") * 60 + F.minute("ts")).cast("int").alias("m"))
     hour = F.floor(F.col("m") / 60).cast("int")
     return rows.withColumn("text", sentence(hour, (F.col("m") % 60).cast("int")))
 
@@ -125,7 +125,7 @@ def b26_b28_context(spark, sf):
     """The context of each candidate's highlight in its passage, with scores and the first ground to reject it."""
     from gnomon.functions.passages import context_column, ground_column
 
-    rows = table(spark, sf, "scanned_candidates").select("cand_id", "quote", context_column("quote", "highlight_start", "highlight_end").alias("c"), ground_column("quote").alias("ground"))
+    rows = spread(table(spark, sf, "scanned_candidates").select("cand_id", "quote", "highlight_start", "highlight_end")).select("cand_id", "quote", context_column("quote", "highlight_start", "highlight_end").alias("c"), ground_column("quote").alias("ground"))
     return rows.select("cand_id", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), "c.context_score", "c.literary_score", "c.reason", "ground")
 
 
@@ -134,7 +134,7 @@ def b49_b50_excerpts(spark, sf):
     """Shorter forms of each quote around its highlight."""
     from gnomon.functions.passages import excerpt_column
 
-    rows = table(spark, sf, "quotes").select("quote_id", F.posexplode(excerpt_column("quote", "highlight_start", "highlight_end")).alias("place", "e"))
+    rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "highlight_start", "highlight_end")).select("quote_id", F.posexplode(excerpt_column("quote", "highlight_start", "highlight_end")).alias("place", "e"))
     return rows.select("quote_id", "place", "e.text", "e.highlight_start", "e.highlight_end")
 
 
@@ -163,7 +163,7 @@ def c12_c16_claims(spark, sf):
     """Whether each highlighted phrase is the time that its quote claims."""
     from gnomon.functions.claims import judged
 
-    rows = table(spark, sf, "quotes").select("quote_id", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day")).alias("d"))
+    rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "highlight_start", "highlight_end", "minute_of_day")).select("quote_id", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day")).alias("d"))
     return rows.select("quote_id", "d.kind", "d.action", F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"), "d.reason")
 
 

@@ -37,6 +37,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for Python stages: where its files make fewer tasks than there are cores, its rows are dealt to as many. That holds only for inputs of a few file blocks; a large scan stays as it is, without a shuffle. Select the columns before."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 _own_folder: list[str] = []
 
 

@@ -101,6 +101,12 @@ def test_duplicate_status(spark):
     assert found == {10: ("EXACT", 1), 11: ("NORMALIZED", 1), 12: ("CONTEXT", 2), 13: ("NEW", None), 14: ("EXACT", 2), 15: ("NEW", None), 16: ("NEW", None), 17: ("NEW", None)}
 
 
+def test_share_run():
+    assert O.share_run("a b c d e".split(), "x a b c d y z".split())
+    assert not O.share_run("a b c d e".split(), "a b c x d e y".split())
+    assert not O.share_run([], ["a"]) and not O.share_run([], [])
+
+
 def test_cksum():
     # what POSIX cksum prints
     assert G.cksum(b"") == 4294967295
