@@ -125,6 +125,7 @@ LEXICON = sentences.Lexicon({"然后": 50, "车夫": 50, "走": 20, "了": 90},
         ("It had ropes, lamps, etc. Nobody smiled. St. Ives, No. 5, p. 7.", ["It had ropes, lamps, etc.", "Nobody smiled.", "St. Ives, No. 5, p. 7."]),
         ("‘The cloak,’ he wrote, ‘is old. It will not last.’", ["‘The cloak,’ he wrote, ‘is old.", "It will not last.’"]),
         ("CHAPTER III.\n\nOne line\nand more.\n\n* * *\n\nEnd.", ["CHAPTER III.", "One line\nand more.", "End."]),
+        ("“Come in!” Octavia s\u0430id. They left at 5 ｐ.ｍ. \u0422he bucket stayed. D\u200br. Penn sat. \u0421apt. Lee slept.", ["“Come in!” Octavia s\u0430id.", "They left at 5 ｐ.ｍ.", "\u0422he bucket stayed.", "D\u200br. Penn sat.", "\u0421apt. Lee slept."]),
         ("IV. Of the ill-lit basket\n\n12. Of ropes\n\nIt is 4. Nobody came.", ["IV. Of the ill-lit basket", "12. Of ropes", "It is 4.", "Nobody came."]),
         ("„Es ist spät. Geh nach Hause“, sagte er. Am 19. Mai kam er.", ["„Es ist spät.", "Geh nach Hause“, sagte er.", "Am 19. Mai kam er."]),
         ("— Уже поздно. Ступайте, — сказал он. В 1865 г. Мальцев ушёл.", ["— Уже поздно.", "Ступайте, — сказал он.", "В 1865 г. Мальцев ушёл."]),
