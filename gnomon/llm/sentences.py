@@ -50,6 +50,8 @@ FINAL_PARTICLES = frozenset("了 吗 呢 吧 啊 呀 的 か だ た よ ね な
 # Fixed values end.
 
 DICTIONARY_WORDS = 50_000  #: entries of the dictionary, the most frequent ones
+LEAST_USES = 3  #: over the whole corpus, of a word of two or more letters
+COUNTED_AT_ONCE = 500_000  #: words whose counts a task holds before it passes them on to be summed
 LONGEST_WORD = 6
 LOOK_AHEAD = 240  #: characters behind a terminator that are read to judge it, from the next visible one on
 
@@ -310,11 +312,21 @@ def train(documents: DataFrame, text_column: str = "text") -> tuple[Lexicon, Cas
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, opens, lower = Counter(), Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            rows = [("w", w, n, opens[w]) for w, n in words.items()] + [("l", w, n, 0) for w, n in lower.items()]
+            words.clear(), opens.clear(), lower.clear()
+            columns = list(zip(*rows)) or [[]] * 4
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "word", "n", "opens"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 lower.update(regex.findall(r"(?<![\p{L}\p{N}’'-])\p{Ll}[\p{Ll}\p{M}]+", text))
+                if len(words) + len(lower) > COUNTED_AT_ONCE:
+                    yield counted()
                 if text.isascii() or not (_cjk.search(text) or _thai.search(text)):
                     continue
                 for run in regex.finditer(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[\p{Thai}]+", text):
@@ -324,19 +336,21 @@ def train(documents: DataFrame, text_column: str = "text") -> tuple[Lexicon, Cas
                         words.update(s[i : i + n] for i in range(len(s) - n + 1))
                         if first and len(s) >= n:
                             opens[s[:n]] += 1
-        rows = [("w", w, n) for w, n in words.items() if n > 1 or len(w) == 1] + [("o", w, n) for w, n in opens.items()] + [("l", w, n) for w, n in lower.items()]
-        columns = list(zip(*rows)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["kind", "word", "n"])
+        yield counted()
 
-    counted = documents.select(text_column).mapInArrow(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    counted = materialize(counted)
+    counted = documents.select(text_column).mapInArrow(count, "kind string, word string, n bigint, opens bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"))
+    # a longer word is one from LEAST_USES on, which only the sums over all tasks can tell; its openings stay or go with it
+    counted = materialize(counted.filter((F.col("kind") != "w") | (F.char_length("word") == 1) | (F.col("n") >= LEAST_USES)))
     found: dict[str, dict[str, int]] = {}
-    for kind in "wol":
-        found[kind] = {r.word: r.n for r in counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()}
+    opens: dict[str, int] = {}
+    for kind in "wl":
+        top = counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
+        found[kind] = {r.word: r.n for r in top}
+        opens |= {r.word: r.opens for r in top if r.opens}
     # a longer word must hold together: seen nearly as often as its rarer half alone would make it
     total = sum(n for w, n in found["w"].items() if len(w) == 1) or 1
-    kept = {w: n for w, n in found["w"].items() if len(w) == 1 or n >= 3 and all(n * total > 20 * found["w"].get(w[:i], n) * found["w"].get(w[i:], n) for i in range(1, len(w)))}
-    return Lexicon(kept, found["o"]), Case(found["l"])
+    kept = {w: n for w, n in found["w"].items() if len(w) == 1 or all(n * total > 20 * found["w"].get(w[:i], n) * found["w"].get(w[i:], n) for i in range(1, len(w)))}
+    return Lexicon(kept, {w: n for w, n in opens.items() if w in kept}), Case(found["l"])
 
 
 def split(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

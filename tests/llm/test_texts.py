@@ -153,6 +153,18 @@ def test_split_edge_cases(spark):
     assert sentences.split(rows.limit(0)).count() == 0
 
 
+def test_dictionary_does_not_depend_on_tasks(spark, monkeypatch):
+    """Words that every task sees once are counted like those that one task sees often, uses and openings alike."""
+    rows = spark.createDataFrame([("车夫" + "".join(chr(0x5000 + 40 * i + j) for j in range(40)),) for i in range(8)], "text string")
+    one, _ = sentences.train(rows.coalesce(1))
+    assert (one.counts["车夫"], one.opens["车夫"]) == (8, 8)
+    many, _ = sentences.train(rows.repartition(8))
+    assert (many.counts, many.opens) == (one.counts, one.opens)
+    monkeypatch.setattr(sentences, "COUNTED_AT_ONCE", 1)
+    parts, _ = sentences.train(rows.coalesce(1))
+    assert (parts.counts, parts.opens) == (one.counts, one.opens)
+
+
 # encoding
 
 
