@@ -150,12 +150,22 @@ def b29_sentence_of_highlight(spark, sf):
 
 @query("SELECT a.provenance_id, lower(a.raw_title) = lower(q.title) AS same FROM quote_provenance a JOIN quotes q USING (quote_id) WHERE regexp_matches(a.raw_title, '^[A-Za-z ]+$') AND regexp_matches(q.title, '^[A-Za-z ]+$') AND a.raw_title NOT LIKE '%  %' AND q.title NOT LIKE '%  %' AND trim(a.raw_title) = a.raw_title AND trim(q.title) = q.title")
 def b56_same_when_shown(spark, sf):
-    """Titles of imports and quotes that look the same; the SQL knows those of plain letters."""
+    """Of b56_same_when_shown_all the pairs of plain letters, which the SQL knows."""
+    plain = F.col("raw_title").rlike("^[A-Za-z]+( [A-Za-z]+)*$") & F.col("title").rlike("^[A-Za-z]+( [A-Za-z]+)*$")
+    return _shown(spark, sf, plain)
+
+
+@query()
+def b56_same_when_shown_all(spark, sf):
+    """Whether the titles of imports and quotes look the same, of all pairs; null where a title is."""
+    return _shown(spark, sf, F.lit(True))
+
+
+def _shown(spark: SparkSession, sf: str, wanted: Column) -> DataFrame:
     from gnomon.functions.passages import same_when_shown
 
     p, q = table(spark, sf, "quote_provenance").select("provenance_id", "quote_id", "raw_title"), table(spark, sf, "quotes").select("quote_id", "title")
-    plain = F.col("raw_title").rlike("^[A-Za-z]+( [A-Za-z]+)*$") & F.col("title").rlike("^[A-Za-z]+( [A-Za-z]+)*$")
-    return p.join(q, "quote_id").filter(plain).select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
+    return p.join(q, "quote_id").filter(wanted).select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
 
 
 @query()
