@@ -3,8 +3,9 @@
 A stack automaton reads each text: quotation marks, brackets and markup that stay
 open, a broken multibyte sequence, entity or escape at the end, and the mark that
 ends it. Where only the mark of omission ends a text, the words that end sentences
-elsewhere in the corpus decide whether its last sentence is whole. A missing
-terminator counts unless the source leaves it out as a rule.
+elsewhere in the corpus decide whether its last sentence is whole: the automaton asks
+for its last words, and the exact counts of the words asked for are joined to the
+questions. A missing terminator counts unless the source leaves it out as a rule.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ OPENERS, CLOSERS = "“‘«([{", "”’»)]}"
 BASELINE = 0.5
 #: Shares of a word's uses that end a sentence: below the first, text before a mark of omission goes on; below the second, and seen often, text before any mark.
 WHOLE, NEVER, OFTEN = 0.015, 0.001, 200
-BUCKETS = 1 << 16  #: of each table of the model, which stays this large however large the corpus
+COUNTED_AT_ONCE = 200_000  #: words whose counts a task holds before it passes them on to be summed
 
 # Abbreviated words that a name or more follows.
 ABBREVIATED = frozenset("mr mrs ms dr prof rev capt col gen lt sgt st hon sir messrs no vol ch pp cf".split())
@@ -51,39 +51,33 @@ _last = re.compile(r"([^\W_]+(?:[’'-][^\W_]+)*)[^\w]*$")
 _before = re.compile(r"([^\W_]+(?:[’'-][^\W_]+)*)[^\w]+[^\W_]+(?:[’'-][^\W_]+)*[^\w]*$")
 
 
-def slot(*words: str) -> int:
-    return zlib.crc32("\x00".join(words).encode()) & (BUCKETS - 1)
+def read(word: str) -> str:
+    """A word at a text's end as it is read; its lower case is counted."""
+    word = unicodedata.normalize("NFKC", word)
+    return word.translate(_latin) if re.search("[A-Za-z]", word) else word
 
 
 @dataclass
 class Endings:
-    """Hashed counts: how often a word is used and ends a sentence, and the same of the word after it."""
+    """Counts of words: how often each is used and ends a sentence, and the same of the word after it."""
 
-    used: array
-    ends: array
-    next_used: array
-    next_ends: array
-
-    @staticmethod
-    def empty() -> Endings:
-        return Endings(*(array("q", bytes(8 * BUCKETS)) for _ in range(4)))
+    counts: dict[str, tuple[int, int, int, int]]
 
     def share(self, word: str, before: str) -> tuple[float, int]:
         """The share of the uses of ``word`` that end a sentence, and its uses; of a word hardly seen, the share after the word before it."""
-        word = unicodedata.normalize("NFKC", word)
-        word = word.translate(_latin) if re.search("[A-Za-z]", word) else word
-        i = slot(word.lower())
+        word = read(word)
         if len(word) == 1 and word not in "aAI":
             return 0.0, 0
-        j = slot(before.lower())
-        if self.used[i] >= 5:
-            share = self.ends[i] / self.used[i]
-            if word.istitle() and before and self.next_used[j]:  # a name ends a sentence where names do
-                share = max(share, self.next_ends[j] / self.next_used[j])
-            return share, self.used[i]
+        used, ends, _, _ = self.counts.get(word.lower(), (0, 0, 0, 0))
+        _, _, next_used, next_ends = self.counts.get(before.lower(), (0, 0, 0, 0))
+        if used >= 5:
+            share = ends / used
+            if word.istitle() and before and next_used:  # a name ends a sentence where names do
+                share = max(share, next_ends / next_used)
+            return share, used
         # a name that nobody repeats may end a sentence; a fragment in lower case is no word
-        if word[:1].isupper() and not word.isupper() and self.next_used[j]:
-            return self.next_ends[j] / self.next_used[j], 0
+        if word[:1].isupper() and not word.isupper() and next_used:
+            return next_ends / next_used, 0
         return (1.0, 0) if word.isupper() and len(word) > 3 else (0.0, 0)
 
 
@@ -94,41 +88,42 @@ def plain(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def endings_model(*texts: DataFrame) -> Endings:
-    """Counts over every text of one-column frames, in tables of fixed size."""
+def ending_counts(*texts: DataFrame) -> DataFrame:
+    """(word, used, ends, next_used, next_ends): exact counts over every text of one-column frames, a row for each word."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Endings.empty()
+        total: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+
+        def held() -> pa.RecordBatch:
+            words = list(total[0].keys() | total[2].keys())
+            columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in total)]
+            for c in total:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "used", "ends", "next_used", "next_ends"])
+
         for batch in batches:
             words: list[str] = []
             for text in batch.column(0).to_pylist():
                 if text and "|" not in text:
                     words += _tokens.findall(_soft.sub("", plain(text)).lower())
                     words.append("")  # what follows the last word isn't known
-            pairs = Counter(zip(words, words[1:]))
-            for (a, b), n in pairs.items():
-                if a and a[0] not in ".!?…" and b:
-                    i = slot(a)
-                    total.used[i] += n
-                    if b[0] in ".!?":
-                        total.ends[i] += n
-            for (a, b), n in Counter(zip(words, words[2:])).items():
-                if a and b and a[0] not in ".!?…":
-                    i = slot(a)
-                    total.next_used[i] += n
-                    if b[0] in ".!?":
-                        total.next_ends[i] += n
-        rows = [(i, *x) for i, x in enumerate(zip(total.used, total.ends, total.next_used, total.next_ends)) if any(x)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5, names=["i", "a", "b", "c", "d"])
-
-    parts = [df.mapInArrow(counted, "i bigint, a bigint, b bigint, c bigint, d bigint") for df in texts]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    model = Endings.empty()
-    for r in union.groupBy("i").agg(*(F.sum(c).alias(c) for c in "abcd")).toLocalIterator():
-        model.used[r.i], model.ends[r.i], model.next_used[r.i], model.next_ends[r.i] = r.a, r.b, r.c, r.d
-    return model
+            for used, ends, pairs in ((*total[:2], zip(words, words[1:])), (*total[2:], zip(words, words[2:]))):
+                for (a, b), n in Counter(pairs).items():
+                    if a and b and a[0] not in ".!?…":
+                        used[a] += n
+                        if b[0] in ".!?":
+                            ends[a] += n
+            if len(total[0]) > COUNTED_AT_ONCE:
+                yield held()
+        yield held()
+
+    parts = [df.mapInArrow(counted, "word string, used bigint, ends bigint, next_used bigint, next_ends bigint") for df in texts]
+    return reduce(DataFrame.unionByName, parts).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("used", "ends", "next_used", "next_ends")))
+
+
+def endings_model(*texts: DataFrame) -> Endings:
+    """The counts of a small corpus in one object."""
+    return Endings({word: tuple(counts) for word, *counts in ending_counts(*texts).toLocalIterator()})
 
 
 def left_open(text: str) -> str:
@@ -150,59 +145,97 @@ def left_open(text: str) -> str:
     return "".join(stack)
 
 
-def evidence(text: str | None, model: Endings) -> str:
-    """Why a text is cut: broken, unterminated, omitted, abbreviated, open or unended; "" if it looks whole.
+NONE = ("", "", "")  #: no reason and no question
+
+
+def question(text: str | None) -> tuple[str, str, str]:
+    """Why a text is cut, as far as the text alone tells: broken, unterminated, omitted, abbreviated or open; "" if it looks whole. Else, if its last words must be judged, "omitted?" or "unended?", the last word, and the word before it if that matters.
 
     A null or blank text and an unsplit record (its fields between |) are never cut.
     """
     if text is None or not text.strip() or "|" in text:
-        return ""
+        return NONE
     text = plain(text)
     if _broken.search(text):
-        return "broken"
+        return "broken", "", ""
     text = _soft.sub("", text)
     body = text.rstrip(_strip)
     closed = text[len(body) :]
     if body.endswith(("[…", "[...", "[..")):
-        return "omitted"
+        return "omitted", "", ""
     quoted = any(x in closed for x in "”\"»") or "’" in closed
     if _dash.search(body):
-        return "" if quoted else "unterminated"
+        return NONE if quoted else ("unterminated", "", "")
     stack = left_open(text)
     if (m := _ellipsis.search(body)) and (m[0].strip().startswith("…") or m[0].count(".") > 1):
         # speech that breaks off: the closing mark belongs to marks opened later than the whole text's own
         if quoted and not stack and re.search(r"[“\"«][^“”\"«»]*$", body[: m.start()]) and not re.match(r"\s*[“\"«][^“”\"«»]*$", body[: m.start()]):
-            return ""
+            return NONE
         words = _last.search(body[: m.start()])
         before = _before.search(body[: m.start()])
         if not words:
-            return "omitted"
-        share, _ = model.share(words[1], before[1] if before else "")
-        return "omitted" if share < WHOLE else ""
+            return "omitted", "", ""
+        return "omitted?", words[1], before[1] if before else ""
     if not _terminator.search(body):
-        return "unterminated"
+        return "unterminated", "", ""
     if any(x in stack for x in "“«("):
-        return "open"
+        return "open", "", ""
     words = _last.search(body)
     if not words:
-        return ""
+        return NONE
     last = words[1]
     if body.endswith(".") and not quoted and (last.lower() in ABBREVIATED or len(last) == 1 and last.isupper() or re.search(r"(?:^|[\s(])\d{1,2}\.$", body)):
-        return "abbreviated"
-    share, used = model.share(last, "")
-    return "unended" if used >= OFTEN and share < NEVER and last.islower() and len(last) > 1 else ""
+        return "abbreviated", "", ""
+    return ("unended?", last, "") if last.islower() and len(last) > 1 else NONE
 
 
-def judged(rows: DataFrame, model: Endings) -> DataFrame:
-    """(row_id, source, why) of rows (row_id, source, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast([x.tobytes() for x in (model.used, model.ends, model.next_used, model.next_ends)])
+def answer(asked: str, word: str, before: str, model: Endings) -> str:
+    """Why a text is cut, where the counts of its last words tell: omitted or unended; "" if it looks whole."""
+    share, used = model.share(word, before)
+    if asked == "omitted?":
+        return "omitted" if share < WHOLE else ""
+    return "unended" if used >= OFTEN and share < NEVER else ""
+
+
+def evidence(text: str | None, model: Endings) -> str:
+    """Why a text is cut: broken, unterminated, omitted, abbreviated, open or unended; "" if it looks whole."""
+    why, word, before = question(text)
+    return answer(why, word, before, model) if why.endswith("?") else why
+
+
+def questions(rows: DataFrame) -> DataFrame:
+    """(row_id, source, why, word, before) of rows (row_id, source, text)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [question(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in found], pa.string()) for i in range(3))], names=["row_id", "source", "why", "word", "before"])
+
+    return rows.select("row_id", "source", "text").mapInArrow(ask, "row_id bigint, source string, why string, word string, before string")
+
+
+def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
+    """(why, word, before, found) of the distinct questions whose answer is a cut: each question meets the counts of its own two words."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, befores = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([read(x).lower() for x in words], pa.string()), pa.array([x.lower() for x in befores], pa.string())], names=["why", "word", "before", "k", "j"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Endings(*(array("q", x) for x in shared.value))
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([evidence(x, held) for x in batch.column(2).to_pylist()], pa.string())], names=["row_id", "source", "why"])
+            out = []
+            for r in batch.to_pylist():
+                model = Endings({r["k"]: (r["used"], r["ends"], 0, 0)})
+                own = model.counts[r["k"]]
+                model.counts[r["j"]] = (*(own[:2] if r["j"] == r["k"] else (0, 0)), r["next_used"], r["next_ends"])
+                out.append(answer(r["why"], r["word"], r["before"], model))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], names=["why", "word", "before", "found"])
 
-    return rows.select("row_id", "source", "text").mapInArrow(judge, "row_id bigint, source string, why string")
+    asked = pending.select("why", "word", "before").distinct().mapInArrow(keyed, "why string, word string, before string, k string, j string")
+    ends, after = counts.select(F.col("word").alias("k"), "used", "ends"), counts.select(F.col("word").alias("j"), "next_used", "next_ends")
+    met = asked.join(ends, "k", "left").join(after, "j", "left").fillna(0, ["used", "ends", "next_used", "next_ends"])
+    return met.select("why", "word", "before", "k", "j", "used", "ends", "next_used", "next_ends").mapInArrow(tell, "why string, word string, before string, found string").filter("found <> ''")
 
 
 def cut_records(tables: dict[str, tuple[DataFrame, str, str, str]], baseline: float = BASELINE) -> tuple[DataFrame, DataFrame]:
@@ -210,15 +243,17 @@ def cut_records(tables: dict[str, tuple[DataFrame, str, str, str]], baseline: fl
 
     A row delivered twice comes out once. Null and blank texts are not cut; empty tables give no rows.
     """
-    model = endings_model(*(rows.select(text) for rows, _, _, text in tables.values()))
+    counts = materialize(ending_counts(*(rows.select(text) for rows, _, _, text in tables.values())))
     parts = []
     for name, (rows, row_id, source, text) in tables.items():
         rows = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-        parts.append(judged(rows, model).withColumn("table_name", F.lit(name)))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    verdicts = materialize(union)
+        parts.append(questions(rows).withColumn("table_name", F.lit(name)))
+    asked = materialize(reduce(DataFrame.unionByName, parts))
+    pending = F.col("why").endswith("?")
+    told = materialize(answers(asked.filter(pending), counts))
+    # rows without a question stay out of the join, where they would share one key
+    judged = asked.filter(pending).join(told, ["why", "word", "before"], "left").select("table_name", "row_id", "source", F.coalesce("found", F.lit("")).alias("why"))
+    verdicts = materialize(asked.filter(~pending).select(judged.columns).unionByName(judged))
     rule = verdicts.groupBy("table_name", "source").agg(F.avg((F.col("why") == "unterminated").cast("int")).alias("bare"), F.count("*").alias("records"))
     usual = rule.filter((F.col("bare") > baseline) & (F.col("records") >= 20)).select("table_name", F.col("source").alias("usual"), F.lit(True).alias("as_a_rule"))
     suspects = verdicts.filter("why != ''")

@@ -1,7 +1,9 @@
 """Consistent forms, truncation, sentences, encoding and leaks."""
 
 import base64
+import itertools
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,22 @@ def test_cut_records(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_words_are_counted_exactly(spark, monkeypatch):
+    """A fragment is judged by its own count, not by that of a word of the same checksum; and the joined counts say what the counts in one object say."""
+    fragment = "kettl"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    twin = next(w for w in map("".join, itertools.product(letters, repeat=5)) if w != fragment and (zlib.crc32(w.encode()) ^ zlib.crc32(fragment.encode())) & 0xFFFF == 0)
+    texts = [f"He sold the {twin}."] * 10 + [f"He sold the {fragment}…", f"He sold the {twin}…", "He met the Zoë…", "She saw Penn…", "It was Penn Zoë…", *CORPUS[:9], "Then " + "the lamp and " * 1200 + "wept.", "He came to the.", None, ""]
+    rows = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "id long, source string, text string")
+    model = cutoff.endings_model(rows.select("text"))
+    want = {i for i, t in enumerate(texts) if cutoff.evidence(t, model)}
+    assert {10, len(texts) - 3} <= want and 11 not in want
+    for most in (cutoff.COUNTED_AT_ONCE, 1):
+        monkeypatch.setattr(cutoff, "COUNTED_AT_ONCE", most)
+        found, _ = cutoff.cut_records({"t": (rows.repartition(5), "id", "source", "text")})
+        assert {r.row_id for r in found.collect()} == want
+
+
 # sentences
 
 CASE = sentences.Case({"the": 9, "bucket": 5})
