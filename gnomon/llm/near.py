@@ -37,7 +37,7 @@ PAIRS_AT_ONCE = 500_000
 TOKEN_BYTES = 5  #: of a token in a posting: in one bucket two tokens that agree in these are as good as never different, and verification settles them
 BROADCAST_NODES = 4_000_000  #: candidate nodes (8 bytes each) up to which they are broadcast to the sets; beyond, the sets are joined as they are
 FLUSH = 400_000  #: postings packed at once
-POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u2"), ("at", "<u2"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
+POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
 _made = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("k", pa.int64()), ("tokens", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -168,7 +168,7 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: n
     inside = at < (base + matches - 1)[owner]
     who, at, tokens_in, freq_in = owner[inside], at[inside], tokens[inside], freq[inside]
     out = np.zeros(len(who), POSTING)
-    out["token"], out["node"], out["bits"], out["size"], out["at"] = tokens_in, nodes[who], bits[who], np.minimum(sizes[who], 65535), np.minimum(at, 65535)
+    out["token"], out["node"], out["bits"], out["size"], out["at"] = tokens_in, nodes[who], bits[who], sizes[who], at
     out["level"], out["matches"] = np.maximum(1, at - base[who] + 2), matches[who]
     blocks = np.maximum(1, np.ceil(freq_in / CELL_TEXTS)).astype(np.uint64)
     out["block"] = mixed(nodes[who].view(np.uint64)) % blocks

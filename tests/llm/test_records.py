@@ -108,6 +108,20 @@ def test_hot_tokens_lose_no_pair(monkeypatch, cell):
     assert want <= kept
 
 
+def test_long_texts_keep_their_sizes_and_places():
+    """A text of 200,000 shingles and the 140,000 of its part that come last in the order of tokens."""
+    tokens = np.sort(np.random.default_rng(8).choice(2**62, 200_000, replace=False).astype(np.uint64))
+    counts = np.ones(near.SKETCH, np.int64)
+    part = tokens[60_000:]
+    owner = np.repeat([0, 1], [len(tokens), len(part)])
+    postings = near.prefixes(owner, np.concatenate([tokens, part]), np.arange(2), counts, 0.6)
+    again = near.unpacked([near.packed(postings)])
+    assert again["size"].max() == 200_000 and again["at"].max() > 65_535
+    met = [(x, y) for a, b, _ in near.pairs_of(again, 0.6) for x, y in zip(a.tolist(), b.tolist())]
+    need = max(l for *_, n in near.pairs_of(again, 0.6) for l in n.tolist())
+    assert met.count((0, 1)) >= need
+
+
 # hidden duplicates
 
 
