@@ -316,7 +316,7 @@ def labels(links: DataFrame) -> DataFrame:
     return materialize(two.join(up, "label", "left").select("pid", F.coalesce("higher", "label").alias("label")))
 
 
-def resolve(rows: DataFrame, fields: dict[str, str], most_rounds: int = 30) -> DataFrame:
+def resolve(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(field, name, entity) of the distinct strings in the columns ``fields`` {field: column}.
 
     Null and blank strings and those that stand for nobody are left out; repeated rows count once; an empty table gives no rows. Jr. is another person; another number is another volume.
@@ -327,7 +327,7 @@ def resolve(rows: DataFrame, fields: dict[str, str], most_rounds: int = 30) -> D
     changed, keys = profiles, materialize(blocked(profiles))
     fresh = keys
     found = edges(changed, profiles, keys, fresh)
-    for _ in range(most_rounds):
+    while True:  # each round merges at least two profiles, so the last comes
         picked = chosen(found)
         moves = labels(picked)
         if moves.isEmpty():

@@ -43,6 +43,17 @@ def test_names(spark):
     assert names.resolve(spark.createDataFrame([], "author string"), {"author": "author"}).count() == 0
 
 
+def test_names_merge_until_none_is_left(spark, monkeypatch):
+    """Where a round merges one pair only, 32 spellings of a title take 31 rounds."""
+    word = "bornikobridgehaven"
+    spellings = {f"Three Pistols for {word[:i]}{c}{word[i + 1 :]}" for c in "zq" for i in range(1, 17)}
+    titles = [f"Three Pistols for {word}", *sorted(spellings)[:31]]
+    one = names.chosen
+    monkeypatch.setattr(names, "chosen", lambda found: names.materialize(one(found).orderBy("a", "b").limit(1)))
+    found = names.resolve(spark.createDataFrame([(t,) for t in titles], "title string"), {"title": "title"}).collect()
+    assert len(found) == 32 and len({r.entity for r in found}) == 1
+
+
 def test_near():
     for a, b in (("harness", "harless"), ("flask", "flsak"), ("flask", "fllask"), ("flask", "flak")):
         assert names.near(a, b) and names.near(b, a)
