@@ -19,11 +19,18 @@ class Parent:
     since: str
 
 
-def whole_number(text: Column) -> Column:
-    """The whole number that a text spells, else null: blanks around it, a sign, leading zeros, a fraction of zeros or a thousands comma don't matter."""
+def spelled_number(text: Column) -> Column:
+    """The whole number of any length that a text spells, as digits, else null: blanks around it, a sign, leading zeros, a fraction of zeros or a thousands comma don't matter."""
     bare = F.trim(F.regexp_replace(text.cast("string"), "[\\s\\x{a0}\\x{200b}\\x{feff}]+", " "))
     bare = F.when(bare.rlike("^[+-]?\\d{1,3}(,\\d{3})+(\\.0*)?$"), F.replace(bare, F.lit(","))).otherwise(bare)
-    return F.regexp_extract(bare, "^([+-]?\\d{1,18})(?:\\.0*)?$", 1).try_cast("long")
+    spelled = "^(?:[+]|(-))?0*(\\d+)(?:\\.0*)?$"
+    digits = F.regexp_extract(bare, spelled, 2)
+    return F.when(digits == "0", digits).when(digits != "", F.concat(F.regexp_extract(bare, spelled, 1), digits))
+
+
+def whole_number(text: Column) -> Column:
+    """The whole number that a text spells, else null; null too beyond the range of bigint."""
+    return spelled_number(text).try_cast("long")
 
 
 def key_states(references: DataFrame, parent: Parent) -> DataFrame:
@@ -32,7 +39,7 @@ def key_states(references: DataFrame, parent: Parent) -> DataFrame:
     Keys are made distinct before they meet the parent, so that a key which a third of all rows hold moves as one row for each task.
     """
     keys = references.filter("key is not null").groupBy("key").agg(F.min("since").alias("earliest"))
-    parents = parent.rows.select(F.col(parent.key).cast("long").alias("key"), F.col(parent.since).alias("born")).filter("key is not null").groupBy("key").agg(F.min("born").alias("born"))
+    parents = parent.rows.select(F.col(parent.key).cast("long").cast(references.schema["key"].dataType).alias("key"), F.col(parent.since).alias("born")).filter("key is not null").groupBy("key").agg(F.min("born").alias("born"))
     missing = keys.join(parents, "key", "left_anti").select("key", F.lit(None).cast("timestamp").alias("born"), F.lit(True).alias("missing"))
     late = keys.join(parents, "key").filter("born > earliest").select("key", F.col("born").cast("timestamp"), F.lit(False).alias("missing"))
     return missing.unionByName(late)
@@ -58,7 +65,7 @@ def clock_orphans(provenance: DataFrame, adjudications: DataFrame, quotes: DataF
     found = [
         orphans(provenance, "quote_provenance", "provenance_id", "quote_id", to_quotes),
         orphans(provenance, "quote_provenance", "provenance_id", "source_id", to_sources),
-        orphans(adjudications, "english_v2_manual_adjudications", "adjudication_id", "quote_id", to_quotes, whole_number(F.col("quote_id"))),
+        orphans(adjudications, "english_v2_manual_adjudications", "adjudication_id", "quote_id", to_quotes, spelled_number(F.col("quote_id"))),  # a number beyond bigint is the id of no quote
     ]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

@@ -136,6 +136,24 @@ def test_orphans(spark):
     assert {r.ref_kind for r in R.orphans(rows, "t", "adjudication_id", "quote_id", nobody, R.whole_number(F.col("quote_id"))).collect()} == {"missing"}
 
 
+def test_whole_numbers_of_many_digits(spark):
+    """The range of bigint, and any number of leading zeros."""
+    wanted = {"9223372036854775807": 2**63 - 1, "-9223372036854775808": -(2**63), "9223372036854775808": None, "0" * 30 + "42": 42, "-" + "0" * 20 + "7.00": -7, "0" * 25: 0, "0": 0, "+0012": 12, "1,000,000,000,000,000,000": 10**18, "": None, "-": None, "12a": None}
+    rows = spark.createDataFrame([(t,) for t in wanted], "t string")
+    assert {r.t: r.n for r in rows.select("t", R.whole_number(F.col("t")).alias("n")).collect()} == wanted
+
+
+def test_references_of_many_digits_are_missing(spark):
+    """Every spelled whole number is a reference in the query, those beyond bigint too."""
+    day = at("2026-01-01 00:00:00")
+    texts = ["9" * 19, "9" * 30, "0" * 30 + "1", "-0001", "1" * 19, "-0", "no", "9" * 30 + "x", None]
+    rows = spark.createDataFrame([(i, t, day) for i, t in enumerate(texts)], "adjudication_id long, quote_id string, created_at timestamp")
+    quotes = spark.createDataFrame([(1, day), (0, day)], "quote_id long, created_at timestamp")
+    provenance = spark.createDataFrame([], "provenance_id long, quote_id long, source_id long, created_at timestamp")
+    found = R.clock_orphans(provenance, rows, quotes, spark.createDataFrame([], "source_id long, imported_at timestamp"))
+    assert sorted((r.row_id, r.ref_kind) for r in found.collect()) == [(0, "missing"), (1, "missing"), (3, "missing"), (4, "missing")]
+
+
 def test_orphans_of_a_hot_key(spark):
     rows = spark.range(3000).select(F.col("id").alias("provenance_id"), F.when(F.col("id") % 3 == 0, 77).otherwise(F.col("id")).alias("quote_id"), F.lit("2026-01-01").cast("timestamp").alias("created_at"))
     quotes = spark.range(3000).filter("id % 3 <> 0").select(F.col("id").alias("quote_id"), F.lit("2025-01-01").cast("timestamp").alias("created_at"))
