@@ -2,10 +2,12 @@
 
 A stack automaton reads each text: quotation marks, brackets and markup that stay
 open, a broken multibyte sequence, entity or escape at the end, and the mark that
-ends it. Where only the mark of omission ends a text, the words that end sentences
+ends it. Where a mark stands at the end all the same, the words that end sentences
 elsewhere in the corpus decide whether its last sentence is whole: the automaton asks
 for its last words, and the exact counts of the words asked for are joined to the
-questions. A missing terminator counts unless the source leaves it out as a rule.
+questions. A missing terminator is a cut, unless the source leaves it out by habit: a
+habit is found at all lengths, a limit piles up at one. Texts of such a source are cut
+where they reach its limit, or end in words that end no sentence.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from gnomon.llm.consistent import FOREIGN_TO_LATIN
 from gnomon.session import materialize
 
 OPENERS, CLOSERS = "“‘«([{", "”’»)]}"
-#: A source of which at least so many texts lack a terminator leaves it out as a rule.
-BASELINE = 0.5
-#: Shares of a word's uses that end a sentence: below the first, text before a mark of omission goes on; below the second, and seen often, text before any mark.
-WHOLE, NEVER, OFTEN = 0.015, 0.001, 200
+#: A source of which more texts, those at its limits apart, lack a terminator leaves it out by habit; the share is held back by a prior worth so many texts (bare, all).
+BASELINE, FEW = 0.5, (1, 10)
+#: Bare texts of one length are a limit of their source where they surpass what chance gives by e to this power (Chernoff's bound).
+PILED = 14.0
+#: How likely a text is to be cut before its words are read: before a mark of omission, without a mark where that is habit, and before any other mark.
+PRIOR = {"omitted?": 0.18, "bare?": 0.18, "unended?": 0.001}
+HELD_BACK = 5  #: uses that a word's share of ends is held back by
 COUNTED_AT_ONCE = 200_000  #: words whose counts a task holds before it passes them on to be summed
 
 # Abbreviated words that a name or more follows.
@@ -59,26 +64,26 @@ def read(word: str) -> str:
 
 @dataclass
 class Endings:
-    """Counts of words: how often each is used and ends a sentence, and the same of the word after it."""
+    """Counts of words: how often each is used and ends a sentence, and the same of the word after it; and the share of all uses that end one."""
 
     counts: dict[str, tuple[int, int, int, int]]
+    base: float
 
-    def share(self, word: str, before: str) -> tuple[float, int]:
-        """The share of the uses of ``word`` that end a sentence, and its uses; of a word hardly seen, the share after the word before it."""
+    def share(self, word: str, before: str) -> float:
+        """The share of the uses of ``word`` that end a sentence. Of words hardly seen, names end one where names do, and a fragment in lower case never does."""
         word = read(word)
         if len(word) == 1 and word not in "aAI":
-            return 0.0, 0
+            return 0.0
         used, ends, _, _ = self.counts.get(word.lower(), (0, 0, 0, 0))
-        _, _, next_used, next_ends = self.counts.get(before.lower(), (0, 0, 0, 0))
-        if used >= 5:
-            share = ends / used
-            if word.istitle() and before and next_used:  # a name ends a sentence where names do
-                share = max(share, next_ends / next_used)
-            return share, used
-        # a name that nobody repeats may end a sentence; a fragment in lower case is no word
-        if word[:1].isupper() and not word.isupper() and next_used:
-            return next_ends / next_used, 0
-        return (1.0, 0) if word.isupper() and len(word) > 3 else (0.0, 0)
+        name = word[:1].isupper()
+        usual = self.after(before) if name else 0.0
+        share = (ends + HELD_BACK * usual) / (used + HELD_BACK)
+        return max(share, usual) if name and used >= HELD_BACK else share
+
+    def after(self, before: str) -> float:
+        """The share of the words after ``before`` that end a sentence."""
+        _, _, used, ends = self.counts.get(before.lower(), (0, 0, 0, 0))
+        return (ends + HELD_BACK * self.base) / (used + HELD_BACK)
 
 
 def plain(text: str) -> str:
@@ -89,7 +94,7 @@ def plain(text: str) -> str:
 
 
 def ending_counts(*texts: DataFrame) -> DataFrame:
-    """(word, used, ends, next_used, next_ends): exact counts over every text of one-column frames, a row for each word."""
+    """(word, used, ends, next_used, next_ends): exact counts over every text of one-column frames, a row for each word. The last word of each text is left out, since it is what is judged."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
@@ -106,6 +111,8 @@ def ending_counts(*texts: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text and "|" not in text:
                     words += _tokens.findall(_soft.sub("", plain(text)).lower())
+                    while words and words[-1][:1] in ".!?…" and words[-1]:
+                        words.pop()
                     words.append("")  # what follows the last word isn't known
             for used, ends, pairs in ((*total[:2], zip(words, words[1:])), (*total[2:], zip(words, words[2:]))):
                 for (a, b), n in Counter(pairs).items():
@@ -123,7 +130,8 @@ def ending_counts(*texts: DataFrame) -> DataFrame:
 
 def endings_model(*texts: DataFrame) -> Endings:
     """The counts of a small corpus in one object."""
-    return Endings({word: tuple(counts) for word, *counts in ending_counts(*texts).toLocalIterator()})
+    counts = {word: tuple(counts) for word, *counts in ending_counts(*texts).toLocalIterator()}
+    return Endings(counts, sum(c[1] for c in counts.values()) / max(1, sum(c[0] for c in counts.values())))
 
 
 def left_open(text: str) -> str:
@@ -148,6 +156,12 @@ def left_open(text: str) -> str:
 NONE = ("", "", "")  #: no reason and no question
 
 
+def last_words(why: str, without: str, body: str) -> tuple[str, str, str]:
+    """``why`` with the last word of ``body`` and the word before it; ``without`` if there is none."""
+    last, before = _last.search(body), _before.search(body)
+    return (why, last[1], before[1] if before else "") if last else (without, "", "")
+
+
 def question(text: str | None) -> tuple[str, str, str]:
     """Why a text is cut, as far as the text alone tells: broken, unterminated, omitted, abbreviated or open; "" if it looks whole. Else, if its last words must be judged, "omitted?" or "unended?", the last word, and the word before it if that matters.
 
@@ -165,57 +179,85 @@ def question(text: str | None) -> tuple[str, str, str]:
         return "omitted", "", ""
     quoted = any(x in closed for x in "”\"»") or "’" in closed
     if _dash.search(body):
-        return NONE if quoted else ("unterminated", "", "")
+        return NONE if quoted else ("unterminated", "", "")  # a dash is no habit
     stack = left_open(text)
     if (m := _ellipsis.search(body)) and (m[0].strip().startswith("…") or m[0].count(".") > 1):
         # speech that breaks off: the closing mark belongs to marks opened later than the whole text's own
         if quoted and not stack and re.search(r"[“\"«][^“”\"«»]*$", body[: m.start()]) and not re.match(r"\s*[“\"«][^“”\"«»]*$", body[: m.start()]):
             return NONE
-        words = _last.search(body[: m.start()])
-        before = _before.search(body[: m.start()])
-        if not words:
-            return "omitted", "", ""
-        return "omitted?", words[1], before[1] if before else ""
+        return last_words("omitted?", "omitted", body[: m.start()])
     if not _terminator.search(body):
-        return "unterminated", "", ""
+        return last_words("unterminated", "unterminated", body)
     if any(x in stack for x in "“«("):
         return "open", "", ""
-    words = _last.search(body)
-    if not words:
-        return NONE
-    last = words[1]
-    if body.endswith(".") and not quoted and (last.lower() in ABBREVIATED or len(last) == 1 and last.isupper() or re.search(r"(?:^|[\s(])\d{1,2}\.$", body)):
+    asked = last_words("unended?", "", body)
+    last = asked[1]
+    if body.endswith(".") and last and not quoted and (last.lower() in ABBREVIATED or len(last) == 1 and last.isupper() or re.search(r"(?:^|[\s(])\d{1,2}\.$", body)):
         return "abbreviated", "", ""
-    return ("unended?", last, "") if last.islower() and len(last) > 1 else NONE
+    return asked if last.islower() and len(last) > 1 else NONE
 
 
 def answer(asked: str, word: str, before: str, model: Endings) -> str:
-    """Why a text is cut, where the counts of its last words tell: omitted or unended; "" if it looks whole."""
-    share, used = model.share(word, before)
-    if asked == "omitted?":
-        return "omitted" if share < WHOLE else ""
-    return "unended" if used >= OFTEN and share < NEVER else ""
+    """Why a text is cut, where the counts of its last words tell: omitted, unterminated or unended; "" if it looks whole.
+
+    Words that end sentences so seldom, against the share of all words, that the odds pass from the prior's to a cut.
+    """
+    share = model.share(word, before)
+    if asked == "unended?":  # a whole text may end in a word never seen there, if others stand there
+        used, ends, _, _ = model.counts.get(read(word).lower(), (0, 0, 0, 0))
+        share = (ends + HELD_BACK * model.after(before)) / (used + HELD_BACK) if used else 1.0
+    prior = PRIOR[asked]
+    return ANSWERS[asked] if share < model.base * prior / (1 - prior) else ""
+
+
+ANSWERS = {"omitted?": "omitted", "bare?": "unterminated", "unended?": "unended"}
 
 
 def evidence(text: str | None, model: Endings) -> str:
-    """Why a text is cut: broken, unterminated, omitted, abbreviated, open or unended; "" if it looks whole."""
+    """Why a text is cut: broken, unterminated, omitted, abbreviated, open or unended; "" if it looks whole. The habits of sources, which a single text can't show, are not asked."""
     why, word, before = question(text)
     return answer(why, word, before, model) if why.endswith("?") else why
 
 
 def questions(rows: DataFrame) -> DataFrame:
-    """(row_id, source, why, word, before) of rows (row_id, source, text)."""
+    """(row_id, source, why, word, before, size) of rows (row_id, source, text); no size where there is no passage of one record."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [question(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in found], pa.string()) for i in range(3))], names=["row_id", "source", "why", "word", "before"])
+            texts = batch.column(2).to_pylist()
+            found = [question(x) for x in texts]
+            sizes = [len(x) if x and "|" not in x and x.strip() else None for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([x[i] for x in found], pa.string()) for i in range(3)), pa.array(sizes, pa.int32())], names=["row_id", "source", "why", "word", "before", "size"]
+            )
+
+    return rows.select("row_id", "source", "text").mapInArrow(ask, "row_id bigint, source string, why string, word string, before string, size int")
 
-    return rows.select("row_id", "source", "text").mapInArrow(ask, "row_id bigint, source string, why string, word string, before string")
+
+def habits(asked: DataFrame, baseline: float = BASELINE) -> DataFrame:
+    """(table_name, source, size) at which a text without a terminator is no cut by that alone: the sizes of sources that leave it out by habit, their limits apart.
+
+    Chance would give a source's bare texts the sizes that the table's terminated texts have. The rows are sums by source and size.
+    """
+    bare = F.sum((F.col("why") == "unterminated").cast("long"))
+    sums = asked.filter("size is not null").groupBy("table_name", "source", "size").agg(bare.alias("bare"), F.count("*").alias("records"))
+    usual = sums.groupBy("table_name", "size").agg(F.sum(F.col("records") - F.col("bare")).alias("ended"))
+    every = usual.groupBy("table_name").agg(F.sum("ended").alias("all_ended"))
+    mine = sums.groupBy("table_name", "source").agg(F.sum("bare").alias("all_bare")).filter("all_bare > 0")
+    key = lambda *names: [x for n in names for x in [F.col(f"s.{n}").eqNullSafe(F.col(f"o.{n}"))]]
+    held = sums.alias("s").join(mine.alias("o"), key("table_name", "source")).select("s.*", "all_bare").join(usual, ["table_name", "size"]).join(every, "table_name")
+    chance = F.col("all_bare") * (F.col("ended") + 1) / (F.col("all_ended") + 1)
+    piled = F.col("bare") * F.log(F.greatest(F.col("bare"), F.lit(1)) / chance) - (F.col("bare") - chance)
+    held = held.withColumn("limit", (F.col("bare") > chance) & (piled > PILED))
+    off = lambda c: F.sum(F.when(F.col("limit"), 0).otherwise(F.col(c)))
+    omitting = held.groupBy("table_name", "source").agg(off("bare").alias("bare"), off("records").alias("records")).filter((F.col("bare") + FEW[0]) / (F.col("records") + FEW[1]) > baseline)
+    return held.filter("bare > 0 and not limit").alias("s").join(omitting.alias("o"), key("table_name", "source"), "left_semi").select("table_name", "source", "size")
 
 
 def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
     """(why, word, before, found) of the distinct questions whose answer is a cut: each question meets the counts of its own two words."""
+    sums = counts.agg(F.sum("used").alias("used"), F.sum("ends").alias("ends")).first()
+    base = (sums.ends or 0) / max(1, sums.used or 0)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +268,7 @@ def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                model = Endings({r["k"]: (r["used"], r["ends"], 0, 0)})
+                model = Endings({r["k"]: (r["used"], r["ends"], 0, 0)}, base)
                 own = model.counts[r["k"]]
                 model.counts[r["j"]] = (*(own[:2] if r["j"] == r["k"] else (0, 0)), r["next_used"], r["next_ends"])
                 out.append(answer(r["why"], r["word"], r["before"], model))
@@ -241,7 +283,7 @@ def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
 def cut_records(tables: dict[str, tuple[DataFrame, str, str, str]], baseline: float = BASELINE) -> tuple[DataFrame, DataFrame]:
     """The cut records of tables {name: (rows, id, source, text)}: (table_name, row_id, source, why); and how often each source cuts: (table_name, source, records, cut, share).
 
-    A row delivered twice comes out once. Null and blank texts are not cut; empty tables give no rows.
+    A row delivered twice comes out once. Null and blank texts are not cut; empty tables give no rows. A null source is a source.
     """
     counts = materialize(ending_counts(*(rows.select(text) for rows, _, _, text in tables.values())))
     parts = []
@@ -249,17 +291,19 @@ def cut_records(tables: dict[str, tuple[DataFrame, str, str, str]], baseline: fl
         rows = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
         parts.append(questions(rows).withColumn("table_name", F.lit(name)))
     asked = materialize(reduce(DataFrame.unionByName, parts))
-    pending = F.col("why").endswith("?")
-    told = materialize(answers(asked.filter(pending), counts))
+    columns = ["table_name", "row_id", "source", "why", "word", "before"]
+    # only bare texts meet the habits of their sources
+    bare, usual = asked.filter("why = 'unterminated'").alias("s"), habits(asked, baseline).withColumn("usual", F.lit(True)).alias("o")
+    met = bare.join(usual, [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("table_name", "source", "size")], "left")
+    why = F.when(F.col("usual") & (F.col("word") != ""), "bare?").otherwise(F.when(F.col("usual"), "").otherwise("unterminated"))
+    bare = materialize(met.select("s.table_name", "row_id", "s.source", why.alias("why"), "word", "before"))
+    pending = asked.filter("why like '%?'").select(columns).unionByName(bare.filter("why = 'bare?'"))
+    told = materialize(answers(pending, counts))
     # rows without a question stay out of the join, where they would share one key
-    judged = asked.filter(pending).join(told, ["why", "word", "before"], "left").select("table_name", "row_id", "source", F.coalesce("found", F.lit("")).alias("why"))
-    verdicts = materialize(asked.filter(~pending).select(judged.columns).unionByName(judged))
-    rule = verdicts.groupBy("table_name", "source").agg(F.avg((F.col("why") == "unterminated").cast("int")).alias("bare"), F.count("*").alias("records"))
-    usual = rule.filter((F.col("bare") > baseline) & (F.col("records") >= 20)).select("table_name", F.col("source").alias("usual"), F.lit(True).alias("as_a_rule"))
-    suspects = verdicts.filter("why != ''")
-    kept = suspects.join(usual, (suspects.table_name == usual.table_name) & suspects.source.eqNullSafe(usual.usual), "left").filter("as_a_rule is null or why != 'unterminated'")
-    found = kept.groupBy(suspects.table_name, "row_id").agg(F.min("source").alias("source"), F.min("why").alias("why"))
-    rates = verdicts.groupBy("table_name", "source").agg(F.count_distinct("row_id").alias("records"))
+    judged = pending.join(told, ["why", "word", "before"]).select("table_name", "row_id", "source", F.col("found").alias("why"))
+    settled = asked.filter("why <> 'unterminated' and why <> '' and why not like '%?'").select(judged.columns).unionByName(bare.filter("why = 'unterminated'").select(judged.columns))
+    found = settled.unionByName(judged).groupBy("table_name", "row_id").agg(F.min("source").alias("source"), F.min("why").alias("why"))
+    rates = asked.groupBy("table_name", "source").agg(F.count_distinct("row_id").alias("records"))
     cuts = found.groupBy("table_name", "source").agg(F.count("*").alias("cut"))
     report = rates.alias("r").join(cuts.alias("c"), (F.col("r.table_name") == F.col("c.table_name")) & F.col("r.source").eqNullSafe(F.col("c.source")), "left")
     report = report.select("r.table_name", "r.source", "r.records", F.coalesce("c.cut", F.lit(0)).alias("cut")).withColumn("share", F.col("cut") / F.col("records"))

@@ -98,24 +98,40 @@ def test_evidence(endings, text, why):
 
 
 def test_cut_records(spark):
+    """A source that never sets a stop, at all lengths, cuts only at its limit and inside sentences; one that stops at a fixed length cuts every time."""
     good, bad = "He sold the lamp and the kettle.", "He sold the lamp and the ket"
-    rows = [(i, "s", good if i % 10 else bad, 1) for i in range(100)] + [(200 + i, "bare", "no stop at all", 1) for i in range(30)] + [(1, "s", bad, 1), (1, "s", bad, 1), (300, None, None, 1), (301, None, bad, 1)]
+    rng = random.Random(5)
+    habit = [" ".join(rng.choices(["lamp", "kettle", "door"], k=rng.randrange(3, 60))) for _ in range(300)]
+    limited = [("He sold the kettle and the lamp. " * 9)[i : i + 96].rstrip(". ").ljust(96, "x") for i in range(60)]
+    rows = [(i, "s", good if i % 10 else bad, 1) for i in range(100)] + [(1000 + i, "bare", t, 1) for i, t in enumerate(habit)] + [(2000 + i, "limit", t, 1) for i, t in enumerate(limited)]
+    rows += [(3000 + i, "bare", "She sold the lamp and the " + "old " * n, 1) for i, n in enumerate([3, 9, 14])]
+    rows += [(4000 + i, "s", "He sold the lamp. She sold the kettle. Who saw the door? " * (1 + i % 20) + "She wept.", 1) for i in range(400)]
+    rows += [(1, "s", bad, 1), (1, "s", bad, 1), (300, None, None, 1), (301, None, bad, 1)]
     df = spark.createDataFrame(rows, "id long, source string, text string, why int")
     found, rates = cutoff.cut_records({"t": (df, "id", "source", "text")})
     ids = sorted(r.row_id for r in found.collect())
-    assert ids == sorted([*range(0, 100, 10), 1, 301])  # a source that never sets a stop cuts nothing
+    assert ids == sorted([*range(0, 100, 10), 1, 301, *range(2000, 2060), 3000, 3001, 3002])
     share = {r.source: (r.records, r.cut) for r in rates.collect()}
-    assert share == {"s": (100, 11), "bare": (30, 0), None: (2, 1)}
+    assert share == {"s": (500, 11), "bare": (303, 3), "limit": (60, 60), None: (2, 1)}
     empty, none = cutoff.cut_records({"t": (df.limit(0), "id", "source", "text")})
     assert empty.count() == none.count() == 0
 
 
+def test_cut_whatever_mark_follows(spark):
+    """Any mark behind a word that never ends a sentence leaves the text cut; behind one that does, it is whole."""
+    corpus = ["He sold the lamp and the kettle. She wept at the door of the inn. Nobody came."] * 4000
+    model = cutoff.endings_model(spark.createDataFrame([(t,) for t in corpus], "t string"))
+    for mark in (".", "!", "?", "…", " …", "...", "[…]", ".”"):
+        assert cutoff.evidence(f"Nobody sold the lamp and the{mark}", model), mark
+        assert not cutoff.evidence(f"Nobody sold the lamp and the kettle{mark}", model) or mark == "[…]"
+
+
 def test_words_are_counted_exactly(spark, monkeypatch):
     """A fragment is judged by its own count, not by that of a word of the same checksum; and the joined counts say what the counts in one object say."""
     fragment = "kettl"
     letters = "abcdefghijklmnopqrstuvwxyz"
     twin = next(w for w in map("".join, itertools.product(letters, repeat=5)) if w != fragment and (zlib.crc32(w.encode()) ^ zlib.crc32(fragment.encode())) & 0xFFFF == 0)
-    texts = [f"He sold the {twin}."] * 10 + [f"He sold the {fragment}…", f"He sold the {twin}…", "He met the Zoë…", "She saw Penn…", "It was Penn Zoë…", *CORPUS[:9], "Then " + "the lamp and " * 1200 + "wept.", "He came to the.", None, ""]
+    texts = [f"He sold the {twin}. She wept."] * 10 + [f"He sold the {fragment}…", f"He sold the {twin}…", "He met the Zoë…", "She saw Penn…", "It was Penn Zoë…", *CORPUS[:9], "Then " + "the lamp and " * 6000 + "wept.", "He came to the.", None, ""]
     rows = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "id long, source string, text string")
     model = cutoff.endings_model(rows.select("text"))
     want = {i for i, t in enumerate(texts) if cutoff.evidence(t, model)}
