@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gnomon.llm.consistent import FOREIGN_TO_LATIN
 from gnomon.session import materialize
 
+TERMINATORS = ".!?。！？।؟"
 OPENERS, CLOSERS = "“‘«([{", "”’»)]}"
 #: A source of which more texts, those at its limits apart, lack a terminator leaves it out by habit; the share is held back by a prior worth so many texts (bare, all).
 BASELINE, FEW = 0.5, (1, 10)
@@ -44,11 +45,11 @@ ABBREVIATED = frozenset("mr mrs ms dr prof rev capt col gen lt sgt st hon sir me
 _tokens = re.compile(r"[^\W_]+(?:[’'-][^\W_]+)*|[.!?…]+")
 _break = re.compile(r"<\s*/?\s*(?:br|p)\s*/?\s*>", re.I)
 _tag = re.compile(r"</?[A-Za-z][^<>]*>")
-_broken = re.compile(r"(?:�|</?[A-Za-z]*/?|&#?\w{0,8}|\\u[0-9a-fA-F]{0,3}|\\|%[0-9A-Fa-f]?)\s*$")
+_broken = re.compile(r"(?:�|&#?\w{0,8}|\\u[0-9a-fA-F]{0,3}|\\|%[0-9A-Fa-f]?)$")
+_broken_tag = re.compile(r"</?[A-Za-z]*/?")
 _marks = re.compile(r"[“”\"«»(\[{)\]}]")
 _ellipsis = re.compile(r"(?:\s*(?:…|\.\s?\.\s?\.+|\.\.))+[.!]?$")
-_terminator = re.compile(r"[.!?。！？।؟]+$")
-_dash = re.compile(r"(?:[—–]|-{1,3})\s*$")
+_figure = re.compile(r"(?:^|[\s(])\d{1,2}\.$")
 _strip = " \t\r\n\u00a0\u200b\u200c\u200d\u2060\ufeff\u00ad”’\"'»)]}"
 _latin = str.maketrans(FOREIGN_TO_LATIN)
 _soft = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
@@ -156,43 +157,64 @@ def left_open(text: str) -> str:
 NONE = ("", "", "")  #: no reason and no question
 
 
+def at_end(pattern: re.Pattern, text: str) -> re.Match | None:
+    """The first match of a pattern bound to the text's end, looked for from the end on: exact where the match can only grow to the left by running on."""
+    width = 48
+    while True:
+        start = max(0, len(text) - width)
+        m = pattern.search(text, start)
+        if not start or m and m.start() > start:
+            return m
+        width *= 4
+
+
+def broken(text: str) -> bool:
+    """Whether a text ends inside a multibyte sequence, entity, escape or tag."""
+    text = text.rstrip()
+    tag = text.rfind("<")
+    return _broken.search(text, max(0, len(text) - 10)) is not None or tag >= 0 and _broken_tag.fullmatch(text, tag) is not None
+
+
 def last_words(why: str, without: str, body: str) -> tuple[str, str, str]:
     """``why`` with the last word of ``body`` and the word before it; ``without`` if there is none."""
-    last, before = _last.search(body), _before.search(body)
+    last = at_end(_last, body)
+    before = at_end(_before, body) if last else None
     return (why, last[1], before[1] if before else "") if last else (without, "", "")
 
 
 def question(text: str | None) -> tuple[str, str, str]:
-    """Why a text is cut, as far as the text alone tells: broken, unterminated, omitted, abbreviated or open; "" if it looks whole. Else, if its last words must be judged, "omitted?" or "unended?", the last word, and the word before it if that matters.
+    """Why a text is cut, as far as the text alone tells: broken, unterminated, omitted, abbreviated or open; "" if it looks whole. Else, if its last words must be judged, "omitted?" or "unended?". Last words stand beside both, and beside "unterminated".
 
     A null or blank text and an unsplit record (its fields between |) are never cut.
     """
-    if text is None or not text.strip() or "|" in text:
+    if text is None or "|" in text or not text.strip():
         return NONE
     text = plain(text)
-    if _broken.search(text):
+    if broken(text):
         return "broken", "", ""
-    text = _soft.sub("", text)
+    text = text if text.isascii() else _soft.sub("", text)
     body = text.rstrip(_strip)
     closed = text[len(body) :]
     if body.endswith(("[…", "[...", "[..")):
         return "omitted", "", ""
     quoted = any(x in closed for x in "”\"»") or "’" in closed
-    if _dash.search(body):
+    if not body:
+        return "unterminated", "", ""
+    end = body[-1]
+    if end in "—–-":
         return NONE if quoted else ("unterminated", "", "")  # a dash is no habit
-    stack = left_open(text)
-    if (m := _ellipsis.search(body)) and (m[0].strip().startswith("…") or m[0].count(".") > 1):
+    if end in ".!…" and (m := at_end(_ellipsis, body)) and (m[0].strip().startswith("…") or m[0].count(".") > 1):
         # speech that breaks off: the closing mark belongs to marks opened later than the whole text's own
-        if quoted and not stack and re.search(r"[“\"«][^“”\"«»]*$", body[: m.start()]) and not re.match(r"\s*[“\"«][^“”\"«»]*$", body[: m.start()]):
+        if quoted and not left_open(text) and re.search(r"[“\"«][^“”\"«»]*$", body[: m.start()]) and not re.match(r"\s*[“\"«][^“”\"«»]*$", body[: m.start()]):
             return NONE
         return last_words("omitted?", "omitted", body[: m.start()])
-    if not _terminator.search(body):
+    if end not in TERMINATORS:
         return last_words("unterminated", "unterminated", body)
-    if any(x in stack for x in "“«("):
+    if any(x in left_open(text) for x in "“«("):
         return "open", "", ""
     asked = last_words("unended?", "", body)
     last = asked[1]
-    if body.endswith(".") and last and not quoted and (last.lower() in ABBREVIATED or len(last) == 1 and last.isupper() or re.search(r"(?:^|[\s(])\d{1,2}\.$", body)):
+    if end == "." and last and not quoted and (last.lower() in ABBREVIATED or len(last) == 1 and last.isupper() or _figure.search(body, max(0, len(body) - 4))):
         return "abbreviated", "", ""
     return asked if last.islower() and len(last) > 1 else NONE
 
