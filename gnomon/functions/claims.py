@@ -148,6 +148,9 @@ _PART = re.compile(r"\b(?:in\s+the|that|this|next|every|early|late|the)\s+(?:sam
 _SIDE = {"morning": "a", "forenoon": "a", "breakfast": "a", "dawn": "a", "sunrise": "a", "afternoon": "p", "evening": "p", "tonight": "p", "sunset": "p", "dusk": "p", "supper": "p"}
 
 
+REACH = 600  #: characters of the paragraph before that are read for exact times
+
+
 @dataclass(frozen=True)
 class Resolution:
     minute: int | None
@@ -175,12 +178,18 @@ def resolve_half(paragraph: str, start: int, end: int, options: tuple[int, int],
         return Resolution(options[cues[0][1] == "p"], f"part of the day: {min(cues)[2]}")
     if cues:
         return Resolution(None, "parts of the day disagree")
-    earlier = before[-600:] + "\n" + paragraph[:start]
-    exact = [r for r in read_times(earlier) if r.minute is not None]
-    passed = [m for m in _LATER.finditer(earlier) if exact and m.start() >= exact[-1].end]
-    if exact and passed:
-        minutes = _value(passed[-1][1]) * (60 if passed[-1][2].lower().startswith("hour") else 1)
-        then = (exact[-1].minute + int(minutes)) % 1440
-        if minutes <= 720 and then in options:
-            return Resolution(then, f"{passed[-1][0]} from {exact[-1].minute}")
-    return Resolution(None, "nothing tells")
+    then = _clock_after(f"{before[-REACH:]}\n{paragraph[:start]}")
+    return Resolution(then, "time passed since an exact time") if then in options else Resolution(None, "nothing tells")
+
+
+def _clock_after(story: str) -> int | None:
+    """The minute at the end of a story: exact times set its clock, and the last time that passes after one, up to twelve hours, moves it on. Null if nothing moved it."""
+    happened = [(r.start, r.minute, None) for r in read_times(story) if r.minute is not None]
+    happened += [(m.start(), None, int(_value(m[1]) * (60 if m[2].lower().startswith("hour") else 1))) for m in _LATER.finditer(story)]
+    clock = moved = None
+    for _, shown, passed in sorted(happened, key=lambda e: e[0]):
+        if shown is not None:
+            clock, moved = shown, None
+        elif clock is not None:
+            moved = passed
+    return (clock + moved) % 1440 if moved is not None and 0 < moved <= 720 else None

@@ -121,12 +121,32 @@ def c27_scan_documents(spark, sf):
 
 
 @query()
-def b26_b28_context(spark, sf):
-    """The context of each candidate's highlight in its passage, with scores and the first ground to reject it."""
-    from gnomon.functions.passages import context_column, ground_column
-
-    rows = spread(table(spark, sf, "scanned_candidates").select("cand_id", "quote", "highlight_start", "highlight_end")).select("cand_id", "quote", context_column("quote", "highlight_start", "highlight_end").alias("c"), ground_column("quote").alias("ground"))
-    return rows.select("cand_id", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), "c.context_score", "c.literary_score", "c.reason", "ground")
+def b26_b30_context(spark, sf):
+    """The context of each candidate's highlight in its passage, with scores and the grounds to reject it."""
+    from gnomon.functions.passages import extent_column, ground_column, scored
+
+    rows = spread(table(spark, sf, "scanned_candidates").select("cand_id", "quote", "highlight_start", "highlight_end")).select("*", extent_column("quote", "highlight_start", "highlight_end").alias("c"), ground_column("quote").alias("ground"))
+    cut = lambda a, b: F.substring(F.col("quote"), a + 1, b - a)
+    s = scored(cut(F.col("c.start"), F.col("c.end")), cut(F.col("highlight_start"), F.col("highlight_end")))
+    return rows.select("cand_id", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), s.alias("s"), "ground").select("cand_id", "start_char", "end_char", "s.context_score", "s.literary_score", "s.reason", "ground")
+
+
+@query(
+    r"""SELECT cand_id, CAST(greatest(0, least(100, 40 + CASE WHEN n BETWEEN 80 AND 350 THEN 35 WHEN n BETWEEN 40 AND 600 THEN 22 ELSE -30 END + CASE WHEN regexp_matches(quote, '^[\p{Lu}“‘"'']') THEN 10 ELSE 0 END
+  + CASE WHEN ends THEN 10 ELSE 0 END - CASE WHEN twice THEN 30 ELSE 0 END)) AS DOUBLE) AS context_score,
+  CAST(greatest(0, least(100, 25 + CASE WHEN len(w) >= 8 THEN 30 ELSE 0 END + CASE WHEN length(regexp_replace(quote, '\P{L}+', '', 'g')) >= 0.55 * greatest(n, 1) THEN 20 ELSE 0 END + CASE WHEN regexp_matches(quote, '[,;:“"]') THEN 15 ELSE 0 END
+  + CASE WHEN len(list_distinct(w)) >= least(len(w), 10) THEN 10 ELSE 0 END - CASE WHEN listing THEN 60 ELSE 0 END)) AS DOUBLE) AS literary_score,
+  CASE WHEN n < 40 THEN 'too short' WHEN n > 600 THEN 'too long' WHEN twice THEN 'phrase repeats' WHEN listing THEN 'listing' WHEN regexp_matches(quote, '^\P{L}*\p{Ll}') THEN 'begins inside a sentence' WHEN NOT ends THEN 'no end of sentence' END AS reason
+FROM (SELECT *, length(quote) AS n, regexp_extract_all(lower(quote), '\p{L}+(?:[’'']\p{L}+)?') AS w, regexp_matches(quote, '[.?!][”’]?$') AS ends,
+  length(quote) - length(replace(lower(quote), lower(time_text), '')) > length(time_text) AS twice,
+  regexp_matches(quote, '^(?i:chapter\s+[0-9ivxlc]+|contents|copyright|isbn|table\s+of|http\S+|attendance\s*:|hours\s*:|time\s*[,.:])') AS listing FROM scanned_candidates WHERE quote IS NOT NULL AND time_text IS NOT NULL)"""
+)
+def b28_scores(spark, sf):
+    """The two scores of each candidate's whole passage, and the first ground to reject it."""
+    from gnomon.functions.passages import scored
+
+    rows = table(spark, sf, "scanned_candidates").filter("quote is not null and time_text is not null")
+    return rows.select("cand_id", scored(F.col("quote"), F.col("time_text")).alias("s")).select("cand_id", "s.context_score", "s.literary_score", "s.reason")
 
 
 @query()
