@@ -197,3 +197,13 @@ def test_model_tells_good_sources_from_bad(spark):
     members = spark.createDataFrame(rows, "first_id long, source int, quality_status string, source_name string").withColumn("highlight_start", F.lit(None).cast("int"))
     quality = survivor.infer(survivor.claims(members), ["a", "b", "c", "d"])
     assert quality.sensitivity[0][1] > 0.8 > 0.5 > quality.sensitivity[0][4] and quality.specificity[0][1] > quality.specificity[0][4]
+
+
+def test_the_model_names_the_survivor(spark):
+    """Of two rows that are each better in one field, the one survives whose field the model trusts more; neither dominates."""
+    rows = spark.createDataFrame([(1, 2, 10, 1, 0, None, 4), (1, 2, 11, 2, 7, None, 1)], "first_id long, copies long, quote_id long, source int, highlight_start int, created_at timestamp, status_rank int")
+    rows = rows.withColumn("highlight_start", F.when(F.col("highlight_start") > 0, F.col("highlight_start")))
+    for sure, want in (([0.5, 0.95, 0.6], 10), ([0.5, 0.6, 0.95], 11)):
+        quality = survivor.Quality(["a", "b"], [[x] * 3 for x in sure], [[x] * 3 for x in sure])
+        found = survivor.survivors(rows, quality).first()
+        assert (found.quote_id, found.dominant) == (want, False)
