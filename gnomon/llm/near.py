@@ -5,9 +5,12 @@ Jaccard similarity t share l tokens of their prefixes of n - ceil(t n) + l token
 text takes the l from 1 to ``MOST_MATCHES`` that is estimated to cost least, and a pair
 must share as many prefix tokens as the lesser l of the two before it is verified.
 
-Postings travel as packed blobs, bucketed by token; tokens that very many texts hold
-are spread over a grid of cells, so that no task holds more than two blocks of one
-token's texts. Copies are one node: links are between different word sequences.
+The order comes from exact counts: tokens are counted bucket by bucket, and the
+``MOST_HEAVY`` that most texts hold are known with their numbers; all others are light,
+and how many texts hold a light token at most is known too. Postings travel as packed
+blobs, bucketed by token; tokens that very many texts hold are spread over a grid of
+cells, so that no task holds more than two blocks of one token's texts. Copies are one
+node: links are between different word sequences.
 """
 
 from __future__ import annotations
@@ -28,17 +31,20 @@ from gnomon.session import materialize
 WORDS, SIMILARITY = 3, 0.6
 MOST_MATCHES = 3
 VERIFY_COST = 8.0  #: of a candidate, where scanning a posting costs 1
-SKETCH = 1 << 20  #: counters that estimate in how many texts a token stands; collisions cost time, not links
-SKETCH_BLOCKS = 16
+MOST_HEAVY = 2_000_000  #: tokens whose counts are broadcast, 16 bytes each; which tokens are known costs or saves time, never links
+COUNTED_TOKENS = 4_000_000  #: of a bucket in which tokens are counted
+KEY_BITS = 40  #: of a token where it is counted; two tokens that agree in these are counted as one
+MOST_BUCKETS, MOST_PARTITIONS = 1 << 20, 8192
 CELL_TEXTS = 2_000  #: texts of one token in a block of its grid
 BUCKET_POSTINGS = 500_000
 SEEN_NODES = 500_000  #: nodes that a task remembers, to pass each on once
 PAIRS_AT_ONCE = 500_000
 TOKEN_BYTES = 5  #: of a token in a posting: in one bucket two tokens that agree in these are as good as never different, and verification settles them
-BROADCAST_NODES = 4_000_000  #: candidate nodes (8 bytes each) up to which they are broadcast to the sets; beyond, the sets are joined as they are
+BITMAP_BITS = (16, 28)  #: least and most of the bitmap of candidate nodes, as powers of two: 32 MB at most
+BITMAP_BLOCK = 1 << 16  #: bytes
 FLUSH = 400_000  #: postings packed at once
-POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4"), ("level", "u1"), ("matches", "u1"), ("block", "<u2"), ("cell", "<u4"), ("own", "u1")])
-_made = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("k", pa.int64()), ("tokens", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("bits", "<u8"), ("size", "<u4"), ("at", "<u4"), ("level", "u1"), ("matches", "u1"), ("block", "<u4"), ("cell", "<u8"), ("own", "u1")])
+_made = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("k", pa.int64()), ("tokens", pa.list_(pa.int64())), ("total", pa.int64())])
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -85,11 +91,11 @@ class Shingler:
 
 
 def nodes(rows: DataFrame, words: int) -> DataFrame:
-    """One pass over (id, text): each row with its node and key (id, node, k); each node that a task meets with its tokens (node, tokens); and what the task counted of them (block, counts)."""
+    """One pass over (id, text): each row with its node and key (id, node, k); each node that a task meets with its tokens (node, tokens); and how many tokens the task met (total)."""
     shared = rows.sparkSession.sparkContext.broadcast(bigram_model(rows.select("text")).counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, shingler, total = Folder(shared.value), Shingler(words), np.zeros(SKETCH, np.int64)
+        fold, shingler, total = Folder(shared.value), Shingler(words), 0
         seen: set[int] = set()
 
         def made(**columns: object) -> pa.RecordBatch:
@@ -117,40 +123,115 @@ def nodes(rows: DataFrame, words: int) -> DataFrame:
             yield made(id=ids, node=every, k=keys)
             if texts:
                 owner, tokens = shingler(texts)
-                total += np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                total += len(tokens)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
                 yield made(node=new, tokens=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64))))
-        if total.any():
-            parts = np.split(np.minimum(total, 2**32 - 1).astype("<u4"), SKETCH_BLOCKS)
-            yield made(block=range(SKETCH_BLOCKS), counts=[x.tobytes() for x in parts])
+        yield made(total=[total])
 
-    return materialize(rows.mapInArrow(run, "id bigint, node bigint, k bigint, tokens array<bigint>, block int, counts binary"))
+    return materialize(rows.mapInArrow(run, "id bigint, node bigint, k bigint, tokens array<bigint>, total bigint"))
 
 
-def sketch(made: DataFrame) -> np.ndarray:
-    """Estimated numbers of texts for each token, summed over the tasks' counts: ``SKETCH`` counters, whatever the collection."""
+class Counts:
+    """In how many texts the heavy tokens stand; all others stand in ``floor`` texts at most."""
+
+    def __init__(self, keys: np.ndarray, texts: np.ndarray, floor: int) -> None:
+        self.keys, self.texts, self.floor = keys, texts, floor
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """The number of texts of each token; 0 for a light one."""
+        if not len(self.keys) or not len(tokens):
+            return np.zeros(len(tokens), np.int64)
+        keys = tokens >> np.uint64(64 - KEY_BITS)
+        order = np.argsort(keys)  # sorted keys are found several times as fast
+        at = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        out = np.zeros(len(tokens), np.int64)
+        out[order] = np.where(self.keys[at] == keys[order], self.texts[at], 0)
+        return out
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: planes of zeros compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
+def token_counts(made: DataFrame, total: int) -> Counts:
+    """Exact counts over all nodes' tokens: summed where they are read, then bucket by bucket in ranges of keys. Each bucket passes on its heaviest tokens and the count of the heaviest that it keeps back."""
+    buckets = min(MOST_BUCKETS, max(16, total // COUNTED_TOKENS))
+    most = max(2, MOST_HEAVY // buckets)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def blobs() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(waiting) >> np.uint64(64 - KEY_BITS), return_counts=True)
+            waiting.clear()
+            to = (keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)
+            starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            parts = [(int(to[i]), np.diff(k, prepend=np.uint64(0)), n) for i, k, n in zip(starts, np.split(keys, starts[1:]), np.split(counts, starts[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([planes(k) for _, k, _ in parts], pa.binary()), pa.array([planes(n) for _, _, n in parts], pa.binary())], names=["bucket", "keys", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
-
-    out = np.zeros(SKETCH, np.int64)
-    step = SKETCH // SKETCH_BLOCKS
-    counted = made.filter("counts is not null").select("block", "counts")
-    for r in counted.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect():
-        out[r.block * step : (r.block + 1) * step] = np.frombuffer(bytes(r.counts), "<i8")
-    return out
+            if len(tokens := np.asarray(batch.column(0).flatten()).view(np.uint64)):
+                waiting.append(tokens)
+            if sum(map(len, waiting)) > COUNTED_TOKENS // 2:
+                yield blobs()
+        if waiting:
+            yield blobs()
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = None
 
-def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """Postings of each text's prefix."""
-    freq = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
+        def full() -> pa.RecordBatch:
+            keys, counts = summed(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            keys, counts = keys[counts > 1], counts[counts > 1]
+            floor = 1
+            if len(counts) > most:
+                floor = int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1])
+                keys, counts = keys[counts > floor], counts[counts > floor]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(keys.astype(np.int64), -1)), pa.array(np.append(counts.astype(np.int64), floor))], names=["key", "texts"])
+
+        for batch in batches:
+            for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and held:
+                    yield full()
+                at = bucket
+                held.append((np.cumsum(from_planes(keys), dtype=np.uint64), from_planes(counts).astype(np.int64)))
+        if held:
+            yield full()
+
+    parts = made.filter("tokens is not null").select("tokens").mapInArrow(emit, "bucket int, keys binary, counts binary")
+    parts = parts.repartitionById(min(buckets, MOST_PARTITIONS), F.col("bucket") % min(buckets, MOST_PARTITIONS)).sortWithinPartitions("bucket")
+    counted = materialize(parts.mapInArrow(add, "key bigint, texts bigint"))
+    floor = counted.filter("key < 0").agg(F.max("texts")).first()[0] or 1
+    heavy = counted.filter((F.col("key") >= 0) & (F.col("texts") > floor)).toArrow()  # MOST_HEAVY rows at most
+    keys, texts = heavy.column("key").to_numpy().astype(np.uint64), heavy.column("texts").to_numpy()
+    order = np.argsort(keys)
+    return Counts(keys[order], texts[order], floor)
+
+
+def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: Counts, similarity: float) -> np.ndarray:
+    """Postings of each text's prefix. A token that only its own text holds needs none."""
+    freq = counts.of(tokens)
     order = np.lexsort((tokens, freq, owner))
     tokens, freq = tokens[order], freq[order].astype(np.float64)
+    single = (freq == 0) if counts.floor <= 1 else np.zeros(len(freq), bool)
+    freq[freq == 0] = 0.0 if counts.floor <= 1 else (1 + counts.floor) / 2
     sizes = np.bincount(owner, minlength=len(nodes))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     bits = np.zeros(len(nodes), np.uint64)
@@ -166,6 +247,7 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: n
     matches = np.argmin(np.array(costs), 0) + 1 if len(nodes) else np.empty(0, np.int64)
     at = np.arange(len(tokens)) - starts[owner]
     inside = at < (base + matches - 1)[owner]
+    inside &= ~single
     who, at, tokens_in, freq_in = owner[inside], at[inside], tokens[inside], freq[inside]
     out = np.zeros(len(who), POSTING)
     out["token"], out["node"], out["bits"], out["size"], out["at"] = tokens_in, nodes[who], bits[who], sizes[who], at
@@ -178,7 +260,7 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: n
         for other in range(n):
             copy = hot.copy()
             low, high = np.minimum(hot["block"], other), np.maximum(hot["block"], other)
-            copy["cell"] = low.astype(np.uint32) * np.uint32(n) + high + 1
+            copy["cell"] = low.astype(np.uint64) * np.uint64(n) + high + 1
             copy["own"] = low == high
             spread.append(copy)
     return np.concatenate(spread)
@@ -253,18 +335,20 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
     A text is its words in lower case, in consistent form. Null texts and those with fewer words than a shingle are linked to nothing; repeated rows are members of one node. Nodes are 64-bit hashes of the words, verified on 31-bit hashes of the shingles.
     """
     made = nodes(rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("text is not null"), words)
-    counts = sketch(made)
-    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype("<u4").tobytes())
-    buckets = max(16, -(-int(counts.sum()) // BUCKET_POSTINGS))
+    total = made.agg(F.sum("total")).first()[0] or 0
+    counts = token_counts(made, total)
+    shared = rows.sparkSession.sparkContext.broadcast((counts.keys, counts.texts, counts.floor))
+    partitions = min(MOST_PARTITIONS, max(16, total // BUCKET_POSTINGS))
+    buckets = max(partitions, total // BUCKET_POSTINGS)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, "<u4")
+        held = Counts(*shared.value)
         waiting: list[np.ndarray] = []
 
         def blobs() -> pa.RecordBatch:
             every = np.concatenate(waiting)
             waiting.clear()
-            to = ((mixed(every["token"] + every["cell"].astype(np.uint64) * _MIX[0])) % np.uint64(buckets)).astype(np.int64)
+            to = ((mixed(every["token"] + every["cell"] * _MIX[0])) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             names, starts = np.unique(to[order], return_index=True)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([packed(x) for x in np.split(every[order], starts[1:])], pa.binary())], names=["bucket", "blob"])
@@ -300,14 +384,9 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
         if blobs:
             yield from out()
 
-    met = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node_a bigint, node_b bigint, need int")
+    met = posted.repartitionById(partitions, (F.col("bucket") % partitions).cast("int")).sortWithinPartitions("bucket").mapInArrow(meet, "node_a bigint, node_b bigint, need int")
     candidates = materialize(met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("node_a", "node_b"))
-    short = F.transform("tokens", lambda x: F.shiftrightunsigned(x, 33).cast("int"))  # 31 bits to verify on
-    sets = made.filter("tokens is not null").select("node", short.alias("tokens"))
-    ends = candidates.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
-    if ends.count() <= BROADCAST_NODES:
-        sets = sets.join(F.broadcast(ends), "node", "left_semi")
-    sets = sets.dropDuplicates(["node"])
+    sets = wanted_sets(made.filter("tokens is not null").select("node", "tokens"), candidates).dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("node_a"), F.col("tokens").alias("set_a")), sets.select(F.col("node").alias("node_b"), F.col("tokens").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     alike = common / (F.size("set_a") + F.size("set_b") - common)
@@ -315,6 +394,49 @@ def near_pairs(rows: DataFrame, id_column: str, text_column: str, words: int = W
     return links, made.filter("id is not null").select("id", "node", "k")
 
 
+def wanted_sets(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The sets of candidate nodes, and a few others, with 31 bits of each token: a bitmap of the candidates keeps all others out of the join. The bitmap grows with the candidates to 32 MB; beyond, it keeps fewer sets out."""
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (16 * candidates.count()).bit_length()))
+
+    def places(nodes: np.ndarray) -> np.ndarray:
+        return (mixed(nodes.view(np.uint64) + _MIX[0]) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            at = np.unique(np.concatenate([places(np.asarray(c)) for c in batch.columns]))
+            starts = np.flatnonzero(np.concatenate([[True], (at >> 3)[1:] != (at >> 3)[:-1]])) if len(at) else at
+            if len(at):
+                held[at[starts] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), starts)
+        blocks = [(i, held[i : i + BITMAP_BLOCK].tobytes()) for i in range(0, len(held), BITMAP_BLOCK) if held[i : i + BITMAP_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["at", "block"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = np.frombuffer(block, np.uint8)
+                held[at] = held[at] | block if at in held else block
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "block"])
+
+    marked = np.zeros((1 << bits) // 8, np.uint8)
+    for at, block in candidates.select("node_a", "node_b").mapInArrow(mark, "at int, block binary").repartition(32, "at").mapInArrow(merge, "at int, block binary").collect():
+        marked[at : at + len(block)] = np.frombuffer(bytes(block), np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(marked.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = places(np.asarray(batch.column(0)))
+            batch = batch.filter(pa.array((held[at >> 3] >> (at & 7)) & 1 == 1))
+            lists = batch.column(1)
+            short = (np.asarray(lists.flatten()).view(np.uint64) >> np.uint64(33)).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(short))], names=["node", "tokens"])
+
+    return sets.mapInArrow(keep, "node bigint, tokens array<int>")
+
+
 def near_records(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b) of linked records that aren't copies, the smaller id first."""
     a = members.select(F.col("id").alias("id_1"), F.col("node").alias("node_a"), F.col("k").alias("k_1"))

@@ -106,7 +106,7 @@ def test_hot_tokens_lose_no_pair(monkeypatch, cell):
     texts = edited(rng, [f"v{i}" for i in range(12)], 60)
     texts = sorted(set(texts))
     owner, tokens = near.Shingler(3)(texts)
-    counts = np.bincount((tokens % np.uint64(near.SKETCH)).astype(np.int64), minlength=near.SKETCH)
+    counts = near.Counts(*np.unique(tokens >> np.uint64(24), return_counts=True), 1)
     postings = near.prefixes(owner, tokens, np.arange(len(texts)), counts, 0.6)
     assert (postings["cell"] > 0).any() == (cell == 3)
     again = near.unpacked([near.packed(postings[:50]), near.packed(postings[50:])])
@@ -119,10 +119,39 @@ def test_hot_tokens_lose_no_pair(monkeypatch, cell):
     assert want <= kept
 
 
+def test_tokens_are_counted_exactly(spark, monkeypatch):
+    """The heaviest tokens have their true counts, however the rows are dealt, and no other stands in more texts than the floor."""
+    rng = np.random.default_rng(9)
+    pool = rng.choice(2**63, 300).astype(np.uint64) << np.uint64(1)
+    lists = [np.unique(rng.choice(pool[: 1 + i], 40)).view(np.int64).tolist() for i in range(300)]
+    true = {}
+    for row in lists:
+        for t in row:
+            true[t & (2**64 - 1)] = true.get(t & (2**64 - 1), 0) + 1
+    for parts, most in ((1, 2_000_000), (7, 2_000_000), (7, 64)):
+        monkeypatch.setattr(near, "MOST_HEAVY", most)
+        monkeypatch.setattr(near, "COUNTED_TOKENS", 2_000 if parts > 1 else 4_000_000)
+        made = spark.createDataFrame([(x,) for x in lists], "tokens array<bigint>").repartition(parts)
+        counts = near.token_counts(made, sum(map(len, lists)))
+        held = counts.of(np.array(list(true), np.uint64))
+        assert all(n == h or h == 0 and n <= counts.floor for n, h in zip(true.values(), held.tolist()))
+        assert (counts.floor == 1) == (most > 64) and 0 < len(counts.keys) <= most
+
+
+def test_few_known_tokens_lose_no_pair(spark, monkeypatch):
+    """Where only a few tokens are known to be heavy, and a small bitmap lets strangers pass, the links are the same."""
+    rng = random.Random(15)
+    rows = list(enumerate(edited(rng, [f"v{i}" for i in range(40)], 80)))
+    df = spark.createDataFrame(rows, "key long, text string")
+    for name, value in (("MOST_HEAVY", 64), ("BITMAP_BITS", (3, 4)), ("BITMAP_BLOCK", 1), ("CELL_TEXTS", 5), ("FLUSH", 50)):
+        monkeypatch.setattr(near, name, value)
+    assert {(r.id_a, r.id_b) for r in near.near_records(*near.near_pairs(df, "key", "text")).collect()} == brute(rows)
+
+
 def test_long_texts_keep_their_sizes_and_places():
     """A text of 200,000 shingles and the 140,000 of its part that come last in the order of tokens."""
     tokens = np.sort(np.random.default_rng(8).choice(2**62, 200_000, replace=False).astype(np.uint64))
-    counts = np.ones(near.SKETCH, np.int64)
+    counts = near.Counts(np.empty(0, np.uint64), np.empty(0, np.int64), 2)
     part = tokens[60_000:]
     owner = np.repeat([0, 1], [len(tokens), len(part)])
     postings = near.prefixes(owner, np.concatenate([tokens, part]), np.arange(2), counts, 0.6)
