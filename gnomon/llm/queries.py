@@ -115,12 +115,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_units(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sentence with its number and text."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    units = sentences.split(docs).distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_char"))
-    texts = docs.filter("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return units.withColumn("sentence", place).join(texts, "doc_id").select("doc_id", "sentence", F.substring(F.col("text"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int")).alias("unit"))
+    """Each sentence with its number in the document and its text."""
+    return sentences.split(_documents(spark, sf), numbered=True).select("doc_id", "sentence", "unit")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,10 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
-Blank lines part units first. In scripts without spaces a lattice of the words of a
+Blank lines part units first. In Chinese and Japanese a lattice of the words of a
 dictionary, counted over the corpus, is segmented around each gap, and final particles,
 opening words and reporting verbs tell whether the gap ends a sentence. In spaced
 scripts the terminators of a paragraph are the nodes of a lattice: each may end a
-sentence or not, scored by the words beside it, and the best path is taken.
+sentence or not, scored by the words beside it and by the end before it, and the best
+path is taken. In Thai the spaces are classified by what stands beside them.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ JA_REPORTING = ("と", "って")
 FINAL_PARTICLES = frozenset("了 吗 呢 吧 啊 呀 的 か だ た よ ね な す る い คร\u0e31บ ค\u0e48ะ คะ นะ แล\u0e49ว".split())
 # Fixed values end.
 
-DICTIONARY_WORDS = 50_000  #: entries of the dictionary, the most frequent ones
-LEAST_USES = 3  #: over the whole corpus, of a word of two or more letters
+#: Shares of all letters of spaceless scripts, and of all lower-case words, from which on a word is in the model: it holds no more than the inverse, however large the corpus. Of few uses nothing is learned.
+DICTIONARY_SHARE, COMMON_SHARE, LEAST_USES = 5e-6, 1e-6, 3
+LONE = -1.5  #: of two ends with nothing between but single letters and figures
 COUNTED_AT_ONCE = 500_000  #: words whose counts a task holds before it passes them on to be summed
 LONGEST_WORD = 6
 LOOK_AHEAD = 240  #: characters behind a terminator that are read to judge it, from the next visible one on
@@ -72,8 +74,11 @@ _figure = re.compile(r"(?<![^\W_])\d{1,4}$")
 _roman = re.compile(r"(?<![^\W_])[ivxlc]+$")
 _noise = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e\ufb00-\ufb06]")
 _foreign, _ascii_letter = re.compile("[\u0370-\u058f\u1f00-\u1fff]"), re.compile("[A-Za-z\u00c0-\u024f]")
-_alnum = re.compile(r"[^\W_]")
+_alnum, _long_word = re.compile(r"[^\W_]"), regex.compile(r"(?:\p{L}\p{M}*){2}")
 _caseless_start = regex.compile(r"[\p{Arabic}\p{Devanagari}]")
+_cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+")
+_lower_word = regex.compile(r"(?<![\p{L}\p{N}’'-])\p{Ll}[\p{Ll}\p{M}]+")
+_dash_lead = re.compile(r"[—–-]\s")
 _dash_on = regex.compile(r"[—–-]\s*\p{Ll}")
 _tail = regex.compile(r"[\p{L}\p{M}]+$")
 _initial = regex.compile(r"\p{L}\.")
@@ -119,13 +124,13 @@ class Lexicon:
 
 
 class Case:
-    """How often words are written in lower case: a capital on such a word opens a sentence."""
+    """The words that are commonly written in lower case, with their counts: a capital on such a word opens a sentence."""
 
     def __init__(self, lower: dict[str, int]) -> None:
         self.lower = lower
 
     def common(self, word: str) -> bool:
-        return word.lower() in OPENERS or self.lower.get(word.lower(), 0) >= 3
+        return word.lower() in OPENERS or word.lower() in self.lower
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -174,7 +179,7 @@ def cjk_gaps(text: str, lexicon: Lexicon) -> Iterator[int]:
             if after.startswith(JA_REPORTING):
                 continue
             clause = re.split("[。！？!?…“「『，]", after, maxsplit=1)[0]
-            words = lexicon.segment(clause[:40]) if clause else []
+            words = lexicon.segment(clause) if clause else []
             if not re.match("[“「『]", after) and any(w.endswith(ZH_REPORTING) for w in words[-3:]):
                 continue
         if not mark.strip("…⋯") and not lexicon.final(text[max(0, m.start() - 24) : m.start()]) and lexicon.opening(after) < 0.5:
@@ -188,7 +193,7 @@ def _reports(after: str, caseless: bool) -> bool:
     """Whether the clause behind a quotation reports it: in scripts without capitals it holds a verb of speech, else such a verb follows the speaker."""
     if caseless:
         clause = regex.split(r"[.!?…؟।:;“”«»\"](?:\s|$)", after, maxsplit=1)[0]
-        return any(w.strip("—–-،,") in REPORTING for w in clause.split()[:16])
+        return any(w.strip("—–-،,") in REPORTING for w in clause.split())
     m = _speaker.match(after)
     return bool(m) and m[1].lower() in REPORTING
 
@@ -210,26 +215,36 @@ def spaced_gaps(text: str, case: Case) -> list[int]:
         glued = len(rest) == len(ahead) and rest[:1] not in _edges
         if glued and not (_caseless_start.match(rest) and marks[0] in "؟।॥۔"):
             continue  # figures, dotted abbreviations, marks in a row
-        if ahead[0] in ",;:،؛)" or _dash_on.match(ahead):
+        if ahead[0] in ",;:،؛)" or ahead[0] in "—–-" and _dash_on.match(ahead):
             continue
         nodes.append((m.end(), _score(text, m.start(), marks, closed, ahead, case)))
     return best_path(text, nodes)
 
 
 def best_path(text: str, nodes: list[tuple[int, float]]) -> list[int]:
-    """The ends with the greatest sum of scores, where every unit must hold a letter or digit: a path may take one of the nodes that nothing but marks parts, and none before the first letter."""
-    path: list[int] = []
-    value, held, at, begun = 0.0, 0, 0, False
-    for end, score in [*nodes, (len(text), 0.0)]:
-        apart = _alnum.search(text, at, end) is not None
-        if apart and held:
-            path.append(held)
-            value, held = 0.0, 0
-        begun = begun or apart
-        if begun and score > value:
-            value, held = score, end
+    """The ends with the greatest sum of scores, a path through a lattice of two states for each terminator: it ends a sentence or not.
+
+    Between two ends must stand a letter or digit, and two neighbours that both end one lose if nothing but single letters and figures stands between.
+    """
+    open_, ended = (0.0, None), None  # best values so far, each with its chain of ends; None if no path leads there
+    at, begun = 0, False
+    for end, score in nodes:
+        begun = begun or _alnum.search(text, at, end) is not None
+        ways = []
+        if begun:
+            ways.append((open_[0] + score, open_))
+            if ended and _alnum.search(text, at, end):
+                ways.append((ended[0] + score + (0.0 if _long_word.search(text, at, end) else LONE), ended))
+        better = max((x for x in (open_, ended) if x), key=lambda x: x[0])
+        way = max(ways, key=lambda x: x[0], default=None)
+        open_, ended = (better[0], better[1]), way and (way[0], (end, way[1][1]))
         at = end
-    return path
+    chain = max((x for x in (open_, ended) if x), key=lambda x: x[0])[1]
+    path = []
+    while chain:
+        path.append(chain[0])
+        chain = chain[1]
+    return path[::-1]
 
 
 def plain(text: str) -> str:
@@ -246,16 +261,19 @@ def _score(text: str, at: int, marks: str, closed: str, ahead: str, case: Case)
     word = _next_word.search(ahead)
     lead = ahead[: word.start()] if word else ahead
     nxt = word[0] if word else ""
-    quoted = any(c in closed for c in "”’“‘»›\"'")
+    quoted = bool(closed) and any(c in closed for c in "”’“‘»›\"'")
     if nxt and nxt[0].islower():
         return -5.0
     caseless = bool(nxt) and nxt[0].isalpha() and not nxt[0].isupper()
-    opens = any(c in lead for c in "“„«‹‘([¿¡\"'") or re.match(r"[—–-]\s", lead)
+    opens = bool(lead) and (any(c in lead for c in "“„«‹‘([¿¡\"'") or _dash_lead.match(lead) is not None)
     if quoted and not opens and marks[-1] not in ".।" and _reports(ahead, caseless):
         return -4.0
     if marks[-1] != "." or marks.strip("."):
         return 3.0
     before = plain(text[max(0, at - 40) : at])
+    whole = before[before.rfind(" ") + 1 :]
+    if len(whole) > 3 and whole.isalpha() and not _roman.fullmatch(whole) and (low := whole.lower()) not in BEFORE_NAME and low not in MAY_END:
+        return 2.0  # a plain word
     if m := _figure.search(before):
         month = nxt.lower() in MONTHS
         return -3.0 if month and int(m[0]) <= 31 else 2.0
@@ -308,7 +326,7 @@ def sentences(text: str | None, lexicon: Lexicon, case: Case) -> list[tuple[int,
 
 
 def train(documents: DataFrame, text_column: str = "text") -> tuple[Lexicon, Case]:
-    """The dictionary of spaceless scripts and the lower-case words, counted over all documents; of each the ``DICTIONARY_WORDS`` most frequent."""
+    """The dictionary of Chinese and Japanese and the lower-case words, counted over all documents; of each those of the stated shares. Thai gaps need no dictionary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, opens, lower = Counter(), Counter(), Counter()
@@ -324,12 +342,12 @@ def train(documents: DataFrame, text_column: str = "text") -> tuple[Lexicon, Cas
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
-                lower.update(regex.findall(r"(?<![\p{L}\p{N}’'-])\p{Ll}[\p{Ll}\p{M}]+", text))
+                lower.update(_lower_word.findall(text))
                 if len(words) + len(lower) > COUNTED_AT_ONCE:
                     yield counted()
-                if text.isascii() or not (_cjk.search(text) or _thai.search(text)):
+                if text.isascii() or not _cjk.search(text):
                     continue
-                for run in regex.finditer(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[\p{Thai}]+", text):
+                for run in _cjk_run.finditer(text):
                     s = run[0]
                     first = run.start() == 0 or text[run.start() - 1] in "。！？\n“「『"
                     for n in range(1, LONGEST_WORD + 1):
@@ -339,34 +357,40 @@ def train(documents: DataFrame, text_column: str = "text") -> tuple[Lexicon, Cas
         yield counted()
 
     counted = documents.select(text_column).mapInArrow(count, "kind string, word string, n bigint, opens bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"))
-    # a longer word is one from LEAST_USES on, which only the sums over all tasks can tell; its openings stay or go with it
-    counted = materialize(counted.filter((F.col("kind") != "w") | (F.char_length("word") == 1) | (F.col("n") >= LEAST_USES)))
+    counted = materialize(counted)
+    sums = {r.kind: r.n for r in counted.filter((F.col("kind") == "l") | (F.char_length("word") == 1)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     found: dict[str, dict[str, int]] = {}
     opens: dict[str, int] = {}
-    for kind in "wl":
-        top = counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()
-        found[kind] = {r.word: r.n for r in top}
-        opens |= {r.word: r.opens for r in top if r.opens}
+    for kind, share in (("w", DICTIONARY_SHARE), ("l", COMMON_SHARE)):
+        least = max(LEAST_USES, share * sums.get(kind, 0))
+        single = (F.char_length("word") == 1) & (F.col("n") >= share * sums.get(kind, 0))
+        rows = counted.filter((F.col("kind") == kind) & ((F.col("n") >= least) | (single if kind == "w" else F.lit(False)))).collect()
+        found[kind] = {r.word: r.n for r in rows}
+        opens |= {r.word: r.opens for r in rows if r.opens}
     # a longer word must hold together: seen nearly as often as its rarer half alone would make it
     total = sum(n for w, n in found["w"].items() if len(w) == 1) or 1
     kept = {w: n for w, n in found["w"].items() if len(w) == 1 or all(n * total > 20 * found["w"].get(w[:i], n) * found["w"].get(w[i:], n) for i in range(1, len(w)))}
     return Lexicon(kept, {w: n for w, n in opens.items() if w in kept}), Case(found["l"])
 
 
-def split(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per sentence: its document, start_char and end_char in code points.
+def split(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", numbered: bool = False) -> DataFrame:
+    """One row per sentence: its document, start_char and end_char in code points; if ``numbered``, also its number in the document from 1 and its text (sentence, unit).
 
     Null, empty and blank texts and lines without letters or digits give no rows; repeated rows repeat their sentences; other columns don't matter.
     """
     lexicon, case = train(documents, text_column)
     shared = documents.sparkSession.sparkContext.broadcast((lexicon.counts, lexicon.opens, case.lower))
+    fields = {id_column: pa.int64(), "start_char": pa.int64(), "end_char": pa.int64()} | ({"sentence": pa.int32(), "unit": pa.string()} if numbered else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, opens, lower = shared.value
         held = Lexicon(counts, opens), Case(lower)
         for batch in batches:
-            out = [(doc, *s) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in sentences(text, *held)]
-            columns = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[id_column, "start_char", "end_char"])
-
-    return documents.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} bigint, start_char bigint, end_char bigint")
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i, (a, b) in enumerate(sentences(text, *held), 1):
+                    out.append((doc, a, b, i, text[a:b]) if numbered else (doc, a, b))
+            columns = list(zip(*out)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields))
+
+    return documents.select(F.col(id_column).cast("long").alias(id_column), text_column).mapInArrow(run, f"{id_column} bigint, start_char bigint, end_char bigint" + (", sentence int, unit string" if numbered else ""))

@@ -180,11 +180,21 @@ def test_sentences(text, units):
     assert [text[a:b] for a, b in found] == units
 
 
+def test_best_path_weighs_neighbours():
+    """Of two ends with only an initial between, one stays, by the better sum; words between keep both."""
+    assert sentences.best_path("Vitamin B. C. fell", [(10, 1.0), (13, 1.2)]) == [13]
+    assert sentences.best_path("Vitamin B. C. fell", [(10, 2.0), (13, 2.0)]) == [10, 13]
+    assert sentences.best_path("Vitamin B. Cats. fell", [(10, 1.0), (16, 1.2)]) == [10, 16]
+    assert sentences.best_path("... Cats ! . fell", [(3, 9.0), (10, 1.0), (12, 2.0)]) == [12]
+
+
 def test_split_edge_cases(spark):
     rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "One. Two.", 0), (3, "One. Two.", 0), (4, "word " * 50_000, 0)], "doc_id long, text string, start_char int")
     found = sentences.split(rows)
     assert found.groupBy("doc_id").count().orderBy("doc_id").collect() == [(3, 4), (4, 1)]
     assert sentences.split(rows.limit(0)).count() == 0
+    units = sentences.split(rows.filter("doc_id = 3"), numbered=True).select("sentence", "unit").distinct().orderBy("sentence").collect()
+    assert [tuple(r) for r in units] == [(1, "One."), (2, "Two.")]
 
 
 def test_dictionary_does_not_depend_on_tasks(spark, monkeypatch):
