@@ -14,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -65,6 +65,8 @@ _letter = regex.compile(r"\p{L}")
 _greek = regex.compile(r"\p{Greek}")
 _arabic_indic = regex.compile(r"[\p{Arabic}\p{Devanagari}]")
 _end = regex.compile(r"(?:[.!?…‼⁇⁈⁉؟۔।॥;]|(?<=\p{Greek});|[—–]+(?=[”\"»’]))+(?P<close>(?:[\"'”’“‘»›)\]}]|[ \xa0\u202f\u2009](?:»|›))*)")
+_end_not_greek = re.compile(r"(?:[.!?…‼⁇⁈⁉؟۔।॥;]|[—–]+(?=[”\"»’]))+(?P<close>(?:[\"'”’“‘»›)\]}]|[ \xa0\u202f\u2009](?:»|›))*)")
+_next_ascii_word = re.compile(r"[A-Za-z0-9]+(?:['.-][A-Za-z0-9]+)*")
 _cjk_end = re.compile(r"(?:[。！？!?｡]|…+|⋯+)+(?P<close>[”’」』）〉》】\"')\]]*)")
 _next_word = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[’'.-][\p{L}\p{M}\p{N}]+)*")
 _last_word = regex.compile(r"(?:[\p{L}\p{M}\p{N}]+(?:[.’'-] ?(?=[\p{L}\p{N}]))?)*[\p{L}\p{M}\p{N}]$")
@@ -74,7 +76,7 @@ _figure = re.compile(r"(?<![^\W_])\d{1,4}$")
 _roman = re.compile(r"(?<![^\W_])[ivxlc]+$")
 _noise = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\uff01-\uff5e\ufb00-\ufb06]")
 _foreign, _ascii_letter = re.compile("[\u0370-\u058f\u1f00-\u1fff]"), re.compile("[A-Za-z\u00c0-\u024f]")
-_alnum, _long_word = re.compile(r"[^\W_]"), regex.compile(r"(?:\p{L}\p{M}*){2}")
+_alnum, _letters, _long_word = re.compile(r"[^\W_]"), re.compile(r"[^\W\d_]{2}"), regex.compile(r"(?:\p{L}\p{M}*){2}")
 _caseless_start = regex.compile(r"[\p{Arabic}\p{Devanagari}]")
 _cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+")
 _lower_word = regex.compile(r"(?<![\p{L}\p{N}’'-])\p{Ll}[\p{Ll}\p{M}]+")
@@ -201,8 +203,9 @@ def _reports(after: str, caseless: bool) -> bool:
 def spaced_gaps(text: str, case: Case) -> list[int]:
     """The places where sentences end, by the best path through the lattice of terminators."""
     nodes: list[tuple[int, float]] = []
-    greek = bool(_greek.search(text))
-    for m in _end.finditer(text):
+    greek = not text.isascii() and bool(_greek.search(text))
+    clean = text.isascii() or not (_noise.search(text) or _foreign.search(text) and _ascii_letter.search(text))
+    for m in (_end if greek else _end_not_greek).finditer(text):
         marks, closed = text[m.start() : m.start("close")], m["close"]
         rest = text[m.end() : m.end() + LOOK_AHEAD]
         ahead = rest.lstrip(_edges)
@@ -217,7 +220,7 @@ def spaced_gaps(text: str, case: Case) -> list[int]:
             continue  # figures, dotted abbreviations, marks in a row
         if ahead[0] in ",;:،؛)" or ahead[0] in "—–-" and _dash_on.match(ahead):
             continue
-        nodes.append((m.end(), _score(text, m.start(), marks, closed, ahead, case)))
+        nodes.append((m.end(), _score(text, m.start(), marks, closed, ahead, case, str if clean else plain)))
     return best_path(text, nodes)
 
 
@@ -229,12 +232,13 @@ def best_path(text: str, nodes: list[tuple[int, float]]) -> list[int]:
     open_, ended = (0.0, None), None  # best values so far, each with its chain of ends; None if no path leads there
     at, begun = 0, False
     for end, score in nodes:
-        begun = begun or _alnum.search(text, at, end) is not None
+        apart = _alnum.search(text, at, end) is not None
+        begun = begun or apart
         ways = []
         if begun:
             ways.append((open_[0] + score, open_))
-            if ended and _alnum.search(text, at, end):
-                ways.append((ended[0] + score + (0.0 if _long_word.search(text, at, end) else LONE), ended))
+            if ended and apart:
+                ways.append((ended[0] + score + (0.0 if _letters.search(text, at, end) or _long_word.search(text, at, end) else LONE), ended))
         better = max((x for x in (open_, ended) if x), key=lambda x: x[0])
         way = max(ways, key=lambda x: x[0], default=None)
         open_, ended = (better[0], better[1]), way and (way[0], (end, way[1][1]))
@@ -255,10 +259,10 @@ def plain(text: str) -> str:
     return _mixed.sub(lambda m: m[0].translate(_latin), text)
 
 
-def _score(text: str, at: int, marks: str, closed: str, ahead: str, case: Case) -> float:
-    """How much more likely a terminator is to end a sentence than not."""
-    ahead = plain(ahead)
-    word = _next_word.search(ahead)
+def _score(text: str, at: int, marks: str, closed: str, ahead: str, case: Case, read: Callable[[str], str] = plain) -> float:
+    """How much more likely a terminator is to end a sentence than not; stretches of text are read by ``read``."""
+    ahead = read(ahead)
+    word = (_next_ascii_word if ahead.isascii() else _next_word).search(ahead)
     lead = ahead[: word.start()] if word else ahead
     nxt = word[0] if word else ""
     quoted = bool(closed) and any(c in closed for c in "”’“‘»›\"'")
@@ -270,7 +274,7 @@ def _score(text: str, at: int, marks: str, closed: str, ahead: str, case: Case)
         return -4.0
     if marks[-1] != "." or marks.strip("."):
         return 3.0
-    before = plain(text[max(0, at - 40) : at])
+    before = read(text[max(0, at - 40) : at])
     whole = before[before.rfind(" ") + 1 :]
     if len(whole) > 3 and whole.isalpha() and not _roman.fullmatch(whole) and (low := whole.lower()) not in BEFORE_NAME and low not in MAY_END:
         return 2.0  # a plain word
@@ -300,11 +304,13 @@ def _score(text: str, at: int, marks: str, closed: str, ahead: str, case: Case)
 def heading(text: str) -> bool:
     """Whether a paragraph is a heading: chapter words with a number, a number before words without a closing mark, or a short line all in capitals."""
     line = text.strip(_edges)
-    if len(line) <= 80 and re.match(r"(?:[IVXLC]+|\d{1,3})\.\s+\S", line) and not re.search(r"[\r\n]|[.!?…:;][\"'”’»)]*$", line):
+    if len(line) > 80:
+        return False
+    if re.match(r"(?:[IVXLC]+|\d{1,3})\.\s+\S", line) and not re.search(r"[\r\n]|[.!?…:;][\"'”’»)]*$", line):
         return True
-    if re.match(r"(?i)(?:chapter|kapitel|chapitre|capítulo|глава|κεφάλαιο|अध\u094dयाय|الفصل|book|part|volume|livre|teil|parte|часть)\s+[\w.]+", line) and len(line) <= 80 and "\n" not in line:
+    if re.match(r"(?i)(?:chapter|kapitel|chapitre|capítulo|глава|κεφάλαιο|अध\u094dयाय|الفصل|book|part|volume|livre|teil|parte|часть)\s+[\w.]+", line) and "\n" not in line:
         return True
-    return len(line) <= 80 and line.upper() == line and line.lower() != line and len(line.split()) <= 10 and not re.search(r"[!?”\"]", line)
+    return line.upper() == line and line.lower() != line and len(line.split()) <= 10 and not re.search(r"[!?”\"]", line)
 
 
 def sentences(text: str | None, lexicon: Lexicon, case: Case) -> list[tuple[int, int]]:
