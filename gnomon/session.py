@@ -81,4 +81,20 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if not _written:
         atexit.register(_drop_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    _paths[id(held)] = (held, path)
+    return held
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again; others are left alone."""
+    for held in tables:
+        found = _paths.pop(id(held), None)
+        if found:
+            spark, path = held.sparkSession, found[1]
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _written.remove((spark, path))
