@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gnomon.session import materialize
+from gnomon.session import materialize, release
 
 # Short forms of given names.
 NICKNAMES = {
@@ -46,6 +46,8 @@ NOBODY = frozenset("anon anonymous unknown none null nobody na n/a various untit
 # Fixed values end.
 
 STRONG, MIDDLE, INITIAL = 3, 2, 1
+ANY, POOR, RICH = 0, 1, 2  #: roles in a block; two rich ones aren't compared
+CUT_EVERY = 4  #: rounds between writings of the profiles and keys; in between they are their last tables and the changes since
 PROFILE = "field string, pid bigint, kind string, spellings array<string>, weights array<string>, jr boolean"
 
 
@@ -144,13 +146,16 @@ class Person:
     def first_letters(self) -> set[str]:
         return {x[0] for f in self.firsts for x in {f, *given_forms(f)}} | self.initials
 
-    def keys(self) -> Iterator[str]:
-        """Blocking keys from every surname of the union with every initial, and from surnames and given names with a slip."""
+    def keys(self) -> Iterator[tuple[str, int]]:
+        """Blocking keys with their roles, from every surname of the union with every initial, and from surnames and given names with a slip.
+
+        Two profiles with given names meet by these, so in a block of an initial only profiles without are compared, with each other and with the rest.
+        """
+        role = RICH if self.firsts else POOR
         for s in self.surnames:
-            for i in self.first_letters():
-                yield f"i|{s}|{i}"
-            yield from (f"s|{s}|{d}" for f in self.firsts for d in dropped(f))
-            yield from (f"t|{d}|{g}" for d in dropped(s) for f in self.firsts or self.initials for g in given_forms(f))
+            yield from ((f"i|{s}|{i}", role) for i in self.first_letters())
+            yield from ((f"s|{s}|{d}", ANY) for f in self.firsts for d in dropped(f))
+            yield from ((f"t|{d}|{g}", ANY) for d in dropped(s) for f in self.firsts or self.initials for g in given_forms(f))
 
 
 def same_middles(a: Person, b: Person) -> int | None:
@@ -245,22 +250,19 @@ def profiles_of(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def blocked(profiles: DataFrame) -> DataFrame:
-    """(pid, key) of profiles."""
+    """(pid, key, role) of profiles."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pids, out = [], []
+            out: list[tuple[int, int, int]] = []
             for p in batch.to_pylist():
                 head = f"{p['field']}|{p['kind']}|{p['jr']}|"
-                if p["kind"] == "person":
-                    found = set(Person(p["spellings"]).keys())
-                else:
-                    found = {k for s in p["spellings"] for k in token_keys(s)}
-                out += [_hash(head + k) for k in found]
-                pids += [p["pid"]] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(out, pa.int64())], names=["pid", "key"])
+                found = set(Person(p["spellings"]).keys()) if p["kind"] == "person" else {(k, ANY) for s in p["spellings"] for k in token_keys(s)}
+                out += [(p["pid"], _hash(head + k), role) for k, role in found]
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int8()))], names=["pid", "key", "role"])
 
-    return profiles.mapInArrow(keys, "pid bigint, key bigint")
+    return profiles.mapInArrow(keys, "pid bigint, key bigint, role tinyint")
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -284,12 +286,15 @@ def matched(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(judge, "a bigint, b bigint, level int, a_richer boolean")
 
 
-def edges(changed: DataFrame, profiles: DataFrame, keys: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Matches of changed profiles with all profiles."""
-    met = fresh.join(keys.withColumnRenamed("pid", "other"), "key").filter("pid <> other").select(F.least("pid", "other").alias("a"), F.greatest("pid", "other").alias("b")).distinct()
+def edges(profiles: DataFrame, keys: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Matches of the profiles with ``fresh`` keys with all profiles. Rich profiles of a block meet only its others, so a block is never paired with itself for its initial alone."""
+    others = keys.select("key", F.col("pid").alias("other"), F.col("role").alias("other_role"))
+    rich = fresh.filter(F.col("role") == RICH).join(others.filter(F.col("other_role") != RICH), "key")
+    met = fresh.filter(F.col("role") != RICH).join(others, "key").unionByName(rich)
+    met = met.filter("pid <> other").select(F.least("pid", "other").alias("a"), F.greatest("pid", "other").alias("b")).distinct()
     left = profiles.withColumnRenamed("pid", "a")
     right = profiles.select(F.col("pid").alias("b"), F.col("spellings").alias("spellings_b"), F.col("weights").alias("weights_b"))
-    return materialize(matched(met.join(left, "a").join(right, "b").select("a", "b", "kind", "spellings", "weights", "spellings_b", "weights_b")))
+    return matched(met.join(left, "a").join(right, "b").select("a", "b", "kind", "spellings", "weights", "spellings_b", "weights_b"))
 
 
 def chosen(found: DataFrame) -> DataFrame:
@@ -324,23 +329,30 @@ def resolve(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     names = reduce(DataFrame.unionByName, (rows.select(F.lit(f).alias("field"), F.col(c).alias("name")).filter("name is not null").distinct() for f, c in fields.items()))
     spelled, profiles = profiles_of(names)
     entity = spelled
-    changed, keys = profiles, materialize(blocked(profiles))
-    fresh = keys
-    found = edges(changed, profiles, keys, fresh)
+    keys = materialize(blocked(profiles))
+    found = materialize(edges(profiles, keys, keys))
+    rounds = 0
     while True:  # each round merges at least two profiles, so the last comes
         picked = chosen(found)
         moves = labels(picked)
         if moves.isEmpty():
             break
+        rounds += 1
         merged = profiles.join(moves, "pid").groupBy("label").agg(F.first("field").alias("field"), F.first("kind").alias("kind"), F.collect_list(F.arrays_zip("spellings", "weights")).alias("held"), F.first("jr").alias("jr"))
         union = F.array_sort(F.array_distinct(F.flatten("held")))
         changed = materialize(merged.select("field", F.col("label").alias("pid"), "kind", union["spellings"].alias("spellings"), union["weights"].alias("weights"), "jr"))
-        profiles = materialize(profiles.join(moves.select("pid"), "pid", "left_anti").select(changed.columns).unionByName(changed))
-        entity = materialize(entity.join(moves, "pid", "left").select("field", "name", F.coalesce("label", "pid").alias("pid")))
-        fresh = materialize(blocked(changed))
-        keys = materialize(keys.join(moves.select("pid"), "pid", "left_anti").select("pid", "key").unionByName(fresh))
+        fresh = blocked(changed)
+        older = (profiles, keys, entity)
+        profiles = profiles.join(moves.select("pid"), "pid", "left_anti").select(changed.columns).unionByName(changed)
+        keys = keys.join(moves.select("pid"), "pid", "left_anti").select("pid", "key", "role").unionByName(fresh)
+        entity = entity.join(moves, "pid", "left").select("field", "name", F.coalesce("label", "pid").alias("pid"))
+        if rounds % CUT_EVERY == 0:
+            profiles, keys, entity = map(materialize, (profiles, keys, entity))
+            release(*older)
         kept = found.join(moves.select(F.col("pid").alias("a")), "a", "left_anti").join(moves.select(F.col("pid").alias("b")), "b", "left_anti").select("a", "b", "level", "a_richer")
-        found = materialize(kept.unionByName(edges(changed, profiles, keys, fresh)))
+        before, found = found, materialize(kept.unionByName(edges(profiles, keys, fresh)))
+        release(before)
+    release(found)
     return entity.select("field", "name", F.col("pid").alias("entity"))
 
 

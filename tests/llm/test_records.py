@@ -61,6 +61,22 @@ def test_near():
     assert not names.near("flask", "flask") and not names.near("cloak", "clerk")
 
 
+def test_blocks_meet_as_all_pairs_do(spark):
+    """The roles of a block lose no match that comparing all pairs finds, and never pair two full given names for their initial."""
+    rng = random.Random(11)
+    firsts = ["John", "Jon", "J.", "Jack", "James", "Jim", "Jane", "K.", "Kate", "Katherine", "Bill", "William", "W."]
+    typed = sorted({f"{rng.choice(firsts)} {rng.choice(['', 'A. ', 'B. ', 'Anne ', 'Ann '])}{rng.choice(['Penhallow', 'Penhalow', 'Marsh'])}" for _ in range(150)})
+    rows = spark.createDataFrame([("author", t) for t in typed], "field string, name string")
+    _, profiles = names.profiles_of(rows)
+    keys = names.blocked(profiles).persist()
+    found = {(r.a, r.b) for r in names.edges(profiles, keys, keys).collect()}
+    held = {r.pid: names.Person(r.spellings) for r in profiles.collect()}
+    want = {(a, b) for a in held for b in held if a < b and names.match_persons(held[a], held[b])}
+    assert found == want and want
+    role = {r.pid: r.role for r in keys.filter("role > 0").collect()}
+    assert all(role[p] == (names.RICH if x.firsts else names.POOR) for p, x in held.items())
+
+
 # near-duplicates
 
 
