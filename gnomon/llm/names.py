@@ -47,7 +47,6 @@ NOBODY = frozenset("anon anonymous unknown none null nobody na n/a various untit
 
 STRONG, MIDDLE, INITIAL = 3, 2, 1
 ANY, POOR, RICH = 0, 1, 2  #: roles in a block; two rich ones aren't compared
-CUT_EVERY = 4  #: rounds between writings of the profiles and keys; in between they are their last tables and the changes since
 PROFILE = "field string, pid bigint, kind string, spellings array<string>, weights array<string>, jr boolean"
 
 
@@ -289,8 +288,10 @@ def matched(pairs: DataFrame) -> DataFrame:
 def edges(profiles: DataFrame, keys: DataFrame, fresh: DataFrame) -> DataFrame:
     """Matches of the profiles with ``fresh`` keys with all profiles. Rich profiles of a block meet only its others, so a block is never paired with itself for its initial alone."""
     others = keys.select("key", F.col("pid").alias("other"), F.col("role").alias("other_role"))
-    rich = fresh.filter(F.col("role") == RICH).join(others.filter(F.col("other_role") != RICH), "key")
-    met = fresh.filter(F.col("role") != RICH).join(others, "key").unionByName(rich)
+    met = None
+    for asks, meets in ((ANY, (ANY,)), (POOR, (POOR, RICH)), (RICH, (POOR,))):
+        part = fresh.filter(F.col("role") == asks).select("key", "pid").join(others.filter(F.col("other_role").isin(*meets)).select("key", "other"), "key")
+        met = part if met is None else met.unionByName(part)
     met = met.filter("pid <> other").select(F.least("pid", "other").alias("a"), F.greatest("pid", "other").alias("b")).distinct()
     left = profiles.withColumnRenamed("pid", "a")
     right = profiles.select(F.col("pid").alias("b"), F.col("spellings").alias("spellings_b"), F.col("weights").alias("weights_b"))
@@ -331,28 +332,23 @@ def resolve(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     entity = spelled
     keys = materialize(blocked(profiles))
     found = materialize(edges(profiles, keys, keys))
-    rounds = 0
     while True:  # each round merges at least two profiles, so the last comes
         picked = chosen(found)
         moves = labels(picked)
         if moves.isEmpty():
             break
-        rounds += 1
         merged = profiles.join(moves, "pid").groupBy("label").agg(F.first("field").alias("field"), F.first("kind").alias("kind"), F.collect_list(F.arrays_zip("spellings", "weights")).alias("held"), F.first("jr").alias("jr"))
         union = F.array_sort(F.array_distinct(F.flatten("held")))
         changed = materialize(merged.select("field", F.col("label").alias("pid"), "kind", union["spellings"].alias("spellings"), union["weights"].alias("weights"), "jr"))
-        fresh = blocked(changed)
+        fresh = materialize(blocked(changed))
         older = (profiles, keys, entity)
-        profiles = profiles.join(moves.select("pid"), "pid", "left_anti").select(changed.columns).unionByName(changed)
-        keys = keys.join(moves.select("pid"), "pid", "left_anti").select("pid", "key", "role").unionByName(fresh)
-        entity = entity.join(moves, "pid", "left").select("field", "name", F.coalesce("label", "pid").alias("pid"))
-        if rounds % CUT_EVERY == 0:
-            profiles, keys, entity = map(materialize, (profiles, keys, entity))
-            release(*older)
+        profiles = materialize(profiles.join(moves.select("pid"), "pid", "left_anti").select(changed.columns).unionByName(changed))
+        keys = materialize(keys.join(moves.select("pid"), "pid", "left_anti").select("pid", "key", "role").unionByName(fresh))
+        entity = materialize(entity.join(moves, "pid", "left").select("field", "name", F.coalesce("label", "pid").alias("pid")))
         kept = found.join(moves.select(F.col("pid").alias("a")), "a", "left_anti").join(moves.select(F.col("pid").alias("b")), "b", "left_anti").select("a", "b", "level", "a_richer")
         before, found = found, materialize(kept.unionByName(edges(profiles, keys, fresh)))
-        release(before)
-    release(found)
+        release(before, changed, fresh, *older)
+    release(found, keys, profiles)
     return entity.select("field", "name", F.col("pid").alias("entity"))
 
 
