@@ -9,6 +9,7 @@ left are compacted away.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 CACHED = 200_000  #: pieces whose ids a Python worker remembers
 ROWS = 4096  #: most rows of a matrix
+LONG = 4096  #: bytes of a piece from which on a matrix as wide as the piece costs more than a heap of its pairs
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -113,6 +115,39 @@ class Encoder:
             before = self.pairs.lookup(ids[each, left], ids[each, best])
             ranks[each[best > 0], left[best > 0]] = before[best > 0]
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The ids of one very long piece: the same merges in the same order, each found in a heap of pairs."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.lookup(ids[:-1], ids[1:])
+        heap = [(int(ranks[i]), i) for i in np.flatnonzero(ranks != NONE).tolist()]
+        heapq.heapify(heap)
+        held, after, before = ids.tolist(), list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        rank_at = ranks.tolist()
+        known: dict[tuple[int, int], int] = {}
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if held[i] < 0 or rank_at[i] != rank:
+                continue  # a pair that a merge has changed
+            j = after[i]
+            held[i], held[j] = rank, -1
+            after[i] = k = after[j]
+            if k < len(held):
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a < 0:
+                    continue
+                rank_ab = int(NONE)
+                if b < len(held):
+                    pair = (held[a], held[b])
+                    if pair not in known:
+                        known[pair] = int(self.pairs.lookup(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    rank_ab = known[pair]
+                    if rank_ab != NONE:
+                        heapq.heappush(heap, (rank_ab, a))
+                if a < len(rank_at):
+                    rank_at[a] = rank_ab
+        return [x for x in held if x >= 0]
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text, without special tokens; none for a null or empty text."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
@@ -123,6 +158,8 @@ class Encoder:
         for piece, data in new.items():
             if data in self.ranks:
                 self.cache[piece] = [self.ranks[data]]
+            elif len(data) > LONG:
+                self.cache[piece] = self.merge_long(data)
             else:
                 buckets.setdefault((len(data) - 1).bit_length(), []).append(piece)
         for held in buckets.values():

@@ -234,6 +234,29 @@ def test_encoding_is_the_tokenizer_s(spark):
 # leaks
 
 
+def test_long_pieces_are_encoded_alike():
+    """A piece beyond the width of a matrix has the ids that the tokenizer gives, and those of the matrix."""
+    held, public = encoding.encoder(encoding.tokenizer_path(), encoding.split_pattern()), reference()
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdeéäthingon") for _ in range(6000)), "ha" * 3000, "a" * 100_000, "今天" * 2500):
+        for piece in held.pattern.findall(text):
+            assert held.merge_long(piece.encode()) == public.encode_ordinary(piece)
+    word = "".join(rng.choice("aeionst") for _ in range(900)).encode()
+    assert held.merge_long(word) == held.merge([word])[0]
+
+
+def test_leaked_places_are_those_of_the_text(spark):
+    """Full-width letters, look-alikes and invisible characters move the places of the form, not those of the text."""
+    item = "the porter carried twelve lamps down the stairs before the hall clock struck seven again"
+    dressed = item.replace("porter", "pо\u200brter").replace("lamps", "ｌａｍｐｓ").replace("clock", "cl\u043eck")
+    text = f"It \u200bwas \ufb01ne.\n {dressed}\u200b. Then he left."
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = leaks.leaked_spans(rows, spark.createDataFrame([(5, item)], "case_id long, quote string")).collect()
+    assert [(r.item_id, text[r.start_char : r.end_char].strip(".\u200b")) for r in found] == [(5, dressed)]
+    clean = leaks.without_leaks(rows, spark.createDataFrame([(5, item)], "case_id long, quote string"), whole_share=0.99).first().text
+    assert clean.startswith("It \u200bwas \ufb01ne.\n ") and clean.endswith(" Then he left.") and "stairs" not in clean
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -260,5 +283,8 @@ def test_leaks_against_brute_force(spark):
     blocks = leaks.leaked_spans(rows, tests, block_items=7)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
     assert leaks.leaked_spans(rows.limit(0), tests).count() == leaks.leaked_spans(rows, tests.limit(0)).count() == 0
+    by_id = {d: t for d, t, _ in docs}
+    for r in found.collect():  # places are those of the text
+        assert len(leaks.words(by_id[r.doc_id][r.start_char : r.end_char])) == r.words
     clean = leaks.without_leaks(rows.dropDuplicates(["doc_id"]), tests)
     assert leaks.leaked_spans(clean, tests).count() == 0 and clean.filter("doc_id = 100").first().text is None
