@@ -89,23 +89,42 @@ def record_fields(text: Column) -> Column:
 
 
 def minute_variants(minute: Column) -> Column:
-    """The sorted distinct ways to write a minute: digits on either clock, words, o'clock, past and to."""
+    """The sorted distinct ways to write a minute that name its half of the day: digits on either clock, hour and minute in words, and o'clock, past and to with the part of the day."""
     hour, m = F.floor(minute / 60).cast("int"), (minute % 60).cast("int")
     twelve = F.pmod(hour + 11, F.lit(12)) + 1
-    after = F.pmod(hour + 12, F.lit(12)) + 1
+    h, following = number_words(twelve), number_words(twelve % 12 + 1)
     half = F.when(hour < 12, "a.m.").otherwise("p.m.")
-    h, nxt = number_words(twelve), number_words(after)
-    forms = [
-        F.format_string("%02d:%02d", hour, m),
-        F.format_string("%d:%02d ", twelve, m) + F.lit(""),
-        F.concat(F.format_string("%d:%02d ", twelve, m), half),
-        F.concat(F.format_string("%d.%02d ", twelve, m), half),
-        F.when(m == 0, F.concat(h, F.lit(" o'clock"))),
-        F.when(m == 15, F.concat(F.lit("quarter past "), h)),
-        F.when(m == 30, F.concat(F.lit("half past "), h)),
-        F.when(m == 45, F.concat(F.lit("quarter to "), nxt)),
-        F.when(m.between(1, 30), F.concat(number_words(m), F.when(m == 1, " minute").otherwise(" minutes"), F.lit(" past "), h)),
-        F.when(m > 30, F.concat(number_words(60 - m), F.when(m == 59, " minute").otherwise(" minutes"), F.lit(" to "), nxt)),
-    ]
-    del forms[1]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*forms))))
+    part = F.when(hour < 12, "morning").when(hour < 18, "afternoon").otherwise("evening")
+    told = F.when(m == 30, F.concat(F.lit("half past "), h)).when(m < 30, F.concat(number_words(m), F.lit(" minutes past "), h)).otherwise(F.concat(number_words(60 - m), F.lit(" minutes to "), following))
+    spoken = F.when(m > 0, F.array(told)).otherwise(F.array(F.concat(h, F.lit(" o'clock")), F.concat(h, F.lit(" o’clock"))))
+    written = [F.format_string("%02d:%02d", hour, m), *(F.format_string(f"%d{mark}%02d %s", twelve, m, half) for mark in ":."), F.concat_ws(" ", h, number_words(m), half)]
+    return F.array_sort(F.array_distinct(F.concat(F.array(*written), F.transform(spoken, lambda x: F.concat(x, F.lit(" in the "), part)))))
+
+
+# Families of sources by how their names begin, and of parser rules and phrases, the first that fits.
+SOURCE_FAMILIES = {"standardebooks/": "STANDARD_EBOOKS", "gutenberg/": "GUTENBERG", "english_wikisource": "WIKISOURCE"}
+PHRASE_FAMILIES = {
+    "colon_numeric": ("numeric", r"\d{1,2}:\d{2}"),
+    "oclock": ("oclock", "o'clock"),
+    "quarter_half": ("half_past", r"\b(?:quarter|half)\b"),
+    "past_after": ("", r"\b(?:past|after)\b"),
+    "to_before": ("relative", r"\b(?:to|before)\b"),
+    "hour_minute_word_form": ("written_clock", r"\b(?:\d+|[a-z]+)\b.*\b(?:\d+|[a-z]+)\b"),
+    "named_time": ("named_time", ""),
+    "military": ("military", ""),
+    "bare_hour_contextual": ("", r"^\s*(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|\d{1,2})\s*$"),
+}
+# Fixed values end.
+
+
+def source_family(name: Column) -> Column:
+    """The family of a source by its name; LEGACY for any other, also for a null."""
+    family = [F.when(name == head if not head.endswith("/") else name.startswith(head), value) for head, value in SOURCE_FAMILIES.items()]
+    return F.coalesce(*family, F.lit("LEGACY"))
+
+
+def phrase_family(rule: Column, phrase: Column) -> Column:
+    """How a time is written, by the parser's rule or by the phrase itself; other_legacy if neither tells."""
+    text = F.translate(F.lower(F.coalesce(phrase, F.lit(""))), "’", "'")
+    fits = [F.when((rule == r if r else F.lit(False)) | (text.rlike(f"(?s){pattern}") if pattern else F.lit(False)), name) for name, (r, pattern) in PHRASE_FAMILIES.items()]
+    return F.coalesce(*fits, F.lit("other_legacy"))

@@ -82,12 +82,9 @@ def fill_gain(covered: DataFrame, offered: DataFrame, wanted: int = 7) -> DataFr
     return both.select("minute", "usable", "available", taken.alias("taken"), (F.col("usable") + taken).alias("reached"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """A digest of a table that no order of its rows changes: digests of rows are sorted and digested in buckets, then over the buckets.
-
-    A bucket's list holds a 1/``buckets`` share of the rows' digests; raise ``buckets`` with the table.
-    """
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A digest of a table that no order of its rows changes: the words of the rows' digests are summed and folded, all commutative and combined where they are read, and the sums are digested. Rows that repeat count each time."""
     row = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    parts = rows.select(row.alias("row")).groupBy(F.pmod(F.conv(F.substring("row", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("bucket"))
-    digests = parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ""), 256).alias("digest"), F.count("*").alias("n"))
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ""), 256).alias("fingerprint"), F.sum("n").alias("rows"))
+    words = rows.select(*(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"w{i}") for i in range(4)))
+    sums = [F.sum(F.col(f"w{i}").cast("decimal(20,0)")).cast("string") for i in range(4)] + [F.bit_xor(f"w{i}").cast("string") for i in range(4)]
+    return words.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *(F.coalesce(x, F.lit("")) for x in sums)), 256).alias("fingerprint"), F.count("*").alias("rows"))

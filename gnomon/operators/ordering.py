@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gnomon.session import materialize
-
 
 def top_per_key(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key. Spark keeps only those of each key and task before it shuffles."""
@@ -45,24 +42,46 @@ def canonical_rows(rows: DataFrame, key: list[str], rank: Column, arrival: Colum
     return rows.groupBy(*key).agg(best.alias("best"), F.bool_and(merged).alias(merged), F.count("*").alias("copies")).select(*key, "best.*", merged, "copies")
 
 
+def _best(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """The best ``n`` rows of each combination of keys, by score and id; Spark cuts each task's rows before it shuffles them."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id")))
+    return rows.withColumn(name, place).filter(F.col(name) <= n).drop(name)
+
+
+def choosable(offered: DataFrame, wanted: int) -> DataFrame:
+    """Of candidates (minute, id, a, t, score, new_a, new_t) those that a greedy choice of ``wanted`` rows can take, at most some 100 + ``wanted`` of a minute, whatever it holds.
+
+    While rows with both names new are left, the choice takes the best; at most ``wanted`` - 1 authors and as many titles are taken before, and each shuts out no more than ``wanted`` of the rows kept here. Else the best row of a new name counts, else the best rows of all.
+    """
+    taken = wanted - 1
+    both = _best(offered.filter("new_a and new_t"), ["minute", "a", "t"], 1, "p")
+    both = _best(_best(_best(both, ["minute", "a"], wanted, "p"), ["minute", "t"], wanted, "p"), ["minute"], 2 * taken * wanted + 1, "p")
+    authors = _best(_best(offered.filter("new_a"), ["minute", "a"], 1, "p"), ["minute"], 2 * wanted, "p")
+    titles = _best(_best(offered.filter("new_t"), ["minute", "t"], 1, "p"), ["minute"], 2 * wanted, "p")
+    return reduce(DataFrame.unionByName, (both, authors, titles, _best(offered, ["minute"], wanted, "p"))).dropDuplicates(["minute", "id"])
+
+
 def fill(held: DataFrame, offered: DataFrame, wanted: int = 7, author_first: bool = True) -> DataFrame:
     """Greedy fill of each minute up to ``wanted`` rows: of the candidates (minute, id, author, title, score) always the one that brings a new author and a new title (in that order, or the other), then the best score, then the least id.
 
-    Only the choice depends on what was chosen before; so candidates are first cut to those that can be chosen: of each minute the best ``wanted`` of each pair of names, and a minute takes at most ``wanted``. Minutes that are full drop out before the shuffle. What remains of a minute is bounded by its different names and handled in arrival order by one task.
+    Minutes that are full drop out before anything of them is gathered; of the others no more than ``wanted`` names are held, and candidates are first cut to those that can be chosen. Only that bounded rest of a minute is handled in arrival order by one task. Null names count as empty ones.
     """
-    room = held.groupBy("minute").agg(F.count("*").alias("n"), F.collect_set(F.lower("author")).alias("authors"), F.collect_set(F.lower("title")).alias("titles"))
-    order = [F.desc("score"), F.asc("id")]
+    counts = held.groupBy("minute").agg(F.count("*").alias("n"))
+    few = held.join(counts.filter(F.col("n") < wanted), "minute")
+    room = few.groupBy("minute").agg(F.first("n").alias("n"), F.collect_set(F.lower("author")).alias("authors"), F.collect_set(F.lower("title")).alias("titles"))
     offered = offered.withColumn("a", F.lower(F.coalesce("author", F.lit("")))).withColumn("t", F.lower(F.coalesce("title", F.lit(""))))
-    pairs = offered.withColumn("place", F.row_number().over(Window.partitionBy("minute", "a", "t").orderBy(*order))).filter(F.col("place") <= wanted)
-    open_ = pairs.join(room, "minute", "left").filter(F.coalesce("n", F.lit(0)) < wanted)
+    full = counts.filter(F.col("n") >= wanted).select("minute")
+    none = F.array().cast("array<string>")
+    open_ = offered.join(full, "minute", "left_anti").join(room, "minute", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "authors": F.coalesce("authors", none), "titles": F.coalesce("titles", none)})
+    open_ = open_.withColumns({"new_a": ~F.array_contains("authors", F.col("a")), "new_t": ~F.array_contains("titles", F.col("t"))})
+    kept = choosable(open_.select("minute", "id", "a", "t", "score", "n", "authors", "titles", "new_a", "new_t"), wanted)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        n = 0 if pd.isna(row["n"]) else int(row["n"])
-        authors, titles = (set(x) if isinstance(x, (list, tuple)) or hasattr(x, "__len__") else set() for x in (row["authors"], row["titles"]))
+        authors, titles = set(row["authors"]), set(row["titles"])
         left = sorted(zip(pdf["id"], pdf["a"], pdf["t"], pdf["score"]), key=lambda r: (-r[3], r[0]))
         out = []
-        while left and n + len(out) < wanted:
+        while left and row["n"] + len(out) < wanted:
             new = [((r[1] not in authors), (r[2] not in titles)) for r in left]
             at = max(range(len(left)), key=lambda i: (new[i] if author_first else new[i][::-1], -i))
             taken = left.pop(at)
@@ -71,7 +90,7 @@ def fill(held: DataFrame, offered: DataFrame, wanted: int = 7, author_first: boo
             out.append((int(row["minute"]), int(taken[0]), len(out) + 1))
         return pd.DataFrame(out, columns=["minute", "id", "pick"])
 
-    return open_.select("minute", "id", "a", "t", "score", "n", "authors", "titles").groupBy("minute").applyInPandas(choose, "minute int, id bigint, pick int")
+    return kept.drop("new_a", "new_t").groupBy("minute").applyInPandas(choose, "minute int, id bigint, pick int")
 
 
 # passages that repeat known ones
@@ -84,23 +103,19 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\w]+|_+", " ")), " "), lambda w: w != "")
 
 
-def share_run(a: list[str], b: list[str], share: float = SHARED) -> bool:
-    """Whether two word lists hold a common run as long as ``share`` of the shorter."""
-    n = math.ceil(share * min(len(a), len(b)) - 1e-9)
-    runs = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
-    return n > 0 and any(tuple(b[i : i + n]) in runs for i in range(len(b) - n + 1))
-
-
-def _sharing(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in pairs:
-        keep = [share_run(list(a), list(b)) for a, b in zip(pdf["words_a"], pdf["words_b"])]
-        yield pdf.loc[keep, ["id", "known_id"]]
+def shares_run(a: Column, b: Column, share: float = SHARED) -> Column:
+    """Whether two word lists hold a common run as long as ``share`` of the shorter: some run of the shorter stands in the longer."""
+    shorter, longer = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    n = F.ceil(F.size(shorter) * share - 1e-9).cast("int")
+    text = F.concat(F.lit(" "), F.array_join(longer, " "), F.lit(" "))
+    runs = F.sequence(F.lit(1), F.size(shorter) - n + 1)
+    return (n > 0) & F.exists(runs, lambda i: F.contains(text, F.concat(F.lit(" "), F.array_join(F.slice(shorter, i, n), " "), F.lit(" "))))
 
 
 def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
     """For each row of ``new`` (id, minute, text): EXACT if a known row of the same minute (any, where the new minute is null) has its text, NORMALIZED if only its letters, CONTEXT if they share a run of words as long as ``SHARED`` of the shorter, else NEW; and the least such known id.
 
-    All shingles of eight words are blocking keys, joined as hashes; shingles that stand in one text only end there. Texts of fewer words can only be equal. Null and empty texts are NEW.
+    A run of that length covers the middle of the shorter text. So each text asks with the words in its middle, all of those if it is short, and the other side answers with all its shingles; minutes are part of the key. Texts of fewer words than a shingle can only be equal. Null and empty texts are NEW.
     """
 
     def prepared(df: DataFrame) -> DataFrame:
@@ -108,18 +123,30 @@ def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
         return df.select(F.col("id").cast("long").alias("id"), F.col("minute").cast("int").alias("minute"), "text", words.alias("words")).withColumn("letters", F.array_join("words", ""))
 
     a, b = prepared(new).filter("letters <> ''"), prepared(known).filter("letters <> ''")
-    near = (F.col("n.minute").isNull()) | (F.col("n.minute") == F.col("k.minute"))
-    equal = a.alias("n").join(b.alias("k"), F.xxhash64("n.letters") == F.xxhash64("k.letters")).filter(near & (F.col("n.letters") == F.col("k.letters")))
-    equal = equal.groupBy(F.col("n.id").alias("id")).agg(F.min(F.when(F.col("n.text") == F.col("k.text"), F.col("k.id"))).alias("exact_id"), F.min("k.id").alias("normal_id"))
 
-    def shingles(df: DataFrame) -> DataFrame:
-        spots = F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1))
-        return df.filter(F.size("words") >= SHINGLE).select("id", "minute", F.explode(F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLE), " "))))).alias("key"))
+    def both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        """Pairs of equal keys (n, k): of one minute, and of all minutes where the new one is null."""
+        n, k = left.alias("n"), right.alias("k")
+        same = F.col(f"n.{key}") == F.col(f"k.{key}")
+        return n.join(k, same & (F.col("n.minute") == F.col("k.minute"))).union(n.filter("n.minute is null").join(k, same))
+
+    keyed = [df.select("id", "minute", F.xxhash64("letters").alias("key"), "letters", F.sha2("text", 256).alias("text")) for df in (a, b)]
+    equal = both(*keyed, "key").toDF("id", "minute", "key", "letters", "text", "known_id", "known_minute", "known_key", "known_letters", "known_text").filter("letters = known_letters")
+    equal = equal.groupBy("id").agg(F.min(F.when(F.col("text") == F.col("known_text"), F.col("known_id"))).alias("exact_id"), F.min("known_id").alias("normal_id"))
+
+    def shingles(df: DataFrame, middle: bool) -> DataFrame:
+        n = F.size("words")
+        last = n - (SHINGLE - 1)
+        # a run of SHARED of all words begins within the first 1 - SHARED of them and ends within the last
+        first = F.ceil(n * (1 - SHARED)).cast("int") + 1
+        spots = F.when(first + SHINGLE - 1 <= F.floor(n * SHARED), F.array(first)).otherwise(F.sequence(F.lit(1), last)) if middle else F.sequence(F.lit(1), last)
+        return df.filter(n >= SHINGLE).select("id", "minute", F.explode(F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLE), " "))))).alias("key"))
 
     rest = a.join(equal.select("id"), "id", "left_anti")
-    pairs = shingles(rest).alias("n").join(shingles(b).alias("k"), "key").filter(near).select(F.col("n.id").alias("id"), F.col("k.id").alias("known_id")).distinct()
-    wide = pairs.join(rest.select("id", F.col("words").alias("words_a")), "id").join(b.select(F.col("id").alias("known_id"), F.col("words").alias("words_b")), "known_id").select("id", "known_id", "words_a", "words_b")
-    shared = wide.mapInPandas(_sharing, "id bigint, known_id bigint").groupBy("id").agg(F.min("known_id").alias("context_id"))
+    asked = both(shingles(rest, True), shingles(b, False), "key").union(both(shingles(rest, False), shingles(b, True), "key"))
+    pairs = asked.toDF("id", "minute", "key", "known_id", "known_minute", "known_key").select("id", "known_id").distinct()
+    wide = pairs.join(rest.select("id", F.col("words").alias("words_a")), "id").join(b.select(F.col("id").alias("known_id"), F.col("words").alias("words_b")), "known_id")
+    shared = wide.filter(shares_run(F.col("words_a"), F.col("words_b"))).groupBy("id").agg(F.min("known_id").alias("context_id"))
     found = new.select(F.col("id").cast("long").alias("id")).join(equal, "id", "left").join(shared, "id", "left")
     status = F.when(F.col("exact_id").isNotNull(), "EXACT").when(F.col("normal_id").isNotNull(), "NORMALIZED").when(F.col("context_id").isNotNull(), "CONTEXT").otherwise("NEW")
     return found.select("id", status.alias("status"), F.coalesce("exact_id", "normal_id", "context_id").alias("known_id"))
@@ -129,5 +156,3 @@ def latest(rows: DataFrame, order: list[Column]) -> DataFrame:
     """The one row that comes last."""
     return rows.orderBy(*order).limit(1)
 
-
-__all__ = [n for n in globals() if not n.startswith("_") and n != "materialize"]

@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime, timezone
 
@@ -83,6 +84,20 @@ def test_fill_is_greedy(spark, author_first):
     assert sorted((r.minute, r.id) for r in found.collect()) == sorted(greedy(held, offered, 5, author_first))
 
 
+@pytest.mark.parametrize("author_first", [True, False])
+def test_fill_of_a_hot_minute(spark, author_first):
+    """A minute with thousands of candidates keeps a bounded number of them, and the choice is the same."""
+    rng = random.Random(8)
+    for names in (3, 40, 900):
+        held = [(1, f"A{rng.randrange(names)}", f"T{rng.randrange(names)}") for _ in range(2)] + [(2, "x", "y")] * 9
+        offered = [(rng.choice([1, 1, 1, 2, 3]), i, f"a{rng.randrange(names)}", f"t{rng.randrange(names)}", float(rng.randrange(50))) for i in range(3000)]
+        frames = spark.createDataFrame(held, "minute int, author string, title string"), spark.createDataFrame(offered, "minute int, id long, author string, title string, score double")
+        found = O.fill(*frames, 7, author_first)
+        assert sorted((r.minute, r.id) for r in found.collect()) == sorted(greedy(held, offered, 7, author_first))
+    flat = frames[1].selectExpr("minute", "id", "author as a", "title as t", "score", "true as new_a", "true as new_t")
+    assert max(r["count"] for r in O.choosable(flat, 7).groupBy("minute").count().collect()) <= 2 * 6 * 7 + 1 + 14 + 14 + 7
+
+
 def test_canonical_rows(spark):
     rows = spark.createDataFrame([("k", 1, "AMBIGUOUS", True), ("k", 2, "VERIFIED_EXACT", None), ("k", 3, "VERIFIED_EXACT", False), ("l", 4, None, None)], "key string, id long, status string, sfw boolean")
     found = {r.key: r for r in O.canonical_rows(rows, ["key"], S.status_rank(F.col("status")), F.col("id"), "sfw").collect()}
@@ -101,10 +116,41 @@ def test_duplicate_status(spark):
     assert found == {10: ("EXACT", 1), 11: ("NORMALIZED", 1), 12: ("CONTEXT", 2), 13: ("NEW", None), 14: ("EXACT", 2), 15: ("NEW", None), 16: ("NEW", None), 17: ("NEW", None)}
 
 
-def test_share_run():
-    assert O.share_run("a b c d e".split(), "x a b c d y z".split())
-    assert not O.share_run("a b c d e".split(), "a b c x d e y".split())
-    assert not O.share_run([], ["a"]) and not O.share_run([], [])
+def share_run(a, b, share=0.8):
+    n = math.ceil(share * min(len(a), len(b)) - 1e-9)
+    runs = {tuple(a[i : i + n]) for i in range(len(a) - n + 1)}
+    return n > 0 and any(tuple(b[i : i + n]) in runs for i in range(len(b) - n + 1))
+
+
+def test_share_run(spark):
+    pairs = [("a b c d e", "x a b c d y z"), ("a b c d e", "a b c x d e y"), ("", "a"), ("", ""), ("a", "a"), ("ab c d e f", "b c d e f")]
+    rows = spark.createDataFrame([(a.split(), b.split()) for a, b in pairs], "a array<string>, b array<string>")
+    assert [r.s for r in rows.select(O.shares_run(F.col("a"), F.col("b")).alias("s")).collect()] == [share_run(a.split(), b.split()) for a, b in pairs] == [True, False, False, False, True, True]
+
+
+def test_duplicate_status_against_brute_force(spark):
+    """Texts of 5 to 60 words, cut, padded and changed, of one of three minutes or of none."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(90)}" for _ in range(rng.randrange(5, 60))] for _ in range(25)]
+
+    def some():
+        w = list(rng.choice(base))
+        lead, cut = rng.randrange(4), rng.randrange(4)
+        w = [f"x{rng.randrange(9)}"] * lead + w[cut:]
+        if rng.random() < 0.4 and w:
+            w[rng.randrange(len(w))] = "changed"
+        return " ".join(w)
+
+    known, new = [[(i + k, rng.choice([1, 2, 3, None]), some()) for i in range(60)] for k in (0, 1000)]
+    want = {}
+    for i, m, t in new:
+        near = [(j, u) for j, n, u in known if m is None or m == n]
+        grams = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+        same, run = [j for j, u in near if u == t], [j for j, u in near if grams(u.split()) & grams(t.split()) and share_run(t.split(), u.split())]
+        want[i] = ("EXACT", min(same)) if same else ("CONTEXT", min(run)) if run else ("NEW", None)
+    frames = [spark.createDataFrame(x, "id long, minute int, text string") for x in (known, new)]
+    assert {r.id: (r.status, r.known_id) for r in O.duplicate_status(*frames).collect()} == want
+    assert len({w for w, _ in want.values()}) > 1
 
 
 def test_cksum():
