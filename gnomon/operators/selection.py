@@ -90,11 +90,11 @@ def choose(rows: DataFrame, history: DataFrame, now: Column, release: str = "r1"
     return ranked.groupBy("minute").agg(F.min(F.struct("level", "bag", "id")).alias("x")).select("minute", "x.id", "x.level")
 
 
-def refresh_mode(shown: DataFrame, every: int = 15) -> DataFrame:
-    """GC16 for the first display, the first of a day and each ``every``-th; GL16 for the others. ``shown`` has ``at`` and ``device``."""
+def refresh_mode(shown: DataFrame, every: int = 15, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """GC16 for the first display, the first of a day and each ``every``-th; GL16 for the others. ``shown`` has ``at``, ``device`` and the columns of ``order``."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("device").orderBy("at")
+    w = Window.partitionBy("device").orderBy(*order)
     full = F.lag("at").over(w).isNull() | (F.to_date(F.lag("at").over(w)) != F.to_date("at")) | (F.row_number().over(w) % every == 0)
     return shown.withColumn("mode", F.when(full, "GC16").otherwise("GL16"))
 

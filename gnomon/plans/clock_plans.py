@@ -70,38 +70,46 @@ def c05_round_trip_numeric(spark, sf):
     return text.select("event_id", F.explode(times(F.col("text"))).alias("r")).select("event_id", "r.minute", "r.confidence")
 
 
-@query(f"SELECT event_id, {_M} AS minute FROM events WHERE minute(ts) BETWEEN 1 AND 30 AND (hour(ts) < 12 OR hour(ts) BETWEEN 13 AND 17)")
+def _part(hour: Column) -> Column:
+    return F.when(hour < 12, " in the morning.").when(hour < 18, " in the afternoon.").otherwise(" in the evening.")
+
+
+@query(f"SELECT event_id, {_M} AS minute FROM events")
 def c04_round_trip_relative(spark, sf):
-    """Minutes past an hour, resolved by the part of the day."""
-    text = made(spark, sf, lambda h, m: F.concat(F.lit("It was "), S.number_words(m), F.when(m == 1, " minute").otherwise(" minutes"), F.lit(" past "), S.number_words(_twelve(h)), F.when(h < 12, " in the morning.").otherwise(" in the afternoon.")))
-    hour = F.floor(F.col("m") / 60)
-    text = text.filter((F.col("m") % 60).between(1, 30) & ((hour < 12) | hour.between(13, 17)))
-    return text.select("event_id", F.explode(times(F.col("text"))).alias("r")).select("event_id", "r.minute")
+    """Minutes past and to an hour, and whole hours, resolved by the part of the day: every minute of the day."""
+
+    def said(h: Column, m: Column) -> Column:
+        past, to = S.number_words(_twelve(h)), S.number_words(_twelve(h) % 12 + 1)
+        minutes = lambda n: F.concat(S.number_words(n), F.when(n == 1, " minute").otherwise(" minutes"))
+        told = F.when(m == 0, F.concat(past, F.lit(" o’clock"))).when(m <= 30, F.concat(minutes(m), F.lit(" past "), past)).otherwise(F.concat(minutes(60 - m), F.lit(" to "), to))
+        return F.concat(F.lit("It was "), told, _part(h))
 
+    return made(spark, sf, said).select("event_id", F.explode(times(F.col("text"))).alias("r")).select("event_id", "r.minute")
 
-@query(f"SELECT event_id, CAST(o.minute AS INT) AS minute FROM events, UNNEST([(hour(ts) % 12) * 60, (hour(ts) % 12) * 60 + 720]) AS o(minute) WHERE minute(ts) = 0")
+
+@query("SELECT event_id, CAST(o.minute AS INT) AS minute FROM events, UNNEST([(hour(ts) % 12) * 60, (hour(ts) % 12) * 60 + 720]) AS o(minute)")
 def c06_round_trip_oclock(spark, sf):
     """Without a part of the day an hour is two minutes of the day."""
-    text = made(spark, sf, lambda h, m: F.concat(F.lit("The clock struck; it was "), S.number_words(_twelve(h)), F.lit(" o’clock and raining."))).filter(F.col("m") % 60 == 0)
+    text = made(spark, sf, lambda h, m: F.concat(F.lit("The clock struck; it was "), S.number_words(_twelve(h)), F.lit(" o’clock and raining.")))
     return text.select("event_id", F.explode(times(F.col("text"))).alias("r")).select("event_id", F.explode("r.options").alias("minute"))
 
 
-@query("SELECT 'INVALID' AS confidence, 'reference:CHAPTER_VERSE' AS reason, count(*) AS n FROM events WHERE hour(ts) BETWEEN 1 AND 12")
+@query("SELECT 'INVALID' AS confidence, 'reference:CHAPTER_VERSE' AS reason, count(*) AS n FROM events")
 def c10_references(spark, sf):
     """Chapter and verse look like times and are none."""
-    text = made(spark, sf, lambda h, m: F.concat(F.lit("He turned to chapter "), F.format_string("%d:%02d", h, m), F.lit(" and read on."))).filter(F.floor(F.col("m") / 60).between(1, 12))
+    text = made(spark, sf, lambda h, m: F.concat(F.lit("He turned to chapter "), F.format_string("%d:%02d", h, m), F.lit(" and read on.")))
     return text.select(F.explode(times(F.col("text"))).alias("r")).groupBy("r.confidence", "r.reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'APPROXIMATE' AS confidence, count(*) AS n FROM events WHERE hour(ts) BETWEEN 1 AND 11")
+@query("SELECT 'APPROXIMATE' AS confidence, count(*) AS n FROM events")
 def c03_approximate(spark, sf):
-    text = made(spark, sf, lambda h, m: F.concat(F.lit("They left at about "), S.number_words(h), F.lit(" o’clock."))).filter(F.floor(F.col("m") / 60).between(1, 11))
+    text = made(spark, sf, lambda h, m: F.concat(F.lit("They left at about "), S.number_words(_twelve(h)), F.lit(" o’clock.")))
     return text.select(F.explode(times(F.col("text"))).alias("r")).groupBy("r.confidence").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'RANGE' AS confidence, count(*) AS n FROM events WHERE hour(ts) BETWEEN 1 AND 11")
+@query("SELECT 'RANGE' AS confidence, count(*) AS n FROM events")
 def c11_ranges(spark, sf):
-    text = made(spark, sf, lambda h, m: F.concat(F.lit("The fair ran from "), F.format_string("%d:%02d", h, m), F.lit(" to "), F.format_string("%d:%02d", h + 1, m), F.lit(" that day."))).filter(F.floor(F.col("m") / 60).between(1, 11))
+    text = made(spark, sf, lambda h, m: F.concat(F.lit("The fair ran from "), F.format_string("%d:%02d", h, m), F.lit(" to "), F.format_string("%d:%02d", (h + 1) % 24, m), F.lit(" that day.")))
     return text.select(F.explode(times(F.col("text"))).alias("r")).groupBy("r.confidence").agg(F.count("*").alias("n"))
 
 
@@ -168,24 +176,18 @@ def b29_sentence_of_highlight(spark, sf):
     return rows.select("quote_id", F.when(F.size(own) > 0, own[0][1] - own[0][0]).alias("chars"))
 
 
-@query("SELECT a.provenance_id, lower(a.raw_title) = lower(q.title) AS same FROM quote_provenance a JOIN quotes q USING (quote_id) WHERE regexp_matches(a.raw_title, '^[A-Za-z ]+$') AND regexp_matches(q.title, '^[A-Za-z ]+$') AND a.raw_title NOT LIKE '%  %' AND q.title NOT LIKE '%  %' AND trim(a.raw_title) = a.raw_title AND trim(q.title) = q.title")
-def b56_same_when_shown(spark, sf):
-    """Of b56_same_when_shown_all the pairs of plain letters, which the SQL knows."""
-    plain = F.col("raw_title").rlike("^[A-Za-z]+( [A-Za-z]+)*$") & F.col("title").rlike("^[A-Za-z]+( [A-Za-z]+)*$")
-    return _shown(spark, sf, plain)
+def _sql_shown(text: str) -> str:
+    bare = f"translate(lower({text}), '“”‘’—–', '\"\"' || chr(39) || chr(39) || '--')"
+    return f"regexp_replace(trim(regexp_replace(regexp_replace({bare}, '\\s+', ' ', 'g'), ' ([,.;:!?])', '\\1', 'g'), ' '), '\\.+$', '')"
 
 
-@query()
-def b56_same_when_shown_all(spark, sf):
+@query(f"SELECT a.provenance_id, {_sql_shown('a.raw_title')} = {_sql_shown('q.title')} AS same FROM quote_provenance a JOIN quotes q USING (quote_id)")
+def b56_same_when_shown(spark, sf):
     """Whether the titles of imports and quotes look the same, of all pairs; null where a title is."""
-    return _shown(spark, sf, F.lit(True))
-
-
-def _shown(spark: SparkSession, sf: str, wanted: Column) -> DataFrame:
     from gnomon.functions.passages import same_when_shown
 
     p, q = table(spark, sf, "quote_provenance").select("provenance_id", "quote_id", "raw_title"), table(spark, sf, "quotes").select("quote_id", "title")
-    return p.join(q, "quote_id").filter(wanted).select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
+    return p.join(q, "quote_id").select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
 
 
 @query()

@@ -45,11 +45,11 @@ def d01_event_minutes(spark, sf):
     return rows.groupBy("minute").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("usable"))
 
 
-@query("SELECT minute_of_day AS minute, array_to_string(list_sort(list_distinct(list(lower(author)))), ';') AS authors, count(DISTINCT lower(title)) AS titles FROM quotes WHERE author IS NOT NULL AND title IS NOT NULL GROUP BY 1")
+@query("SELECT DISTINCT minute_of_day AS minute, 'author' AS kind, lower(author) AS name FROM quotes WHERE author IS NOT NULL UNION ALL SELECT DISTINCT minute_of_day, 'title', lower(title) FROM quotes WHERE title IS NOT NULL")
 def d02_names_of_minutes(spark, sf):
-    """A minute's set of authors: as long as it has authors, aggregated in parts before the shuffle."""
-    rows = table(spark, sf, "quotes").filter("author is not null and title is not null")
-    return rows.groupBy(F.col("minute_of_day").alias("minute")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("author"))), ";").alias("authors"), F.count_distinct(F.lower("title")).alias("titles"))
+    """The authors and titles of each minute, as a set of rows: no minute's set is held by one task."""
+    names = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.lower(c).alias("name")) for c in ("author", "title")))).alias("x")
+    return table(spark, sf, "quotes").select(F.col("minute_of_day").alias("minute"), names).select("minute", "x.kind", "x.name").filter("name is not null").distinct()
 
 
 @query(f"SELECT round(avg(usable), 6) AS mean, round(median(usable), 6) AS median, round(quantile_cont(usable, 0.1), 6) AS p10, round(quantile_cont(usable, 0.25), 6) AS p25, round(quantile_cont(usable, 0.75), 6) AS p75, round(quantile_cont(usable, 0.9), 6) AS p90, min(usable) AS least, max(usable) AS most FROM ({_COVER})")
@@ -147,7 +147,8 @@ def d21_sparse_targets(spark, sf):
     return C.sparse_targets(table(spark, sf, "quotes"))
 
 
-@query("WITH r AS (SELECT sha256(quote_id || chr(0) || coalesce(CAST(minute_of_day AS VARCHAR), '') || chr(0) || coalesce(quote_hash, '')) AS row FROM quotes), b AS (SELECT CAST(('0x' || substring(row, 1, 8)) AS BIGINT) % 256 AS bucket, sha256(array_to_string(list_sort(list(row)), '')) AS digest, count(*) AS n FROM r GROUP BY 1) SELECT sha256(array_to_string(list(digest ORDER BY bucket), '')) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM b")
+@query("""SELECT sha256(concat_ws(',', n, s0, s1, s2, s3, x0, x1, x2, x3)) AS fingerprint, n AS rows FROM (SELECT count(*) AS n, sum(w0) AS s0, sum(w1) AS s1, sum(w2) AS s2, sum(w3) AS s3, bit_xor(w0) AS x0, bit_xor(w1) AS x1, bit_xor(w2) AS x2, bit_xor(w3) AS x3
+FROM (SELECT CAST('0x' || h[1:15] AS BIGINT) AS w0, CAST('0x' || h[16:30] AS BIGINT) AS w1, CAST('0x' || h[31:45] AS BIGINT) AS w2, CAST('0x' || h[46:60] AS BIGINT) AS w3 FROM (SELECT sha256(concat_ws(chr(0), coalesce(CAST(quote_id AS VARCHAR), ''), coalesce(CAST(minute_of_day AS VARCHAR), ''), coalesce(quote_hash, ''))) AS h FROM quotes)))""")
 def d22_fingerprint(spark, sf):
     return C.fingerprint(table(spark, sf, "quotes"), ["quote_id", "minute_of_day", "quote_hash"])
 

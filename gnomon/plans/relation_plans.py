@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gnomon.functions import scalars as S
@@ -62,15 +62,18 @@ def e04_left_null(spark, sf):
     return table(spark, sf, "quotes").select("quote_id").join(p, "quote_id", "left_anti")
 
 
-@query("SELECT slug FROM sources WHERE slug NOT IN (SELECT source FROM scanned_candidates WHERE source IS NOT NULL)")
+@query("SELECT quote_id FROM quotes WHERE source_name IS NOT NULL AND source_name NOT IN (SELECT source_name FROM sources WHERE source_name IS NOT NULL)")
 def e05_anti_join(spark, sf):
-    return table(spark, sf, "sources").select("slug").join(table(spark, sf, "scanned_candidates").select(F.col("source").alias("slug")).filter("slug is not null"), "slug", "left_anti")
+    """Quotes whose source is named as no source is."""
+    names = table(spark, sf, "sources").select("source_name").filter("source_name is not null")
+    return table(spark, sf, "quotes").select("quote_id", "source_name").filter("source_name is not null").join(names, "source_name", "left_anti").select("quote_id")
 
 
-@query("SELECT cand_id FROM scanned_candidates c WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = c.source AND d.title = c.title)")
+@query("SELECT cand_id FROM scanned_candidates c WHERE EXISTS (SELECT 1 FROM quotes q WHERE q.author = c.author AND q.minute_of_day = c.minute_of_day)")
 def e06_semi_join(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "title")
-    return table(spark, sf, "scanned_candidates").select("cand_id", "source", "title").join(docs, ["source", "title"], "left_semi").select("cand_id")
+    """Candidates whose author already has a quote at their minute."""
+    held = table(spark, sf, "quotes").select("author", "minute_of_day")
+    return table(spark, sf, "scanned_candidates").select("cand_id", "author", "minute_of_day").join(held, ["author", "minute_of_day"], "left_semi").select("cand_id")
 
 
 @query("SELECT a.provenance_id, b.provenance_id AS other_id FROM quote_provenance a JOIN quote_provenance b ON a.quote_id = b.quote_id AND a.source_id = b.source_id AND a.import_run_id = b.import_run_id AND a.provenance_id < b.provenance_id")
@@ -186,7 +189,18 @@ def f11_canonical(spark, sf):
     return O.canonical_rows(rows, ["minute_of_day", "quote_hash"], S.status_rank(F.col("quality_status")), F.col("quote_id"), "sfw").select("minute_of_day", "quote_hash", "quote_id", "sfw", "copies")
 
 
-@query()
+_WORDS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\x{{200c}}\x{{200d}}]+'), lambda w: w <> '')"
+_RUN = "CAST(ceil(0.8 * least(len(n.w), len(k.w)) - 1e-9) AS INT)"
+
+
+@query(f"""WITH k AS (SELECT quote_id AS id, minute_of_day AS minute, quote AS t, {_WORDS.format(t="quote")} AS w FROM quotes WHERE quote IS NOT NULL), n AS (SELECT cand_id AS id, minute_of_day AS minute, quote AS t, {_WORDS.format(t="quote")} AS w FROM scanned_candidates WHERE quote IS NOT NULL),
+x AS (SELECT n.id, min(k.id) FILTER (n.t = k.t) AS e, min(k.id) AS l FROM n JOIN k ON array_to_string(n.w, '') = array_to_string(k.w, '') AND (n.minute IS NULL OR n.minute = k.minute) WHERE len(n.w) > 0 GROUP BY 1),
+g AS (SELECT id, minute, w, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')))) AS gram FROM n WHERE len(w) >= 8 AND id NOT IN (SELECT id FROM x)),
+h AS (SELECT id, minute, w, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')))) AS gram FROM k WHERE len(w) >= 8),
+p AS (SELECT DISTINCT g.id, h.id AS known_id FROM g JOIN h ON g.gram = h.gram AND (g.minute IS NULL OR g.minute = h.minute)),
+c AS (SELECT p.id, min(p.known_id) AS c FROM p JOIN n ON n.id = p.id JOIN k ON k.id = p.known_id WHERE len(list_filter(range(1, least(len(n.w), len(k.w)) - {_RUN} + 2),
+  lambda i: contains(' ' || array_to_string(CASE WHEN len(n.w) <= len(k.w) THEN k.w ELSE n.w END, ' ') || ' ', ' ' || array_to_string((CASE WHEN len(n.w) <= len(k.w) THEN n.w ELSE k.w END)[i : i + {_RUN} - 1], ' ') || ' '))) > 0 GROUP BY 1)
+SELECT s.cand_id AS id, CASE WHEN x.e IS NOT NULL THEN 'EXACT' WHEN x.l IS NOT NULL THEN 'NORMALIZED' WHEN c.c IS NOT NULL THEN 'CONTEXT' ELSE 'NEW' END AS status, coalesce(x.e, x.l, c.c) AS known_id FROM scanned_candidates s LEFT JOIN x ON x.id = s.cand_id LEFT JOIN c ON c.id = s.cand_id""")
 def f12_f13_duplicate_status(spark, sf):
     known = table(spark, sf, "quotes").select(F.col("quote_id").alias("id"), F.col("minute_of_day").alias("minute"), F.col("quote").alias("text"))
     new = table(spark, sf, "scanned_candidates").select(F.col("cand_id").alias("id"), F.col("minute_of_day").alias("minute"), F.col("quote").alias("text"))
@@ -241,42 +255,47 @@ def f36_nearest_length(spark, sf):
 
 
 def _history(spark, sf):
-    """What was shown: the imports of 2026 as a log, one display each."""
-    p = table(spark, sf, "quote_provenance").filter("created_at >= timestamp'2026-01-01'")
-    return p.select(F.col("quote_id").alias("id"), F.col("raw_title").alias("title"), F.col("raw_author").alias("author"), F.col("created_at").alias("at"))
+    """What was shown: the imports as a log, one display each; and now, when the last of them was."""
+    p = table(spark, sf, "quote_provenance")
+    now = p.agg(F.max("created_at")).first()[0]
+    return p.select(F.col("quote_id").alias("id"), F.col("raw_title").alias("title"), F.col("raw_author").alias("author"), F.col("created_at").alias("at")), F.lit(now).cast("timestamp")
 
 
-_NOW = "2026-06-01 12:00:00"
+_LEVELS = """now AS (SELECT max(created_at) AS t FROM quote_provenance), h AS (SELECT p.* FROM quote_provenance p, now WHERE created_at <= now.t AND created_at >= now.t - INTERVAL 90000 SECONDS),
+a AS (SELECT lower(raw_author) AS k, max(created_at) AS t FROM h WHERE trim(raw_author) <> '' GROUP BY 1), b AS (SELECT lower(raw_title) AS k, max(created_at) AS t FROM h WHERE trim(raw_title) <> '' GROUP BY 1), c AS (SELECT quote_id AS k, max(created_at) AS t FROM h GROUP BY 1),
+l AS (SELECT q.quote_id AS id, CASE WHEN c.t IS NOT NULL AND floor(epoch(now.t)) - floor(epoch(c.t)) < 86400 THEN 4 ELSE 0 END + CASE WHEN b.t IS NOT NULL AND floor(epoch(now.t)) - floor(epoch(b.t)) < 43200 THEN 2 ELSE 0 END + CASE WHEN a.t IS NOT NULL AND floor(epoch(now.t)) - floor(epoch(a.t)) < 21600 THEN 1 ELSE 0 END AS level,
+  q.minute_of_day, q.quality_status FROM quotes q CROSS JOIN now LEFT JOIN a ON a.k = lower(q.author) LEFT JOIN b ON b.k = lower(q.title) LEFT JOIN c ON c.k = q.quote_id)"""
 
 
-@query(f"""WITH h AS (SELECT * FROM quote_provenance WHERE created_at >= '2026-01-01' AND created_at <= TIMESTAMPTZ '{_NOW}+00' AND created_at >= TIMESTAMPTZ '{_NOW}+00' - INTERVAL 90000 SECONDS),
-a AS (SELECT lower(raw_author) AS k, max(created_at) AS t FROM h WHERE trim(raw_author) <> '' GROUP BY 1), b AS (SELECT lower(raw_title) AS k, max(created_at) AS t FROM h WHERE trim(raw_title) <> '' GROUP BY 1), c AS (SELECT quote_id AS k, max(created_at) AS t FROM h GROUP BY 1)
-SELECT q.quote_id AS id, CASE WHEN c.t IS NOT NULL AND epoch(TIMESTAMPTZ '{_NOW}+00') - floor(epoch(c.t)) < 86400 THEN 4 ELSE 0 END + CASE WHEN b.t IS NOT NULL AND epoch(TIMESTAMPTZ '{_NOW}+00') - floor(epoch(b.t)) < 43200 THEN 2 ELSE 0 END + CASE WHEN a.t IS NOT NULL AND epoch(TIMESTAMPTZ '{_NOW}+00') - floor(epoch(a.t)) < 21600 THEN 1 ELSE 0 END AS level
-FROM quotes q LEFT JOIN a ON a.k = lower(q.author) LEFT JOIN b ON b.k = lower(q.title) LEFT JOIN c ON c.k = q.quote_id""")
+@query(f"WITH {_LEVELS} SELECT id, level FROM l")
 def g03_g09_levels(spark, sf):
     rows = table(spark, sf, "quotes").select(F.col("quote_id").alias("id"), "title", "author")
-    return G.with_level(rows, _history(spark, sf), F.lit(_NOW).cast("timestamp")).select("id", "level")
+    return G.with_level(rows, *_history(spark, sf)).select("id", "level")
 
 
-@query()
+@query(
+    f"""WITH {_LEVELS},
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i << 24, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 2147483648 > 0 THEN xor((c << 1) & 4294967295, 79764919) ELSE c << 1 END)) AS t),
+k AS (SELECT minute_of_day AS minute, id, level, 'r1:0:' || minute_of_day || ':' || id AS s FROM l WHERE minute_of_day IS NOT NULL AND quality_status LIKE 'VERIFIED%'),
+d AS (SELECT minute, id, level, 4294967295 - list_reduce(list_concat([CAST(0 AS BIGINT)], list_transform(range(1, length(s) + 1), lambda i: CAST(ord(s[i]) AS BIGINT)), [CAST(length(s) AS BIGINT)]), lambda c, x: xor((c << 8) & 4294967295, t[xor(c >> 24, x) + 1])) AS bag FROM k, crc)
+SELECT minute, arg_min(id, (level, bag, id)) AS id, min(level) AS level FROM d GROUP BY minute"""
+)
 def g01_g08_choice(spark, sf):
     """One quote for each minute of the day."""
     rows = table(spark, sf, "quotes").filter("minute_of_day is not null and quality_status like 'VERIFIED%'").select(F.col("minute_of_day").alias("minute"), F.col("quote_id").alias("id"), "title", "author")
-    return G.choose(rows, _history(spark, sf), F.lit(_NOW).cast("timestamp"))
+    return G.choose(rows, *_history(spark, sf))
 
 
-@query("SELECT minute_of_day AS minute, array_to_string(list(quote_id ORDER BY quote_id), ',') AS ids FROM quotes WHERE minute_of_day IS NOT NULL AND sfw GROUP BY 1")
+@query("SELECT minute_of_day AS minute, quote_id FROM quotes WHERE minute_of_day IS NOT NULL AND sfw")
 def a45_minute_index(spark, sf):
-    """The pool of each minute, sorted: as long as the minute has quotes."""
-    return table(spark, sf, "quotes").filter("minute_of_day is not null and sfw").groupBy(F.col("minute_of_day").alias("minute")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("quote_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    """The pool of each minute as sorted rows: ranges of minute and id, so that a hot minute is dealt to several tasks."""
+    return table(spark, sf, "quotes").filter("minute_of_day is not null and sfw").select(F.col("minute_of_day").alias("minute"), "quote_id").orderBy("minute", "quote_id")
 
 
 @query("SELECT event_id, CASE WHEN prev IS NULL OR CAST(prev AS DATE) <> CAST(ts AS DATE) OR n % 15 = 0 THEN 'GC16' ELSE 'GL16' END AS mode FROM (SELECT event_id, ts, lag(ts) OVER w AS prev, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 def g13_refresh_mode(spark, sf):
-    shown = table(spark, sf, "events").select("event_id", F.col("user_id").alias("device"), F.struct("ts", "event_id").alias("order"), F.col("ts").alias("at"))
-    w = Window.partitionBy("device").orderBy("order")
-    full = F.lag("at").over(w).isNull() | (F.to_date(F.lag("at").over(w)) != F.to_date("at")) | (F.row_number().over(w) % 15 == 0)
-    return shown.select("event_id", F.when(full, "GC16").otherwise("GL16").alias("mode"))
+    shown = table(spark, sf, "events").select("event_id", F.col("user_id").alias("device"), F.col("ts").alias("at"))
+    return G.refresh_mode(shown, order=("at", "event_id")).select("event_id", "mode")
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS tick, min(event_id) AS event_id, count(*) AS repeats FROM events GROUP BY 1, 2")

@@ -35,7 +35,19 @@ def b02_minute_to_time(spark, sf):
     return table(spark, sf, "quotes").filter("minute_of_day between 0 and 1439").select("quote_id", S.minute_to_time(F.col("minute_of_day")).alias("clock"))
 
 
-@query()
+_ENTITIES = {"ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "mdash": "—", "ndash": "–", "hellip": "…", "nbsp": "\u00a0", "quot": '"', "apos": "''", "eacute": "é", "#39": "''", "#8217": "’", "lt": "<", "gt": ">", "amp": "&"}
+
+
+def _unescaped(text: str) -> str:
+    for name, char in _ENTITIES.items():
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+_BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT provenance_id, trim(regexp_replace({_unescaped("regexp_replace(raw_quote, '(?i)<\\s*br\\s*/?\\s*>', ' ', 'g')")}, '{_BLANKS}', ' ', 'g'), ' ') AS text FROM quote_provenance")
 def b03_display_text(spark, sf):
     return table(spark, sf, "quote_provenance").select("provenance_id", X.display_text(F.col("raw_quote")).alias("text"))
 
@@ -79,23 +91,24 @@ def b12_b57_highlight(spark, sf):
     return rows.select("quote_id", S.highlighted(*at).alias("phrase"), S.marked(*at).alias("shown"))
 
 
-@query("SELECT coalesce(regexp_extract(source_name, '^[^/]+/[^-/]+-(.+)$', 1), '') AS family, count(*) AS n FROM quotes GROUP BY 1")
+@query("SELECT CASE WHEN starts_with(slug, 'standardebooks/') THEN 'STANDARD_EBOOKS' WHEN starts_with(slug, 'gutenberg/') THEN 'GUTENBERG' WHEN slug = 'english_wikisource' THEN 'WIKISOURCE' ELSE 'LEGACY' END AS family, count(*) AS n FROM (SELECT source_name AS slug FROM quotes UNION ALL SELECT t.slug FROM (VALUES ('standardebooks/a_b'), ('gutenberg/12'), ('english_wikisource'), ('english_wikisource/x')) AS t(slug)) GROUP BY 1")
 def b13_source_family(spark, sf):
-    """What a source collects, by the end of its name."""
-    return table(spark, sf, "quotes").groupBy(F.coalesce(F.regexp_extract("source_name", "^[^/]+/[^-/]+-(.+)$", 1), F.lit("")).alias("family")).agg(F.count("*").alias("n"))
+    """The families of the quotes' sources, which here are all of one, and of four names that show the others."""
+    shown = spark.createDataFrame([("standardebooks/a_b",), ("gutenberg/12",), ("english_wikisource",), ("english_wikisource/x",)], "source_name string")
+    rows = table(spark, sf, "quotes").select("source_name").unionByName(shown)
+    return rows.groupBy(S.source_family(F.col("source_name")).alias("family")).agg(F.count("*").alias("n"))
 
 
-_FAMILY = r"""CASE WHEN regexp_matches(p, '\d{1,2}[:.]\d{2}') THEN 'numeric' WHEN regexp_matches(p, 'o.?clock') THEN 'oclock' WHEN regexp_matches(p, 'quarter|half') THEN 'quarter_half'
- WHEN regexp_matches(p, '\b(past|after)\b') THEN 'past' WHEN regexp_matches(p, '\b(to|before)\b') THEN 'to' WHEN regexp_matches(p, 'midnight|noon|midday') THEN 'named' ELSE 'other' END"""
+_FAMILY = r"""CASE WHEN r = 'numeric' OR regexp_matches(p, '\d{1,2}:\d{2}') THEN 'colon_numeric' WHEN r = 'oclock' OR contains(p, 'o''clock') THEN 'oclock' WHEN r = 'half_past' OR regexp_matches(p, '\b(quarter|half)\b') THEN 'quarter_half'
+ WHEN regexp_matches(p, '\b(past|after)\b') THEN 'past_after' WHEN r = 'relative' OR regexp_matches(p, '\b(to|before)\b') THEN 'to_before' WHEN r = 'written_clock' OR len(list_filter(regexp_extract_all(p, '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '\d+|[a-z]+'))) >= 2 THEN 'hour_minute_word_form'
+ WHEN r IN ('named_time', 'military') THEN r WHEN regexp_full_match(p, '\s*(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|\d{1,2})\s*') THEN 'bare_hour_contextual' ELSE 'other_legacy' END"""
 
 
-@query(f"SELECT {_FAMILY} AS family, count(*) AS n FROM (SELECT lower(time_text) AS p FROM quotes) GROUP BY 1")
+@query(f"SELECT {_FAMILY} AS family, count(*) AS n FROM (SELECT lower(replace(coalesce(time_text, ''), '’', chr(39))) AS p, parser_rule AS r FROM scanned_candidates UNION ALL SELECT lower(replace(coalesce(time_text, ''), '’', chr(39))), NULL FROM quotes) GROUP BY 1")
 def b14_phrase_family(spark, sf):
-    p = F.lower("time_text")
-    family = F.lit("other")
-    for name, pattern in reversed([("numeric", r"\d{1,2}[:.]\d{2}"), ("oclock", "o.?clock"), ("quarter_half", "quarter|half"), ("past", r"\b(past|after)\b"), ("to", r"\b(to|before)\b"), ("named", "midnight|noon|midday")]):
-        family = F.when(p.rlike(pattern), name).otherwise(family)
-    return table(spark, sf, "quotes").groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    """How the times of candidates, by rule and phrase, and of quotes, by phrase, are written."""
+    rows = table(spark, sf, "scanned_candidates").select("parser_rule", "time_text").unionByName(table(spark, sf, "quotes").select(F.lit(None).cast("string").alias("parser_rule"), "time_text"))
+    return rows.groupBy(S.phrase_family(F.col("parser_rule"), F.col("time_text")).alias("family")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT cand_id, m.minute AS minute FROM scanned_candidates, UNNEST(CASE WHEN minute_of_day IS NOT NULL THEN [minute_of_day] ELSE list_filter([possible_minute_am, possible_minute_pm], lambda x: x IS NOT NULL) END) AS m(minute)")
@@ -144,20 +157,34 @@ def b48_record_kind(spark, sf):
     return table(spark, sf, "quotes").groupBy(F.when(n == 1, "CLEAN").when(n <= 7, "RECORD").otherwise("RECORDS").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+_ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+
+
+def _spelled(n: str) -> str:
+    return f"(CASE WHEN {n} < 20 THEN {_ONES}[{n} + 1] ELSE ['twenty','thirty','forty','fifty'][{n} // 10 - 1] || CASE WHEN {n} % 10 > 0 THEN '-' || {_ONES}[{n} % 10 + 1] ELSE '' END END)"
+
+
+@query(f"""WITH c AS (SELECT CAST(i AS INT) AS minute, i // 60 AS h, i % 60 AS m, (i // 60 + 11) % 12 + 1 AS t, CASE WHEN i < 720 THEN 'a.m.' ELSE 'p.m.' END AS half, CASE WHEN i < 720 THEN 'morning' WHEN i < 1080 THEN 'afternoon' ELSE 'evening' END AS part FROM range(1440) r(i))
+SELECT DISTINCT minute, unnest([printf('%02d:%02d', h, m), printf('%d:%02d %s', t, m, half), printf('%d.%02d %s', t, m, half), {_spelled("t")} || ' ' || {_spelled("m")} || ' ' || half] ||
+  CASE WHEN m = 0 THEN [{_spelled("t")} || ' o''clock in the ' || part, {_spelled("t")} || ' o’clock in the ' || part] WHEN m = 30 THEN ['half past ' || {_spelled("t")} || ' in the ' || part]
+  WHEN m < 30 THEN [{_spelled("m")} || ' minutes past ' || {_spelled("t")} || ' in the ' || part] ELSE [{_spelled("(60 - m)")} || ' minutes to ' || {_spelled("(t % 12 + 1)")} || ' in the ' || part] END) AS phrase FROM c""")
 def b21_minute_variants(spark, sf):
     return spark.range(1440).select(F.col("id").cast("int").alias("minute"), F.explode(S.minute_variants(F.col("id").cast("int"))).alias("phrase"))
 
 
-@query()
+_PEOPLE = r"list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(regexp_replace(author, '\s*[\[(][^\])]*[\])]', '', 'g'), ',?\s*\b\d{3,4}\??\s*-\s*(?:\d{3,4}\??)?', '', 'g'), ' '), '\s*;\s*'), lambda p: trim(regexp_replace(p, '^([^,]+),\s*([^,]+)$', '\2 \1'), ' ')), lambda p: p <> '')"
+
+
+@query(rf"""SELECT author, title, CASE WHEN author IS NOT NULL THEN CASE WHEN len(p) > 2 THEN p[1] || ' et al.' ELSE coalesce(array_to_string(p, ' and '), '') END END AS shown_author,
+  trim(regexp_replace(regexp_replace(regexp_split_to_array(title, '\s*[:;]\s+')[1], '\s+', ' ', 'g'), '^[_“"]+|[_”".]+$', '', 'g'), ' ') AS shown_title FROM (SELECT DISTINCT author, title, {_PEOPLE} AS p FROM quotes)""")
 def b47_attribution(spark, sf):
     rows = table(spark, sf, "quotes").select("author", "title").distinct()
     return rows.select("author", "title", X.attribution(F.col("author")).alias("shown_author"), X.short_title(F.col("title")).alias("shown_title"))
 
 
-@query("SELECT (n - 1) AS value, CASE WHEN n > 0 THEN 1 END AS k FROM range(1, 61) t(n)")
+@query(f"SELECT n AS value, {_spelled('n')} AS word, n AS back FROM range(60) t(n)")
 def b16_numbers(spark, sf):
     """Number words spelled and read back."""
-    words = spark.range(60).select(F.col("id").alias("value"), S.number_words(F.col("id")).alias("w"))
-    back = F.array_position(F.array(*map(F.lit, S.NUMBER_WORDS)), F.col("w")) - 1
-    return words.select(back.alias("value"), F.lit(1).alias("k"))
+    words = spark.range(60).select(F.col("id").alias("value"), S.number_words(F.col("id")).alias("word"))
+    back = F.array_position(F.array(*map(F.lit, S.NUMBER_WORDS)), F.col("word")) - 1
+    return words.select("value", "word", back.alias("back"))
