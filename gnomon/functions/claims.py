@@ -1,14 +1,16 @@
 """Whether a highlighted phrase is the clock time that its record claims.
 
-The phrase is read with the words around it. What is plainly something else (a duration,
-a reference, a score, a measure, a range, an approximate time) is set aside with its
-kind; a time is compared with the claimed minute, on both halves of the day where the
-text doesn't tell which; what can't be read as either is left for review.
+The phrase is read with the words around it. A table of rules tells what is plainly
+something else (a duration, a reference, a score, a measure, a range, an approximate
+time) and why. What is left is read by its shape, see ``grammar``, or by the reader of
+running text; the time is compared with the claimed minute, on both halves of the day
+where neither phrase nor context tells which. What can't be read is left for review.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,16 +18,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gnomon.functions import grammar
 from gnomon.functions.clock import AMBIGUOUS, APPROXIMATE, INVALID, MEASURES, RANGE, SCORES, SCRIPTURE, SECTIONS, Reader, read_times
 
-# Kinds and what to do.
+# Kinds, what to do, and words of the rules.
 KEEP, QUARANTINE, REVIEW = "KEEP", "QUARANTINE", "REVIEW"
-CLOCK, DURATION, RELATIVE, REFERENCE, SCORE, RATIO, RANGE_OF_TIME, ABOUT, UNREAD = "EXACT_CLOCK_TIME", "DURATION", "RELATIVE_DURATION", "SECTION_OR_REFERENCE", "SCORE_OR_RESULT", "RATIO_OR_MEASUREMENT", "CLOCK_RANGE", "APPROXIMATE_CLOCK_TIME", "UNRESOLVED"
+EXACT, EITHER, DURATION, RELATIVE, REFERENCE, HEADING, SCORE, RATIO, NUMBER, UNREAD = "CLOCK_TIME_EXACT", "CLOCK_TIME_AMBIGUOUS", "DURATION", "RELATIVE_DURATION", "SECTION_OR_REFERENCE", "HEADING_OR_TOC", "SCORE_OR_RESULT", "RATIO_OR_MEASUREMENT", "NON_TEMPORAL_NUMBER", "UNKNOWN"
+MISMATCH, ABOUT, RANGE_OF_TIME = "HIGHLIGHT_SEMANTIC_MISMATCH", "APPROXIMATE_CLOCK_EXPRESSION", "CLOCK_RANGE_EXPRESSION"
 UNITS = r"(?:minutes?|hours?|seconds?|days?|weeks?|months?|years?)"
 SPANNED = r"(?:interval|pause|delay|walk|wait|ride|journey|note|page|foot|inch|mile|dollar|pound|section|chapter|gap|break|drive)s?"
+COUNTED = r"(?:men|women|people|persons?|children|boys?|girls?|horses?|cars?|ships?|trains?|pages?|chapters?|items?|objects?|guests?|votes?)"
 # Fixed values end.
 
-DECISION = T.StructType([T.StructField("kind", T.StringType()), T.StructField("action", T.StringType()), T.StructField("minutes", T.ArrayType(T.IntegerType())), T.StructField("reason", T.StringType())])
+DECISION = T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "action")), T.StructField("minutes", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.StringType()) for n in ("reason", "confidence"))])
 
 
 @dataclass(frozen=True)
@@ -34,96 +39,119 @@ class Decision:
     action: str
     minutes: tuple[int, ...] = ()
     reason: str = ""
-
-
-def _not_a_clock(phrase: str, before: str, after: str) -> Decision | None:
-    """What the phrase plainly is instead of a time of day."""
-    near, far = before[-80:].lower(), after[:80].lower()
-    low = phrase.lower()
-    away = lambda kind, reason: Decision(kind, QUARANTINE, (), reason)
-    if re.match(rf"\s*(?:{UNITS}\s+)?(?:later|earlier|ago|afterwards?|before(?:hand)?,)\b", far) or re.search(r"\b(?:within|after|in another|for another)\s+(?:\w+\s+){0,2}$", near) and re.match(rf"\s*{UNITS}\b", far) or re.search(rf"^(?:within|after)\s.*{UNITS}$|\b(?:later|earlier|ago)$", low):
-        return away(RELATIVE, "time from another time")
-    if re.match(rf"\s*[-‐–—]\s*(?:{UNITS}|{SPANNED})\b", far) or re.match(rf"\s*[-‐–—]?\s*{UNITS}\b(?!\s+(?:past|after|to|before)\b)", far) or re.search(rf"\b{UNITS}\s+and\b.*\b{UNITS}$", low) or re.search(r"\bhalf\s+$", near) and re.match(r"an?\s+(?:minute|hour)", low):
-        return away(DURATION, "how long")
-    if re.match(rf"\s*[-‐–—]\s*[a-z]", far) and not re.match(r"\s*[—–-]\s*[ap]\b", far) and re.search(r"[a-z]$", low):
-        return away(RATIO, "part of a compound")
-    word = re.search(r"([a-z]+)\.?\s*$", near)
-    if word and re.search(r"\d", low):
-        if word[1] in SECTIONS or word[1] in SCRIPTURE:
-            return away(REFERENCE, f"after {word[1]}")
-        score = re.search(r"\b([a-z]+)\s+(?:of|was|is|stood at)\s*$", near)
-        head = score[1] if score else word[1]
-        if head in ("ratio", "proportion", "scale", "odds"):
-            return away(RATIO, f"after {head}")
-        if head in SCORES:
-            return away(SCORE, f"after {head}")
-    if re.match(r"\s*[-–—]\s*\d{1,2}[:.]\d\d", far) or re.search(r"\d{1,2}[:.]\d\d\s*(?:[-–—]|to|and|until)\s*$", near):
-        return away(RANGE_OF_TIME, "between two times")
-    follower = re.match(r"\s+([a-z]+)", far)
-    if follower and follower[1] in MEASURES - {"hour", "hours"} and re.search(r"\d", low):
-        return away(RATIO, f"before {follower[1]}")
-    return None
-
-
-def _minutes(phrase: str, before: str, after: str) -> tuple[tuple[int, ...], str] | Decision:
-    """The minutes that the phrase may be, and why; or why it is none."""
-    cue = "at "  # the phrase is said to be a time: it is read as after a word of time
+    confidence: str = "LOW"
+
+
+class Place:
+    """A phrase and what stands beside it, in lower case with one kind of apostrophe."""
+
+    def __init__(self, quote: str, start: int, end: int, section: str = "") -> None:
+        low = lambda t: t.lower().replace("’", "'")
+        self.phrase, self.near, self.far, self.section = low(quote[start:end]), low(quote[max(0, start - 100) : start]), low(quote[end : end + 100]), low(section)
+        self.digits = bool(re.search(r"\d", self.phrase))
+        self.word = (re.findall(r"([a-z]+)\.?\s*$", self.near) or [""])[0]
+        verb = re.search(r"\b([a-z]+)\s+(?:of|was|is|stood at)\s*$", self.near)
+        self.head = verb[1] if verb else self.word
+        self.next = (re.findall(r"^\s+([a-z]+)", self.far) or [""])[0]
+
+    def before(self, pattern: str) -> bool:
+        return re.search(pattern + r"\s*$", self.near) is not None
+
+    def behind(self, pattern: str) -> bool:
+        return re.match(r"\s*" + pattern, self.far) is not None
+
+    def holds(self, pattern: str) -> bool:
+        return re.search(pattern, self.phrase) is not None
+
+
+_DASH = "[-‐–—]"
+_APPROXIMATE = r"(?:about|around|nearly|almost|barely|roughly|approximately|something like|close upon|shortly (?:before|after)|just (?:before|after|past)|not yet)"
+#: What a phrase plainly is instead of a time of day: kind, code, test. The first that holds is given.
+APART: list[tuple[str, str, Callable[[Place], bool]]] = [
+    (HEADING, "STRUCTURE_TOC", lambda p: re.search(r"\b(?:contents|toc|index|title ?page)\b", p.section) is not None),
+    (UNREAD, "HIGHLIGHT_SOURCE_MARKUP", lambda p: p.holds(r"</?time\b")),
+    (RELATIVE, "RELATIVE_LATER", lambda p: p.behind(rf"(?:{UNITS}\s+)?(?:later|earlier|ago|afterwards?|before(?:hand)?,)\b") or p.holds(r"\b(?:later|earlier|ago)$")),
+    (RELATIVE, "RELATIVE_DURATION_PHRASE", lambda p: p.before(r"\b(?:within|after|in another|for another)(?:\s+\w+){0,2}") and p.behind(rf"{UNITS}\b") or p.holds(rf"^(?:within|after)\s.*{UNITS}$")),
+    (RELATIVE, "RELATIVE_DURATION_BASE_IS_QUANTITY", lambda p: p.holds(r"(?:minutes?|hours?) (?:after|before|past|to) [a-z0-9]+$") and p.behind(rf"{COUNTED}\b")),
+    (DURATION, "DURATION_MINUTE_NOUN", lambda p: p.before(r"\bhalf") and p.holds(r"^an?\s+(?:minute|hour)")),
+    (DURATION, "DURATION_HYPHENATED", lambda p: p.behind(rf"{_DASH}\s*(?:{UNITS}|{SPANNED})\b")),
+    (DURATION, "DURATION_FOR_MINUTES", lambda p: p.before(r"\bfor") and p.behind(rf"{UNITS}\b")),
+    (DURATION, "DURATION_ELAPSED_UNITS", lambda p: p.behind(rf"{_DASH}?\s*{UNITS}\b(?!\s+(?:past|after|to|before|till|of)\b)") or p.holds(rf"\b{UNITS}\s+and\b.*\b{UNITS}$") and not p.before(r"\b(?:precisely|exactly|clock time is)")),
+    (RATIO, "MEASUREMENT_CONTEXT", lambda p: p.behind(rf"{_DASH}\s*[a-z]") and not p.behind(r"[—–-]\s*[ap]\b") and p.holds(r"[a-z]$")),
+    (RATIO, "MEASUREMENT_CONTEXT", lambda p: p.digits and (p.before(r"[£$€]") or p.behind(r":\d") or p.next in MEASURES - {"hour", "hours"})),
+    (REFERENCE, "REFERENCE_BRACKETED_ANNOTATION", lambda p: p.digits and (p.before(r"[\[{]") or p.behind(r"[\]}]"))),
+    (REFERENCE, "REFERENCE_SCRIPTURE", lambda p: p.digits and p.word in SCRIPTURE),
+    (REFERENCE, "REFERENCE_CHAPTER", lambda p: p.digits and p.word in ("chapter", "chap", "ch")),
+    (REFERENCE, "REFERENCE_PAGE_LINE", lambda p: p.digits and p.word in ("page", "line", "p", "pp")),
+    (REFERENCE, "REFERENCE_SECTION", lambda p: p.digits and p.word in SECTIONS),
+    (REFERENCE, "REFERENCE_EXPLICIT", lambda p: p.digits and p.before(r"\b(?:see|cf\.?|compare)")),
+    (REFERENCE, "REFERENCE_DENSE_COLON_LIST", lambda p: p.digits and len(re.findall(r"\d+:\d+", p.near[-60:] + p.far[:60])) >= 3),
+    (RATIO, "RATIO_CONTEXT", lambda p: p.digits and p.head in ("ratio", "proportion", "scale", "odds")),
+    (SCORE, "SCORE_CONTEXT", lambda p: p.digits and p.head in SCORES),
+    (UNREAD, RANGE_OF_TIME, lambda p: p.behind(r"[-–—]\s*\d{1,2}[:.]\d\d") or p.before(r"\d{1,2}[:.]\d\d\s*(?:[-–—]|to|and|until)") or p.before(r"\bbetween\s+[^,.;!?]{1,35}\sand")),
+    (UNREAD, ABOUT, lambda p: p.before(rf"\b{_APPROXIMATE}") or p.holds(rf"\b{_APPROXIMATE}\b") and not p.holds(r"^(?:about|around|approximately|near)\s+\w+$")),
+    (NUMBER, "NON_TEMPORAL_IDENTIFIER", lambda p: p.digits and p.before(r"(?:\bno\.|\bnumber|#|\bflight|\broom|\bmodel)")),
+]
+#: What shows that a phrase is used as a time: words before it, and words of its own.
+_CUED = r"(?:\b(?:at|by|until|till|exactly|precisely|struck|strikes?|was|is|it's|read|reads|said|says|showed|shows|displayed|indicated|had|from|before|after|to|of)|[-—–“\"'(,;:])"
+_TOLD = r"o'clock|of the clock|on the clock|[ap]\s*\.?\s*m\b|midnight|noon|past|after|before|\bto\b|till|\bof\b|quarter|half|struck|strik|\d"
+
+
+def _reading(quote: str, start: int, end: int) -> tuple[tuple[int, ...], str] | Decision:
+    """The minutes that a phrase may be and the code of its form; or why it is none."""
+    phrase, before, after = quote[start:end], quote[max(0, start - 90) : start], quote[end : end + 90]
     dashed = re.match(r"\s*[—–-]\s*([ap])\s*[—–.-]?\s*m\b", after, re.I)
-    tail = f" {dashed[1]}.m." if dashed else after[:90]
-    figures = re.fullmatch(r"\s*(\d{1,2})[.](\d\d)(.*)", phrase, re.S)
-    said = f"{figures[1]}:{figures[2]}{figures[3]}" if figures else phrase
-    if fraction := re.fullmatch(r"(\d{1,2})\s+1/2\s+o[’']clock", said.strip(), re.I):
-        said = f"half past {fraction[1]}"
-    text = f"{cue}{said}{tail}"
-    found = [r for r in read_times(text) if r.start < len(cue) + len(said) and r.end > len(cue)]
-    if not found:
-        return Decision(UNREAD, REVIEW, (), "no reading")
-    first = found[0]
-    if first.confidence == RANGE:
-        return Decision(RANGE_OF_TIME, QUARANTINE, (), "time range")
-    if first.confidence == INVALID:
-        kind = SCORE if "SCORE" in (first.reason or "") else RATIO if "DIMENSION" in (first.reason or "") else REFERENCE if "reference" in (first.reason or "") else UNREAD
-        return Decision(kind, QUARANTINE if kind != UNREAD else REVIEW, (), first.reason or "")
-    if first.confidence == APPROXIMATE and first.minute is None:
-        return Decision(ABOUT, QUARANTINE, (), first.reason or "")
-    if first.confidence == AMBIGUOUS:
-        if not first.options:
-            return Decision(UNREAD, REVIEW, (), first.reason or "")
-        half = Reader(f"{before[-90:]} {said}")
-        place = next((i for i, t in enumerate(half.tokens) if t.start >= len(before[-90:])), 0)
-        side = half.half_of_day(place, len(half.tokens), 12) if half.tokens else None
-        return ((first.options[side == "p"],) if side else tuple(first.options)), first.rule
-    return (first.minute,), first.rule
-
-
-def judge(quote: str | None, start: int | None, end: int | None, claimed: int | None) -> Decision:
+    read = grammar.read(f"{phrase} {dashed[1]}m" if dashed else phrase)
+    if read and read.told:
+        return read.minutes, f"CLOCK_GRAMMAR_{read.code}"
+    cue = "at "  # the phrase is said to be a time: running text is read as after a word of time
+    found = [r for r in read_times(f"{cue}{phrase}{after}") if r.start < len(cue) + len(phrase) and r.end > len(cue)]
+    first = found[0] if found else None
+    if first and first.confidence == RANGE:
+        return Decision(UNREAD, QUARANTINE, (), RANGE_OF_TIME, "HIGH")
+    if first and first.confidence == APPROXIMATE and first.minute is None and not read:
+        return Decision(UNREAD, QUARANTINE, (), ABOUT, "HIGH")
+    at = re.search(r"\b(?:at|by|until|till|was|showed|struck|read)\s*$", before, re.I)  # whatever follows, it is a time
+    if first and first.confidence == INVALID and not (read and (at or read.code in ("RELATIVE", "WRITTEN"))):
+        kind, code = next(((k, c) for part, k, c in (("SCORE", SCORE, "SCORE_CONTEXT"), ("DIMENSION", RATIO, "MEASUREMENT_CONTEXT"), ("reference", REFERENCE, "REFERENCE_EXPLICIT")) if part in (first.reason or "")), (UNREAD, "NUMERIC_OUTSIDE_CLOCK_RANGE"))
+        return Decision(kind, QUARANTINE if kind != UNREAD else REVIEW, (), code, "MEDIUM")
+    if not read:
+        if first and first.minute is not None:
+            return (first.minute,), f"CLOCK_GRAMMAR_{(first.rule or '').upper()}"
+        return (tuple(first.options), f"CLOCK_GRAMMAR_{(first.rule or '').upper()}") if first and first.options else Decision(UNREAD, REVIEW, (), "UNKNOWN_CONTEXT")
+    code = f"CLOCK_GRAMMAR_{read.code}"
+    if first and first.minute in read.minutes:
+        return (first.minute,), code  # the words behind tell the half of the day
+    around = Reader(f"{before} {phrase}")
+    place = next((i for i, t in enumerate(around.tokens) if t.start >= len(before)), 0)
+    side = around.half_of_day(place, len(around.tokens), 12) if around.tokens else None
+    return ((read.minutes[side == "p"],) if side else read.minutes), code
+
+
+def judge(quote: str | None, start: int | None, end: int | None, claimed: int | None, section: str | None = None) -> Decision:
     """The decision on a highlight. A null quote or highlight, or one outside the quote, is for review."""
     if quote is None or start is None or end is None or claimed is None or not 0 <= start < end <= len(quote):
-        return Decision(UNREAD, REVIEW, (), "no highlight")
-    phrase, before, after = quote[start:end], quote[:start], quote[end:]
-    apart = _not_a_clock(phrase, before, after)
+        return Decision(UNREAD, REVIEW, (), "HIGHLIGHT_OFFSET_INVALID")
+    here = Place(quote, start, end, section or "")
+    apart = next(((kind, code) for kind, code, holds in APART if holds(here)), None)
     if apart:
-        return apart
-    if re.search(r"\b(?:about|around|nearly|almost|roughly|approximately|something like|close upon|shortly (?:before|after)|just (?:before|after))\s+$", before[-40:], re.I):
-        return Decision(ABOUT, QUARANTINE, (), "modifier")
-    if re.search(r"\bbetween\s+[^,.;!?]{1,35}\sand\s+$", before[-60:], re.I):
-        return Decision(RANGE_OF_TIME, QUARANTINE, (), "between two times")
-    found = _minutes(phrase, before, after)
+        return Decision(apart[0], QUARANTINE, (), apart[1], "HIGH")
+    found = _reading(quote, start, end)
     if isinstance(found, Decision):
         return found
-    minutes, rule = found
-    cued = re.search(r"(?:\b(?:at|by|until|till|exactly|struck|strikes?|was|is|it’s|it's|read|reads|said|says|showed|shows|displayed|indicated|precisely|had|from|before|after|to|of)|[-—–“\"‘'(,;:])\s*$", before[-24:], re.I)
-    told = re.search(r"o[’']clock|[ap]\s*\.?\s*m\b|midnight|noon|past|after|before|to|quarter|half|\d", phrase, re.I)
-    if not cued and not (told and rule not in ("written",)):
-        return Decision(UNREAD, REVIEW, minutes, "nothing says that it is a time")
+    minutes, code = found
+    if not here.before(_CUED) and not (here.holds(_TOLD) and not code.endswith(("_WRITTEN", "_BARE_CONTEXTUAL"))) and not here.holds(_TOLD.replace("|\\d", "")):
+        reason = "COLON_WITHOUT_TIME_EVIDENCE" if code.endswith("NUMERIC") else "BARE_HOUR_WITHOUT_TIME_EVIDENCE" if code.endswith("BARE_CONTEXTUAL") else "WRITTEN_WITHOUT_TIME_EVIDENCE"
+        return Decision(UNREAD, REVIEW, minutes, reason)
+    kind = EXACT if len(minutes) == 1 else EITHER
     if claimed not in minutes:
-        return Decision(CLOCK, QUARANTINE, minutes, "HIGHLIGHT_SEMANTIC_MISMATCH")
-    return Decision(CLOCK, KEEP, minutes, rule)
+        return Decision(kind, QUARANTINE, minutes, MISMATCH, "HIGH")
+    return Decision(kind, KEEP, minutes, code, "HIGH" if kind == EXACT else "MEDIUM")
 
 
 def disposition(decision: Decision, claimed: int) -> str:
     """What a mismatch is: the other half of the day, or another minute; "" if there is none."""
-    if decision.reason != "HIGHLIGHT_SEMANTIC_MISMATCH":
+    if decision.reason != MISMATCH:
         return ""
     return "WRONG_CLOCKFACE_SIDE" if any(m % 720 == claimed % 720 for m in decision.minutes) else "WRONG_MINUTE_LABEL"
 
@@ -132,11 +160,11 @@ def disposition(decision: Decision, claimed: int) -> str:
 def _judged(quotes: pd.Series, starts: pd.Series, ends: pd.Series, claimed: pd.Series) -> pd.DataFrame:
     whole = lambda x: None if pd.isna(x) else int(x)
     rows = [judge(q if isinstance(q, str) else None, whole(a), whole(b), whole(m)) for q, a, b, m in zip(quotes, starts, ends, claimed)]
-    return pd.DataFrame({"kind": [r.kind for r in rows], "action": [r.action for r in rows], "minutes": [list(r.minutes) for r in rows], "reason": [r.reason for r in rows]})
+    return pd.DataFrame({"kind": [r.kind for r in rows], "action": [r.action for r in rows], "minutes": [list(r.minutes) for r in rows], "reason": [r.reason for r in rows], "confidence": [r.confidence for r in rows]})
 
 
 def judged(quote: Column, start: Column, end: Column, claimed: Column) -> Column:
-    """(kind, action, minutes, reason) of each highlight; see ``judge``."""
+    """(kind, action, minutes, reason, confidence) of each highlight; see ``judge``."""
     return _judged(quote, start, end, claimed)
 
 

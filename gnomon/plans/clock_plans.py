@@ -190,13 +190,52 @@ def b56_same_when_shown(spark, sf):
     return p.join(q, "quote_id").select("provenance_id", same_when_shown(F.col("raw_title"), F.col("title")).alias("same"))
 
 
+@query("""WITH e AS (SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(hour(ts) * 60 + minute(ts) AS INT) AS t FROM events)
+SELECT event_id, f.form, f.kind, f.action, f.reason, f.confidence, f.minutes FROM e, UNNEST([
+  {'form': 'numeric', 'kind': 'CLOCK_TIME_EXACT', 'action': 'KEEP', 'reason': 'CLOCK_GRAMMAR_NUMERIC', 'confidence': 'HIGH', 'minutes': CAST(t AS VARCHAR)},
+  {'form': 'wrong', 'kind': 'CLOCK_TIME_EXACT', 'action': 'QUARANTINE', 'reason': 'HIGHLIGHT_SEMANTIC_MISMATCH', 'confidence': 'HIGH', 'minutes': CAST(t AS VARCHAR)},
+  {'form': 'dot', 'kind': 'CLOCK_TIME_EXACT', 'action': 'KEEP', 'reason': 'CLOCK_GRAMMAR_HISTORICAL_DOT', 'confidence': 'HIGH', 'minutes': CAST(t AS VARCHAR)},
+  {'form': 'spoken', 'kind': 'CLOCK_TIME_AMBIGUOUS', 'action': 'KEEP', 'reason': CASE WHEN m = 0 THEN 'CLOCK_GRAMMAR_OCLOCK' ELSE 'CLOCK_GRAMMAR_RELATIVE' END, 'confidence': 'MEDIUM', 'minutes': (t % 720) || ',' || (t % 720 + 720)},
+  {'form': 'military', 'kind': 'CLOCK_TIME_EXACT', 'action': 'KEEP', 'reason': CASE WHEN h < 10 THEN 'CLOCK_GRAMMAR_MILITARY' ELSE 'CLOCK_GRAMMAR_COMPACT_24H' END, 'confidence': 'HIGH', 'minutes': CAST(t AS VARCHAR)},
+  {'form': 'chapter', 'kind': 'SECTION_OR_REFERENCE', 'action': 'QUARANTINE', 'reason': 'REFERENCE_CHAPTER', 'confidence': 'HIGH', 'minutes': ''},
+  {'form': 'duration', 'kind': 'DURATION', 'action': 'QUARANTINE', 'reason': 'DURATION_FOR_MINUTES', 'confidence': 'HIGH', 'minutes': ''},
+  {'form': 'about', 'kind': 'UNKNOWN', 'action': 'QUARANTINE', 'reason': 'APPROXIMATE_CLOCK_EXPRESSION', 'confidence': 'HIGH', 'minutes': ''},
+  {'form': 'range', 'kind': 'UNKNOWN', 'action': 'QUARANTINE', 'reason': 'CLOCK_RANGE_EXPRESSION', 'confidence': 'HIGH', 'minutes': ''},
+  {'form': 'later', 'kind': 'RELATIVE_DURATION', 'action': 'QUARANTINE', 'reason': 'RELATIVE_LATER', 'confidence': 'HIGH', 'minutes': ''}]) AS u(f)""")
+def c12_c16_grammar(spark, sf):
+    """Ten ways to use the minute of each event in a sentence, and what each highlight is."""
+    from gnomon.functions.claims import judged
+
+    rows = spread(table(spark, sf, "events").select("event_id", "ts")).select("event_id", F.hour("ts").alias("h"), F.minute("ts").alias("m"))
+    h, m = F.col("h"), F.col("m")
+    half, twelve = F.when(h < 12, "a.m.").otherwise("p.m."), _twelve(h)
+    digits = F.format_string("%d:%02d", twelve, m)
+    minutes = lambda n: F.concat(S.number_words(n), F.when(n == 1, " minute").otherwise(" minutes"))
+    spoken = F.when(m == 0, F.concat(S.number_words(twelve), F.lit(" o’clock"))).when(m <= 30, F.concat(minutes(m), F.lit(" past "), S.number_words(twelve))).otherwise(F.concat(minutes(60 - m), F.lit(" to "), S.number_words(twelve % 12 + 1)))
+    forms = [
+        ("numeric", "It was ", F.concat_ws(" ", digits, half), " when the train left.", 0),
+        ("wrong", "It was ", F.concat_ws(" ", digits, half), " when the train left.", 7),
+        ("dot", "At ", F.concat_ws(" ", F.translate(digits, ":", "."), half), " the train left.", 0),
+        ("spoken", "It was ", spoken, " when the train left.", 0),
+        ("military", "It was ", F.format_string("%02d%02d hours", h, m), " when the train left.", 0),
+        ("chapter", "He had read chapter ", digits, " aloud.", 0),
+        ("duration", "They had waited for ", S.number_words(twelve), " minutes.", 0),
+        ("about", "They had left at about ", F.concat(S.number_words(twelve), F.lit(" o’clock")), ".", 0),
+        ("range", "The fair ran ", digits, "–3:15 that day.", 0),
+        ("later", "He rose. ", F.concat(S.number_words(twelve), F.lit(" minutes")), " later he left.", 0),
+    ]
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("form"), F.concat(F.lit(a), p, F.lit(b)).alias("text"), F.lit(len(a)).alias("start"), (F.lit(len(a)) + F.length(p)).alias("end"), F.pmod(h * 60 + m + off, F.lit(1440)).alias("claimed")) for name, a, p, b, off in forms)))
+    found = rows.select("event_id", each.alias("x")).select("event_id", "x.form", judged(F.col("x.text"), F.col("x.start"), F.col("x.end"), F.col("x.claimed")).alias("d"))
+    return found.select("event_id", "form", "d.kind", "d.action", "d.reason", "d.confidence", F.array_join(F.transform("d.minutes", lambda t: t.cast("string")), ",").alias("minutes"))
+
+
 @query()
 def c12_c16_claims(spark, sf):
     """Whether each highlighted phrase is the time that its quote claims."""
     from gnomon.functions.claims import judged
 
     rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "highlight_start", "highlight_end", "minute_of_day")).select("quote_id", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day")).alias("d"))
-    return rows.select("quote_id", "d.kind", "d.action", F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"), "d.reason")
+    return rows.select("quote_id", "d.kind", "d.action", F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"), "d.reason", "d.confidence")
 
 
 @query()
