@@ -26,7 +26,7 @@ def is_public(rights: Column) -> Column:
 
 def is_english(language: Column) -> Column:
     """Whether English is the only language given, by code or by name."""
-    given = F.array_distinct(F.filter(F.transform(F.split(F.lower(language), "[;,]"), F.trim), lambda x: x != ""))
+    given = F.array_distinct(F.filter(F.transform(F.split(F.lower(language), "[;,]"), lambda x: F.trim(x)), lambda x: x != ""))
     return F.coalesce((given == F.array(F.lit("en"))) | (given == F.array(F.lit("english"))), F.lit(False))
 
 
@@ -39,7 +39,7 @@ def literary_score(title: Column, subjects: Column, shelves: Column, classes: Co
     """-500 if anything speaks of another kind of book; else 45 for each literary term, 25 for each literary shelf and for a literary class, 100 at most."""
     about = F.concat_ws("; ", title, subjects, shelves)
     shelf = literary_terms(shelves, ("fiction", "poetry", "plays", "children's literature", "classics"))
-    literary = F.exists(F.transform(F.split(F.upper(F.coalesce(classes, F.lit(""))), "[;,]"), F.trim), lambda c: F.substring(c, 1, 2).isin(*LITERARY_CLASSES))
+    literary = F.exists(F.transform(F.split(F.upper(F.coalesce(classes, F.lit(""))), "[;,]"), lambda x: F.trim(x)), lambda c: F.substring(c, 1, 2).isin(*LITERARY_CLASSES))
     points = 45.0 * F.size(literary_terms(about, LITERARY_TERMS)) + 25.0 * F.size(shelf) + F.when(literary, 25.0).otherwise(0.0)
     return F.when(F.size(literary_terms(about, OTHER_TERMS)) > 0, -500.0).otherwise(F.least(F.lit(100.0), points))
 
@@ -101,3 +101,10 @@ def tree_digest(files: DataFrame, root: str) -> DataFrame:
     """One digest of each root's files (root, path, sha256), whatever their order; a root's list holds one digest for each of its files."""
     rows = F.array_sort(F.collect_list(F.concat_ws("\x00", "path", "sha256")))
     return files.groupBy(root).agg(F.sha2(F.array_join(rows, "\x00"), 256).alias("digest"), F.count("*").alias("files"))
+
+
+def catalog_index(catalog: DataFrame, rights: DataFrame) -> DataFrame:
+    """The rows of a catalog (text, title, language, subjects, locc, bookshelves) with their rights and what follows from both: public, english, literary_score. A book without rights is not public; of several the last in order counts."""
+    one = rights.groupBy(F.col("book").alias("text")).agg(F.max("rights").alias("rights"))
+    judged = catalog.join(one, "text", "left")
+    return judged.withColumns({"public": is_public(F.col("rights")), "english": is_english(F.col("language")), "literary_score": literary_score(F.col("title"), F.col("subjects"), F.col("bookshelves"), F.col("locc"))})

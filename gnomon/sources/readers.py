@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import bz2
 import html
-import io
+import os
 import re
 import tarfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,41 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, QUOTE)
 
 
+def read_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """A corpus by the name of its format, pipe_csv or yaml; any other name gives one row with an error."""
+    reader = {"pipe_csv": read_pipe, "yaml": read_yaml}.get(kind)
+    if reader:
+        return reader(spark, path)
+    return spark.createDataFrame([(path, *[None] * 7, f"unknown format {kind}")], QUOTE.replace("sfw boolean", "sfw string"))
+
+
+RECOVERY = "operation recovery_id quote_id minutes time_text quote title author source_url source_project source_license source_locator source_id source_checksum semantic_rationale source_context_before source_context_after".split()
+
+
+def read_recovery(spark: SparkSession, path: str) -> DataFrame:
+    """The table of recovered passages: tabs between fields, a header. ``at`` holds the distinct minutes, given as clock times or numbers. Rows of an unknown operation, a repeated or missing id, without a minute of the day, or without what their operation needs have an ``error``."""
+    from gnomon.functions.scalars import parse_time
+    from gnomon.functions.texts import display_text
+
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").schema(", ".join(f"{n} string" for n in RECOVERY)).csv(path)
+    shown = ("time_text", "quote", "title", "author", "source_context_before", "source_context_after")
+    rows = rows.select(*(display_text(F.col(n)).alias(n) if n in shown else F.trim(n).alias(n) for n in RECOVERY)).withColumn("operation", F.upper("operation"))
+    given = F.filter(F.transform(F.split(F.coalesce("minutes", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    at = F.array_distinct(F.transform(given, lambda x: F.when(F.contains(x, F.lit(":")), parse_time(x)).otherwise(x.try_cast("int"))))
+    counts = rows.filter("recovery_id is not null").groupBy("recovery_id").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("at", at).join(counts, "recovery_id", "left")
+    blank = lambda n: F.coalesce(F.col(n), F.lit("")) == ""
+    needed = ("time_text", "quote", "title", "author", "source_url", "source_project", "source_license", "semantic_rationale")
+    error = (
+        F.when(~F.coalesce(F.col("operation").isin("NEW_QUOTE", "EXISTING_QUOTE"), F.lit(False)), "unknown operation")
+        .when(blank("recovery_id") | (F.col("n") > 1), "missing or repeated id")
+        .when((F.size("at") == 0) | F.exists("at", lambda m: m.isNull() | ~m.between(0, 1439)), "no minute of the day")
+        .when((F.col("operation") == "EXISTING_QUOTE") & F.col("quote_id").try_cast("bigint").isNull(), "no quote")
+        .when((F.col("operation") == "NEW_QUOTE") & F.greatest(*(blank(n) for n in needed)), "lacks evidence")
+    )
+    return rows.withColumn("error", error).drop("n")
+
+
 def read_adjudications(spark: SparkSession, path: str) -> DataFrame:
     """The reviewers' table: tabs between fields, a header. Minutes out of range and rows delivered more often than once for a quote and minute have an ``error``."""
     schema = "quote_id string, original_minute int, adjudication_action string, corrected_minutes string, corrected_highlight string, evidence_code string, evidence_text string, reviewed_by string"
@@ -88,8 +125,20 @@ _BLOCKED_TAGS = frozenset("nav table ol ul dl aside header footer figure figcapt
 _BLOCKED_TYPES = re.compile(r"\b(?:toc|landmarks|endnotes?|footnotes?|noteref|titlepage|colophon|imprint|epigraph)\b")
 
 
+# Names of files that hold no prose, and parts of such names.
+NO_PROSE = "colophon copyright cover halftitlepage imprint loi titlepage toc uncopyright".split()
+NO_PROSE_PARTS = "acknowledgement bibliography colophon copyright endnote footnote glossary imprint index titlepage transcriber uncopyright".split()
+# Fixed values end.
+
+
+def is_literary_file(path: Column) -> Column:
+    """Whether a file's name is one of prose."""
+    stem = F.lower(F.regexp_extract(path, r"([^/\\\\]*?)(?:\.[^./\\\\]*)?$", 1))
+    return ~stem.isin(*NO_PROSE) & ~stem.rlike("|".join(NO_PROSE_PARTS))
+
+
 def paragraphs_of_xhtml(text: str) -> list[tuple[str | None, int, str, int]]:
-    """(section, number, text, offset) of the paragraphs in the body; those in navigation, tables, lists, notes and hidden parts are counted and left out. Offsets run over the kept ones, one apart."""
+    """(section, number, text, offset) of the paragraphs in a body of the kind bodymatter that is neither front nor back matter; those in navigation, tables, lists, notes and hidden parts are counted and left out. Offsets run over the kept ones, one apart."""
     root = ET.fromstring(re.sub(r"&(?!amp;|lt;|gt;|quot;|apos;|#)(\w+);", lambda m: html.unescape(m[0]), text))
     out: list[tuple[str | None, int, str, int]] = []
     number = offset = 0
@@ -111,13 +160,14 @@ def paragraphs_of_xhtml(text: str) -> list[tuple[str | None, int, str, int]]:
             visit(child, blocked, section)
 
     body = next((n for n in root.iter() if n.tag.rpartition("}")[2] == "body"), None)
-    if body is not None:
+    kinds = {k.rpartition(":")[2] for n, v in (body.attrib.items() if body is not None else ()) if n.rpartition("}")[2] == "type" for k in v.lower().split()}
+    if "bodymatter" in kinds and not kinds & {"frontmatter", "backmatter"}:
         visit(body, False, None)
     return out
 
 
 def read_xhtml(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of XHTML files; a file that is none gives one row with an error."""
+    """Paragraphs of XHTML files whose names are those of prose; a file that is no XML gives one row with an error."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,7 +180,8 @@ def read_xhtml(spark: SparkSession, path: str) -> DataFrame:
             frame = pd.DataFrame(out, columns=[f.split(" ")[0] for f in PARAGRAPH.split(", ")])
             yield frame.astype({"paragraph": "Int32", "document_offset": "Int32"})
 
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, PARAGRAPH)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.filter(is_literary_file(F.col("path"))).mapInPandas(parse, PARAGRAPH)
 
 
 _START, _END = re.compile(r"^\*\*\* ?START OF (?:THE|THIS) .*$", re.M), re.compile(r"^\*\*\* ?END OF (?:THE|THIS) .*$", re.M)
@@ -138,6 +189,22 @@ _DROPPED = re.compile(r"^(?:\[?transcriber|\[illustration|produced by|chapter\s+
 _BACK = re.compile(r"^(?:index|footnotes|endnotes|the end|finis|appendix\b.*|glossary)\.?$", re.I)
 
 
+def collapsed(block: str, at: int = 0) -> tuple[str, list[int]]:
+    """A block with single blanks, and for each of its characters the place in the file, if the block begins at ``at``."""
+    out, places = [], []
+    for m in re.finditer(r"\s+|\S", block.rstrip()):
+        if out or not m[0].isspace():
+            out.append(" " if m[0].isspace() else m[0])
+            places.append(at + m.start())
+    return "".join(out), places
+
+
+def source_offset(places: Column, index: Column) -> Column:
+    """The place in the file of a character of a paragraph by its map; the place behind the last one for the end; null outside."""
+    last = F.try_element_at(places, F.lit(-1)) + 1
+    return F.when((index >= 0) & (index < F.size(places)), F.try_element_at(places, (index + 1).cast("int"))).when(index == F.size(places), last)
+
+
 def paragraphs_of_book(text: str) -> list[tuple[int, str, int]]:
     """(number, text, offset in the file) of the paragraphs between the START and END lines; contents, chapter lines and notes of transcribers are left out, and all from an index or the like on.
 
@@ -198,10 +265,10 @@ def stream_ranges(offsets: DataFrame, size: int) -> DataFrame:
 
 
 def read_wiki(spark: SparkSession, path: str, ranges: DataFrame, tasks: int = 64) -> DataFrame:
-    """Pages of a bz2 multistream dump on a shared disk: each task reads its own ranges of the file, so that a large archive is read by many."""
+    """Pages of a bz2 multistream dump on any file system that all executors reach: each task reads its own ranges of the file, so that a large archive is read by many."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as file:
+        with opened(path) as file:
             for pdf in batches:
                 out = []
                 for start, end in zip(pdf["start"], pdf["end"]):
@@ -278,20 +345,31 @@ def rights_of(payload: bytes) -> tuple[int, str] | None:
     return (number, rights[-1]) if number is not None and rights else None
 
 
+def opened(path: str) -> pa.NativeFile:
+    """A file of any file system by its path or address, for reading from any place."""
+    if re.match(r"file:/(?!/)", path):
+        path = f"file://{path[5:]}"
+    fs, place = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return fs.open_input_file(place)
+
+
 def read_rights(spark: SparkSession, path: str) -> DataFrame:
-    """(book, rights) of the RDF files in tar archives of any compression, each streamed by one task."""
+    """(book, rights) of the RDF files in tar archives of any compression: each archive is streamed by one task, of which only one member is in memory."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
+            for name in pdf["path"]:
                 out = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+                with opened(name) as file, tarfile.open(fileobj=file, mode="r|*") as archive:
                     for member in archive:
-                        if member.name.endswith(".rdf") and (file := archive.extractfile(member)) and (found := rights_of(file.read())):
+                        if member.name.endswith(".rdf") and (held := archive.extractfile(member)) and (found := rights_of(held.read())):
                             out.append(found)
+                        if len(out) >= 10_000:
+                            yield pd.DataFrame(out, columns=["book", "rights"])
+                            out = []
                 yield pd.DataFrame(out, columns=["book", "rights"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "book bigint, rights string")
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(parse, "book bigint, rights string")
 
 
 OPF = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "author", "language", "rights")] + [T.StructField("genres", T.ArrayType(T.StringType()))])

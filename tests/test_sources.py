@@ -104,3 +104,52 @@ def test_sinks(spark, tmp_path):
     except Exception:
         pass
     assert spark.read.parquet(place).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_only_bodymatter_is_prose(spark, tmp_path):
+    def write(name, kind):
+        (tmp_path / name).write_text(f'<html xmlns:epub="e"><body epub:type="{kind}"><p>In {name}.</p></body></html>')
+
+    for name, kind in (("chapter-1.xhtml", "z:bodymatter"), ("preface.xhtml", "frontmatter"), ("notes.xhtml", "bodymatter backmatter"), ("toc.xhtml", "bodymatter"), ("endnotes.xhtml", "bodymatter"), ("plain.xhtml", "")):
+        write(name, kind)
+    assert [r.text for r in R.read_xhtml(spark, str(tmp_path)).collect()] == ["In chapter-1.xhtml."]
+
+
+def test_dispatch(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("07:05|five past seven|It was five past seven.|A|C")
+    assert [r.title for r in R.read_source(spark, "pipe_csv", str(tmp_path)).collect()] == ["A"]
+    assert [r.error for r in R.read_source(spark, "json", str(tmp_path)).collect()] == ["unknown format json"]
+
+
+def test_recovery(spark, tmp_path):
+    full = dict.fromkeys(R.RECOVERY, "x") | {"operation": "new_quote", "quote_id": "", "minutes": "00:31, 12:31,31", "quote": "It&nbsp;was  ten."}
+    rows = [full | {"recovery_id": "a"}, full | {"recovery_id": "b", "minutes": "24:10"}, full | {"recovery_id": "c", "title": ""}, full | {"recovery_id": "d", "operation": "EXISTING_QUOTE"}, full | {"recovery_id": "e", "operation": "DROP"}, full | {"recovery_id": "f", "minutes": " ,"}, full | {"recovery_id": "g"}, full | {"recovery_id": "g"}]
+    (tmp_path / "r.tsv").write_text("\n".join(["\t".join(R.RECOVERY), *("\t".join(r[n] for n in R.RECOVERY) for r in rows)]))
+    found = R.read_recovery(spark, str(tmp_path)).orderBy("recovery_id").collect()
+    assert [r.error for r in found] == [None, "no minute of the day", "lacks evidence", "no quote", "unknown operation", "no minute of the day", "missing or repeated id", "missing or repeated id"]
+    assert (found[0].at, found[0].quote) == ([31, 751], "It was ten.")
+
+
+def test_offsets_of_collapsed_blocks(spark):
+    raw = "  It \n was  ten.\n"
+    text, places = R.collapsed(raw, 100)
+    assert text == "It was ten." and all(raw[p - 100] == c or c == " " for p, c in zip(places, text))
+    row = spark.createDataFrame([(places,)], "p array<int>").select(*(R.source_offset(F.col("p"), F.lit(i)).alias(f"o{i}") for i in (0, 3, 11, 12, -1))).first()
+    assert tuple(row) == (102, places[3], places[-1] + 1, None, None)
+
+
+def test_catalog_index(spark):
+    from gnomon.sources.metadata import catalog_index
+
+    catalog = spark.createDataFrame([(1, "A novel", "en", "Fiction", "PR", ""), (2, "B", "en; fr", "", "", "")], "text long, title string, language string, subjects string, locc string, bookshelves string")
+    rights = spark.createDataFrame([(1, "Public domain in the USA."), (3, "x")], "book long, rights string")
+    assert [(r.text, r.public, r.english, r.literary_score > 0) for r in catalog_index(catalog, rights).orderBy("text").collect()] == [(1, True, True, True), (2, False, False, False)]
+
+
+def test_import(spark):
+    from gnomon.operators import importing as I
+
+    raw = [(1, "07:05", "It was ten.", None), (2, "07:05", "It was&nbsp;ten.", None), (3, "07:05", "It was TEN!", None), (4, "07:06", "It was ten.", None), (5, "25:00", "x", None), (6, "07:05", None, None), (7, None, None, "2 fields"), (8, "07:05", "It was TEN!", None)]
+    done = I.outcomes(spark.createDataFrame(raw, "id long, time_24h string, quote string, error string"), ["id"])
+    assert [r.outcome for r in done.orderBy("id").collect()] == ["CANONICAL", "EXACT", "TRIVIAL_VARIANT", "CANONICAL", "INVALID_TIME", "MALFORMED", "MALFORMED", "EXACT"]
+    assert tuple(I.counters(done).first()) == (8, 2, 2, 1, 2, 1)
