@@ -88,3 +88,18 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
     words = rows.select(*(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"w{i}") for i in range(4)))
     sums = [F.sum(F.col(f"w{i}").cast("decimal(20,0)")).cast("string") for i in range(4)] + [F.bit_xor(f"w{i}").cast("string") for i in range(4)]
     return words.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *(F.coalesce(x, F.lit("")) for x in sums)), 256).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+def corpus_report(quotes: DataFrame) -> DataFrame:
+    """The numbers of a corpus in one row: sizes, distinct minutes, names and sources (blank names don't count), verified, labelled and marked quotes, lengths."""
+    n = F.length("quote")
+    return quotes.agg(
+        F.count("*").alias("quotes"), F.count_distinct("minute_of_day").alias("minutes"), F.count_distinct(nonblank("author")).alias("authors"), F.count_distinct(nonblank("title")).alias("titles"), F.count_if(F.col("quality_status").startswith("VERIFIED")).alias("verified"),
+        F.count_if("sfw").alias("sfw"), F.count_if(F.col("sfw").isNull()).alias("unlabelled"), F.count_if(F.col("highlight_start").isNull()).alias("unmarked"), F.min(n).cast("bigint").alias("shortest"), F.max(n).cast("bigint").alias("longest"), F.round(F.avg(n), 6).alias("mean_length"), F.count_distinct("source_name").alias("sources"),
+    )
+
+
+def metric_rows(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, before, after, change) of the measures of ``thresholds`` for two states of coverage (minute, usable): one row each."""
+    sides = [thresholds(df).select(*(F.col(m).cast("bigint").alias(m) for m in metrics)).unpivot([], metrics, "metric", name) for df, name in ((before, "before"), (after, "after"))]
+    return sides[0].join(sides[1], "metric").withColumn("change", F.col("after") - F.col("before"))

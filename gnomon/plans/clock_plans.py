@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gnomon.functions import gates
 from gnomon.functions import scalars as S
-from gnomon.functions.clock import times
+from gnomon.functions.clock import SCRIPTURE, times
 from gnomon.session import spread, table
 
 QUERIES: dict = {}
@@ -248,3 +249,53 @@ def e19_prior_and_now(spark, sf):
     held = table(spark, sf, "quotes").join(prior, "quote_id")
     rows = held.select("adjudication_action", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute")).alias("d"))
     return rows.groupBy("adjudication_action", "d.action", "d.kind").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT quote_id, regexp_matches(quote, '(?i)\b(' || (SELECT string_agg(w, '|') FROM (VALUES %s) AS t(w)) || ')\.?\s+\d{1,3}:\d{1,3}') OR regexp_matches(quote, '(^|[.!?]\s+)[A-Z][^.!?]{0,45},\s*\d{1,3}:\d{1,3}\b')
+  OR (regexp_matches(substring(quote, 1, highlight_start), '(^|[.!?][”’"]?\s+)$') AND regexp_matches(substring(quote, highlight_end + 1), '^\s*[),]')) AS citation FROM quotes WHERE quote IS NOT NULL AND highlight_start IS NOT NULL""" % ", ".join(f"('{w}')" for w in sorted(SCRIPTURE)))
+def b35_citations(spark, sf):
+    """Whether each highlight looks like a citation."""
+    rows = table(spark, sf, "quotes").filter("quote is not null and highlight_start is not null")
+    return rows.select("quote_id", gates.citation_shaped(F.col("quote"), F.col("highlight_start"), F.col("highlight_end")).alias("citation"))
+
+
+@query("""SELECT cand_id, CASE WHEN NOT coalesce(list_contains([possible_minute_am, possible_minute_pm, minute_of_day], m), false) THEN 'no option' WHEN printf('%02d:%02d', m // 60, m % 60) <> coalesce(shown, '') THEN 'other than shown'
+  WHEN coalesce(trim(parser_rule), '') = '' OR coalesce(trim(time_confidence), '') = '' OR coalesce(trim(author), '') = '' THEN 'no evidence' END AS fault
+FROM (SELECT *, coalesce(minute_of_day, CASE WHEN cand_id % 3 = 0 THEN possible_minute_am + 1 ELSE possible_minute_pm END) AS m, CASE WHEN cand_id % 5 = 0 THEN NULL ELSE printf('%02d:%02d', coalesce(minute_of_day, possible_minute_pm) // 60, coalesce(minute_of_day, possible_minute_pm) % 60) END AS shown FROM scanned_candidates)""")
+def b34_resolutions(spark, sf):
+    """Whether the resolution of each candidate holds, with some that are made not to."""
+    rows = table(spark, sf, "scanned_candidates")
+    minute = F.coalesce("minute_of_day", F.when(F.col("cand_id") % 3 == 0, F.col("possible_minute_am") + 1).otherwise(F.col("possible_minute_pm")))
+    shown = F.when(F.col("cand_id") % 5 != 0, S.minute_to_time(F.coalesce("minute_of_day", "possible_minute_pm")))
+    options = F.array("possible_minute_am", "possible_minute_pm", "minute_of_day")
+    return rows.select("cand_id", gates.resolution_fault(minute, options, shown, F.col("parser_rule"), F.col("time_confidence"), F.col("author")).alias("fault"))
+
+
+@query()
+def b31_context_faults(spark, sf):
+    """Why the passage of each candidate isn't fit to be a recovered context."""
+    rows = spread(table(spark, sf, "scanned_candidates").select("cand_id", "quote")).withColumn("n", F.size(times(F.col("quote"))))
+    return rows.select("cand_id", gates.context_fault(F.col("quote"), F.col("n")).alias("fault"))
+
+
+@query()
+def b52_repairable(spark, sf):
+    """Highlights of quotes that claim another minute and may be put right by their own phrase, with the minutes that it says."""
+    from gnomon.functions.claims import judged
+
+    rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "highlight_start", "highlight_end", "minute_of_day").filter("highlight_start is not null"))
+    off = rows.withColumn("d", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day"))).filter("d.reason = 'HIGHLIGHT_SEMANTIC_MISMATCH'")
+    own = off.withColumn("d", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.try_element_at("d.minutes", F.lit(1))))
+    ok = gates.repairable(S.highlighted(F.col("quote"), F.col("highlight_start"), F.col("highlight_end")), F.substring(F.col("quote"), F.lit(1), F.col("highlight_start")), F.col("d.reason"))
+    return own.select("quote_id", ok.alias("repairable"), F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"))
+
+
+@query()
+def c20_c23_assessed(spark, sf):
+    """What becomes of the candidates whose time has two halves, with their passage behind another sentence as the source."""
+    from gnomon.functions.timelines import assessed
+
+    rows = spread(table(spark, sf, "scanned_candidates").filter("possible_minute_am is not null").select("cand_id", "quote", "highlight_start", "highlight_end", "duplicate_status"))
+    fault = F.when(F.col("duplicate_status").isin("EXACT", "NORMALIZED"), "duplicate")
+    found = rows.select("cand_id", assessed(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.concat(F.lit("It had rained since breakfast. "), F.col("quote")), fault).alias("d"))
+    return found.select("cand_id", "d.decision", "d.minute", "d.reason")

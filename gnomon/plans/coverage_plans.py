@@ -187,3 +187,25 @@ def f01_target_rank(spark, sf):
 @query(f"SELECT minute, usable, CASE WHEN usable <= 2 THEN 6 - usable WHEN usable <= 4 THEN 3 WHEN usable <= 6 THEN 2 ELSE 0 END AS band FROM ({_COVER})")
 def b19_sparse_band(spark, sf):
     return covered(spark, sf).select("minute", "usable", S.sparse_band(F.col("usable")).cast("bigint").alias("band"))
+
+
+@query("""SELECT count(*) AS quotes, count(DISTINCT minute_of_day) AS minutes, count(DISTINCT nullif(trim(author), '')) AS authors, count(DISTINCT nullif(trim(title), '')) AS titles, count(*) FILTER (quality_status LIKE 'VERIFIED%') AS verified, count(*) FILTER (sfw) AS sfw, count(*) FILTER (sfw IS NULL) AS unlabelled,
+  count(*) FILTER (highlight_start IS NULL) AS unmarked, min(length(quote)) AS shortest, max(length(quote)) AS longest, round(avg(length(quote)), 6) AS mean_length, count(DISTINCT source_name) AS sources FROM quotes""")
+def d03_corpus_report(spark, sf):
+    """The corpus in numbers, in one aggregation."""
+    return C.corpus_report(table(spark, sf, "quotes"))
+
+
+_SHORT = f"SELECT count(*) FILTER (usable = 0) AS empty, count(*) FILTER (usable < 3) AS below_3, count(*) FILTER (usable < 7) AS below_7, CAST(sum(greatest(0, 7 - usable)) AS BIGINT) AS missing, CAST(sum(usable) AS BIGINT) AS usable FROM"
+
+
+@query(f"""WITH c AS ({_COVER}), o AS (SELECT minute_of_day AS minute, count(*) AS n FROM scanned_candidates WHERE minute_of_day IS NOT NULL GROUP BY 1), a AS (SELECT c.minute, c.usable + coalesce(o.n, 0) AS usable FROM c LEFT JOIN o USING (minute)),
+x AS ({_SHORT} c), y AS ({_SHORT} a)
+SELECT 'empty' AS metric, x.empty AS before, y.empty AS after, y.empty - x.empty AS change FROM x, y UNION ALL SELECT 'below_3', x.below_3, y.below_3, y.below_3 - x.below_3 FROM x, y UNION ALL SELECT 'below_7', x.below_7, y.below_7, y.below_7 - x.below_7 FROM x, y
+UNION ALL SELECT 'missing', x.missing, y.missing, y.missing - x.missing FROM x, y UNION ALL SELECT 'usable', x.usable, y.usable, y.usable - x.usable FROM x, y""")
+def d26_before_and_after(spark, sf):
+    """What the candidates would change in the measures of coverage."""
+    before = covered(spark, sf).select("minute", "usable")
+    offered = table(spark, sf, "scanned_candidates").filter("minute_of_day is not null").groupBy(F.col("minute_of_day").alias("minute")).agg(F.count("*").alias("n"))
+    after = before.join(offered, "minute", "left").select("minute", (F.col("usable") + F.coalesce("n", F.lit(0))).alias("usable"))
+    return C.metric_rows(before, after, ["empty", "below_3", "below_7", "missing", "usable"])
