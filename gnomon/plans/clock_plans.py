@@ -280,13 +280,14 @@ def b31_context_faults(spark, sf):
 
 @query()
 def b52_repairable(spark, sf):
-    """Highlights of quotes that claim another minute and may be put right by their own phrase, with the minutes that it says."""
-    from gnomon.functions.claims import judged
+    """Of every highlight, whether it claims another minute and may be put right by its own phrase, and the minutes that it says."""
+    from gnomon.functions.claims import MISMATCH, judged
 
     rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "highlight_start", "highlight_end", "minute_of_day").filter("highlight_start is not null"))
-    off = rows.withColumn("d", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.col("minute_of_day"))).filter("d.reason = 'HIGHLIGHT_SEMANTIC_MISMATCH'")
-    own = off.withColumn("d", judged(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.try_element_at("d.minutes", F.lit(1))))
-    ok = gates.repairable(S.highlighted(F.col("quote"), F.col("highlight_start"), F.col("highlight_end")), F.substring(F.col("quote"), F.lit(1), F.col("highlight_start")), F.col("d.reason"))
+    at = (F.col("quote"), F.col("highlight_start"), F.col("highlight_end"))
+    claimed = rows.withColumn("d", judged(*at, F.col("minute_of_day")))
+    own = claimed.withColumn("own", judged(*at, F.coalesce(F.try_element_at("d.minutes", F.lit(1)), F.col("minute_of_day"))))
+    ok = (F.col("d.reason") == MISMATCH) & gates.repairable(S.highlighted(*at), F.substring(F.col("quote"), F.lit(1), F.col("highlight_start")), F.col("own.reason"))
     return own.select("quote_id", ok.alias("repairable"), F.array_join(F.transform("d.minutes", lambda x: x.cast("string")), ",").alias("minutes"))
 
 
