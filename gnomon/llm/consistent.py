@@ -40,6 +40,8 @@ INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u20
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 WIDE = "０-９Ａ-Ｚａ-ｚ"
 LIGATURES = "ﬀ-ﬆﬓ-ﬗ"
+#: Other compatibility letters: mathematical alphabets, circled letters, half-width kana and hangul.
+LETTER_FORMS = "\U0001d400-\U0001d7ff\u24b6-\u24e9\uff66-\uffdc"
 MARKS = "\u0300-\u036f"
 #: Java, quick: characters beyond ASCII, Latin letters and typographic marks. A text without any is in its consistent form already; Python looks at the others.
 SUSPECT = "[^\\x00-\\x7f\\u00a1-\\u00ac\\u00ae-\\u024f\\u2010-\\u2027\\u2030-\\u205e]"
@@ -49,6 +51,7 @@ RESULT = T.StructType([T.StructField("form", T.StringType()), T.StructField("cla
 _join_controls = re.compile("(?<=[\u0900-\u0dff\u0600-ۿက-႟ក-\u17ff])[\u200c\u200d](?=[\u0600-ۿ\u0900-\u0dffက-႟ក-\u17ff])|\u200d(?=[☀-➿\U0001f000-\U0001faff])")
 _invisible, _spaces = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{SPACES}]")
 _wide_run, _wide = re.compile("[！-～]+"), re.compile(f"[{WIDE}]")
+_letter_form = re.compile(f"[{LETTER_FORMS}]+")
 _ligature, _marked = re.compile(f"[{LIGATURES}]"), re.compile(f"\\S[{MARKS}]+")
 _foreign = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _word = re.compile(r"[^\W\d_]+")
@@ -131,6 +134,9 @@ def consistent(text: str | None, model: Bigrams) -> tuple[str | None, list[str]]
     if _ligature.search(held):
         classes.append("ligature")
         held = _ligature.sub(lambda m: unicodedata.normalize("NFKC", m[0]), held)
+    if _letter_form.search(held):
+        classes.append("letter_form")
+        held = _letter_form.sub(lambda m: unicodedata.normalize("NFKC", m[0]), held)
     if _marked.search(held):
         classes.append("combining")
         held = _marked.sub(lambda m: unicodedata.normalize("NFC", m[0]), held)

@@ -21,6 +21,7 @@ MODEL = Bigrams({("t", "h"): 50, ("h", "e"): 60, ("", "t"): 60, ("e", ""): 80, (
         ("０７：２５", "07:25", ["fullwidth"]),
         ("ofﬁce", "office", ["ligature"]),
         ("café", "café", ["combining"]),
+        ("\U0001d413\U0001d41e\U0001d427 ⓐⓣ ｶﾞ", "Ten at ガ", ["letter_form"]),
         ("w​ho­", "who", ["invisible"]),
         ("at ten", "at ten", ["space"]),
         ("часы “καλημέρα” — ½ … \t\n  x", "часы “καλημέρα” — ½ … \t\n  x", []),
