@@ -124,3 +124,16 @@ def state_lines(history: DataFrame, bags: DataFrame, shown: int, now: Column, ke
         bags.select(F.lit(3).alias("part"), F.format_string("%04d", "minute").alias("place"), F.concat_ws("\t", F.lit("BAG"), F.format_string("%04d", "minute"), F.translate("ids", "[]", "")).alias("value")),
     ]
     return lines[0].unionByName(lines[1]).unionByName(lines[2]).orderBy("part", "place", "value").select("value")
+
+
+def load_state(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the lines (value) of a state file: the history (at, minute, id), the bags (minute, cycle, ids) and the head (version, shown), one row or none. Lines that aren't of their kind are passed over; a bag of which an id is no number is left out, so that its minute starts anew."""
+    cells = lines.select(F.split("value", "\t", -1).alias("c")).withColumn("kind", F.try_element_at("c", F.lit(1)))
+    cell = lambda i, t: F.try_element_at("c", F.lit(i)).try_cast(t)
+    history = cells.filter("kind = 'H'").select(F.timestamp_seconds(cell(2, "bigint")).alias("at"), cell(3, "int").alias("minute"), cell(4, "bigint").alias("id"))
+    history = history.filter("at is not null and id is not null and minute between 0 and 1439")
+    ids = F.transform(F.split(F.try_element_at("c", F.lit(3)), ","), lambda x: x.try_cast("bigint"))
+    bags = cells.filter("kind = 'BAG'").select(cell(2, "int").alias("minute"), F.lit(0).alias("cycle"), ids.alias("list")).filter("minute between 0 and 1439")
+    bags = bags.filter(F.coalesce(F.forall("list", lambda x: x.isNotNull()), F.lit(False))).select("minute", "cycle", F.to_json("list").alias("ids"))
+    head = cells.filter("kind in ('VERSION', 'DISPLAY_COUNT')").agg(F.max(F.when(F.col("kind") == "VERSION", cell(2, "int"))).alias("version"), F.max(F.when(F.col("kind") == "DISPLAY_COUNT", cell(2, "bigint"))).alias("shown"))
+    return history, bags, head.filter("version is not null or shown is not null")

@@ -300,3 +300,26 @@ def c20_c23_assessed(spark, sf):
     fault = F.when(F.col("duplicate_status").isin("EXACT", "NORMALIZED"), "duplicate")
     found = rows.select("cand_id", assessed(F.col("quote"), F.col("highlight_start"), F.col("highlight_end"), F.concat(F.lit("It had rained since breakfast. "), F.col("quote")), fault).alias("d"))
     return found.select("cand_id", "d.decision", "d.minute", "d.reason")
+
+
+@query()
+def c25_matching_reading(spark, sf):
+    """The quotes of which exactly one reading is the phrase and the minute that they claim."""
+    rows = spread(table(spark, sf, "quotes").select("quote_id", "quote", "time_text", "minute_of_day")).withColumn("r", times(F.col("quote")))
+    own = F.filter("r", lambda x: (x["text"] == F.col("time_text")) & (x["minute"] == F.col("minute_of_day")))
+    return rows.filter(F.size(own) == 1).select("quote_id", own[0]["start"].alias("start_char"), own[0]["rule"].alias("rule"))
+
+
+@query()
+def c28_process_documents(spark, sf):
+    """English documents, whose times the reader knows, to candidates: each reading of each paragraph with the whole sentences around it, its scores, a hash, and its duplicate status against the quotes."""
+    from gnomon.functions.passages import extent_column, scored
+    from gnomon.operators.ordering import duplicate_status
+
+    parts = spread(table(spark, sf, "documents").filter("lang = 'en' and text is not null").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\R\s*\R")).alias("paragraph", "text"))
+    found = parts.select("doc_id", "paragraph", "text", F.explode(times(F.col("text"))).alias("r")).filter("r.minute is not null or r.options is not null")
+    found = found.withColumn("e", extent_column("text", "r.start", "r.end"))
+    found = found.select("doc_id", "paragraph", F.col("r.start").alias("start_char"), "r.minute", "r.text", F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("quote"))
+    found = found.withColumn("s", scored(F.col("quote"), F.col("text"))).withColumn("id", F.xxhash64("doc_id", "paragraph", "start_char"))
+    status = duplicate_status(table(spark, sf, "quotes").select(F.col("quote_id").alias("id"), F.col("minute_of_day").alias("minute"), F.col("quote").alias("text")), found.select("id", "minute", F.col("quote").alias("text")))
+    return found.join(status, "id").select("doc_id", "paragraph", "start_char", "minute", F.sha2("quote", 256).alias("hash"), "s.context_score", "s.literary_score", "s.reason", "status")

@@ -164,14 +164,26 @@ def _spelled(n: str) -> str:
     return f"(CASE WHEN {n} < 20 THEN {_ONES}[{n} + 1] ELSE ['twenty','thirty','forty','fifty'][{n} // 10 - 1] || CASE WHEN {n} % 10 > 0 THEN '-' || {_ONES}[{n} % 10 + 1] ELSE '' END END)"
 
 
-@query(f"""WITH c AS (SELECT CAST(i AS INT) AS minute, i // 60 AS h, i % 60 AS m, (i // 60 + 11) % 12 + 1 AS t, CASE WHEN i < 720 THEN 'a.m.' ELSE 'p.m.' END AS half, CASE WHEN i < 720 THEN 'morning' WHEN i < 1080 THEN 'afternoon' ELSE 'evening' END AS part FROM range(1440) r(i))
+_VARIANTS = f"""WITH c AS (SELECT CAST(i AS INT) AS minute, i // 60 AS h, i % 60 AS m, (i // 60 + 11) % 12 + 1 AS t, CASE WHEN i < 720 THEN 'a.m.' ELSE 'p.m.' END AS half, CASE WHEN i < 720 THEN 'morning' WHEN i < 1080 THEN 'afternoon' ELSE 'evening' END AS part FROM range(1440) r(i))
 SELECT DISTINCT minute, unnest([printf('%02d:%02d', h, m), printf('%d:%02d %s', t, m, half), printf('%d.%02d %s', t, m, half), {_spelled("t")} || ' ' || {_spelled("m")} || ' ' || half] ||
   CASE WHEN m = 0 THEN [{_spelled("t")} || ' o''clock in the ' || part, {_spelled("t")} || ' o’clock in the ' || part] WHEN m = 30 THEN ['half past ' || {_spelled("t")} || ' in the ' || part]
-  WHEN m < 30 THEN [{_spelled("m")} || ' minutes past ' || {_spelled("t")} || ' in the ' || part] ELSE [{_spelled("(60 - m)")} || ' minutes to ' || {_spelled("(t % 12 + 1)")} || ' in the ' || part] END) AS phrase FROM c""")
+  WHEN m < 30 THEN [{_spelled("m")} || ' minutes past ' || {_spelled("t")} || ' in the ' || part] ELSE [{_spelled("(60 - m)")} || ' minutes to ' || {_spelled("(t % 12 + 1)")} || ' in the ' || part] END) AS phrase FROM c"""
+
+
+@query(_VARIANTS)
 def b21_minute_variants(spark, sf):
     return spark.range(1440).select(F.col("id").cast("int").alias("minute"), F.explode(S.minute_variants(F.col("id").cast("int"))).alias("phrase"))
 
 
+@query(f"SELECT v.minute, v.phrase FROM ({_VARIANTS}) v WHERE (SELECT count(*) FROM quotes q WHERE q.minute_of_day = v.minute) < 2")
+def b22_sparse_phrases(spark, sf):
+    """The ways to write the minutes that have fewer than two quotes: what a search for them looks for."""
+    from gnomon.operators.coverage import sparse_targets
+
+    sparse = sparse_targets(table(spark, sf, "quotes"), 1).select("minute")
+    return sparse.select("minute", F.explode(S.minute_variants(F.col("minute"))).alias("phrase"))
+
+
 _PEOPLE = r"list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(regexp_replace(author, '\s*[\[(][^\])]*[\])]', '', 'g'), ',?\s*\b\d{3,4}\??\s*-\s*(?:\d{3,4}\??)?', '', 'g'), ' '), '\s*;\s*'), lambda p: trim(regexp_replace(p, '^([^,]+),\s*([^,]+)$', '\2 \1'), ' ')), lambda p: p <> '')"
 
 

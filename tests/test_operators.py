@@ -205,3 +205,16 @@ def test_orphans_of_a_hot_key(spark):
     quotes = spark.range(3000).filter("id % 3 <> 0").select(F.col("id").alias("quote_id"), F.lit("2025-01-01").cast("timestamp").alias("created_at"))
     found = R.orphans(rows, "t", "provenance_id", "quote_id", R.Parent(quotes.filter("quote_id <> 77"), "quote_id", "created_at"))
     assert found.count() == 1001 and R.orphan_report(found).first().orphans == 1001
+
+
+def test_state_is_read_back(spark):
+    history = spark.createDataFrame([(at("2026-01-02 11:00:00"), 660, 5), (at("2026-01-02 11:01:00"), 661, 7), (at("2025-12-01 00:00:00"), 1, 8)], "at timestamp, minute int, id long")
+    bags = spark.createDataFrame([(3, 0, "[1,2]"), (4, 0, "[9]")], "minute int, cycle int, ids string")
+    lines = G.state_lines(history, bags, 12, F.lit("2026-01-02 12:00:00").cast("timestamp"))
+    broken = spark.createDataFrame([("H\tx\t1\t2",), ("H\t5",), ("BAG\t0007\t1,x",), ("BAG\t9999\t1",), ("",), (None,), ("LAST\t1",)], "value string")
+    found, held, head = G.load_state(lines.unionByName(broken))
+    assert sorted((r.minute, r.id) for r in found.collect()) == [(660, 5), (661, 7)]
+    assert {r.at for r in found.collect()} == {r.at for r in history.filter("minute > 1").collect()}
+    assert sorted(map(tuple, held.collect())) == [(3, 0, "[1,2]"), (4, 0, "[9]")] and tuple(head.first()) == (1, 12)
+    empty = G.load_state(lines.limit(0))
+    assert [df.count() for df in empty] == [0, 0, 0]
