@@ -33,13 +33,13 @@ MOST_MATCHES = 3
 VERIFY_COST = 8.0  #: of a candidate, where scanning a posting costs 1
 MOST_HEAVY = 2_000_000  #: tokens whose counts are broadcast, 16 bytes each; which tokens are known costs or saves time, never links
 COUNTED_TOKENS = 4_000_000  #: of a bucket in which tokens are counted
-KEY_BITS = 40  #: of a token where it is counted; two tokens that agree in these are counted as one
+TOKEN_BYTES = 5  #: of a token: two shingles of two texts that agree in these are as good as never different
+KEY_BITS = 8 * TOKEN_BYTES
 MOST_BUCKETS, MOST_PARTITIONS = 1 << 20, 8192
 CELL_TEXTS = 2_000  #: texts of one token in a block of its grid
 BUCKET_POSTINGS = 500_000
 SEEN_NODES = 500_000  #: nodes that a task remembers, to pass each on once
 PAIRS_AT_ONCE = 500_000
-TOKEN_BYTES = 5  #: of a token in a posting: in one bucket two tokens that agree in these are as good as never different, and verification settles them
 BITMAP_BITS = (16, 28)  #: least and most of the bitmap of candidate nodes, as powers of two: 32 MB at most
 BITMAP_BLOCK = 1 << 16  #: bytes
 FLUSH = 400_000  #: postings packed at once
@@ -80,6 +80,7 @@ class Shingler:
         tokens = np.zeros(len(h) - self.words + 1, np.uint64)
         for i in range(self.words):
             tokens = mixed(tokens * _MIX[0] + h[i : len(h) - self.words + 1 + i])
+        tokens >>= np.uint64(64 - KEY_BITS)
         owner = np.repeat(np.arange(len(sizes)), sizes)[: len(tokens)]
         whole = np.arange(len(tokens)) + self.words <= ends[: len(tokens)]
         owner, tokens = owner[whole], tokens[whole]
@@ -141,11 +142,10 @@ class Counts:
         """The number of texts of each token; 0 for a light one."""
         if not len(self.keys) or not len(tokens):
             return np.zeros(len(tokens), np.int64)
-        keys = tokens >> np.uint64(64 - KEY_BITS)
-        order = np.argsort(keys)  # sorted keys are found several times as fast
-        at = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+        order = np.argsort(tokens)  # sorted keys are found several times as fast
+        at = np.minimum(np.searchsorted(self.keys, tokens[order]), len(self.keys) - 1)
         out = np.zeros(len(tokens), np.int64)
-        out[order] = np.where(self.keys[at] == keys[order], self.texts[at], 0)
+        out[order] = np.where(self.keys[at] == tokens[order], self.texts[at], 0)
         return out
 
 
@@ -177,7 +177,7 @@ def token_counts(made: DataFrame, total: int) -> Counts:
         waiting: list[np.ndarray] = []
 
         def blobs() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(waiting) >> np.uint64(64 - KEY_BITS), return_counts=True)
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
             to = (keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)
             starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -235,7 +235,7 @@ def prefixes(owner: np.ndarray, tokens: np.ndarray, nodes: np.ndarray, counts: C
     sizes = np.bincount(owner, minlength=len(nodes))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     bits = np.zeros(len(nodes), np.uint64)
-    np.bitwise_or.at(bits, owner, np.uint64(1) << (tokens >> np.uint64(58)))
+    np.bitwise_or.at(bits, owner, np.uint64(1) << (tokens >> np.uint64(KEY_BITS - 6)))
     base = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
     scan = np.concatenate([[0.0], np.cumsum(freq)])
     # a posting of a token that f texts hold meets f texts; about 1 / l ** 2 of the meetings share l tokens
@@ -430,7 +430,7 @@ def wanted_sets(sets: DataFrame, candidates: DataFrame) -> DataFrame:
             at = places(np.asarray(batch.column(0)))
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7)) & 1 == 1))
             lists = batch.column(1)
-            short = (np.asarray(lists.flatten()).view(np.uint64) >> np.uint64(33)).astype(np.int32)
+            short = (np.asarray(lists.flatten()).view(np.uint64) >> np.uint64(KEY_BITS - 31)).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(short))], names=["node", "tokens"])
 
