@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gnomon.session import materialize
+
 
 def top_per_key(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key. Spark keeps only those of each key and task before it shuffles."""
@@ -122,7 +124,8 @@ def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
         words = words_column(F.col("text"))
         return df.select(F.col("id").cast("long").alias("id"), F.col("minute").cast("int").alias("minute"), "text", words.alias("words")).withColumn("letters", F.array_join("words", ""))
 
-    a, b = prepared(new).filter("letters <> ''"), prepared(known).filter("letters <> ''")
+    # words are cut once, and read by each of the joins below
+    a, b = (materialize(prepared(df).filter("letters <> ''")) for df in (new, known))
 
     def both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         """Pairs of equal keys (n, k): of one minute, and of all minutes where the new one is null."""
@@ -140,7 +143,7 @@ def duplicate_status(known: DataFrame, new: DataFrame) -> DataFrame:
         # a run of SHARED of all words begins within the first 1 - SHARED of them and ends within the last
         first = F.ceil(n * (1 - SHARED)).cast("int") + 1
         spots = F.when(first + SHINGLE - 1 <= F.floor(n * SHARED), F.array(first)).otherwise(F.sequence(F.lit(1), last)) if middle else F.sequence(F.lit(1), last)
-        return df.filter(n >= SHINGLE).select("id", "minute", F.explode(F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.array_join(F.slice("words", i, SHINGLE), " "))))).alias("key"))
+        return df.filter(n >= SHINGLE).select("id", "minute", F.explode(F.array_distinct(F.transform(spots, lambda i: F.xxhash64(*(F.get("words", i - 1 + k) for k in range(SHINGLE)))))).alias("key"))
 
     rest = a.join(equal.select("id"), "id", "left_anti")
     asked = both(shingles(rest, True), shingles(b, False), "key").union(both(shingles(rest, False), shingles(b, True), "key"))
