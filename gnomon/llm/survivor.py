@@ -26,7 +26,7 @@ STATUSES = ("VERIFIED_EXACT", "VERIFIED_NORMALIZED", "AMBIGUOUS", "TIME_TEXT_NOT
 # Fixed values end.
 FIELDS = ("source_name", "quality_status", "highlight_start")
 MOST_SOURCES = 10_000  #: the sources table may hold no more; all unlisted names are one source
-ROUNDS, SETTLED = 25, 0.002  #: at most so many rounds, till no estimate moves by more
+ROUNDS, SETTLED = 25, 0.02  #: at most so many rounds, till no estimate moves by more
 LEAST_WEIGHT = 0.01  #: of a field whose claims tell nothing
 PRIOR_TRUE = 0.5
 #: Pseudo-counts: a source is taken to assert most true values and deny nearly all false ones.
