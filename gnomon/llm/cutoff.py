@@ -36,6 +36,9 @@ PILED = 14.0
 #: How likely a text is to be cut before its words are read: before a mark of omission, without a mark where that is habit, and before any other mark.
 PRIOR = {"omitted?": 0.18, "bare?": 0.18, "unended?": 0.001}
 HELD_BACK = 5  #: uses that a word's share of ends is held back by
+COUNTS = ("used", "ends", "next_used", "next_ends", "last")
+TERMINATED = frozenset((".", "!", "?"))
+FRAGMENT = 0.5  #: how often a cut leaves a last word that stands nowhere else
 COUNTED_AT_ONCE = 200_000  #: words whose counts a task holds before it passes them on to be summed
 
 # Abbreviated words that a name or more follows.
@@ -65,17 +68,18 @@ def read(word: str) -> str:
 
 @dataclass
 class Endings:
-    """Counts of words: how often each is used and ends a sentence, and the same of the word after it; and the share of all uses that end one."""
+    """Counts of words: how often each is used and ends a sentence, the same of the word after it, and how many texts end in it and a mark that ends sentences; and of all uses the share that end one."""
 
-    counts: dict[str, tuple[int, int, int, int]]
+    counts: dict[str, tuple[int, int, int, int, int]]
     base: float
+    unseen: float  #: how often a whole sentence ends in a word that stands nowhere else (Good and Turing's estimate)
 
     def share(self, word: str, before: str) -> float:
         """The share of the uses of ``word`` that end a sentence. Of words hardly seen, names end one where names do, and a fragment in lower case never does."""
         word = read(word)
         if len(word) == 1 and word not in "aAI":
             return 0.0
-        used, ends, _, _ = self.counts.get(word.lower(), (0, 0, 0, 0))
+        used, ends, *_ = self.counts.get(word.lower(), (0, 0, 0, 0, 0))
         name = word[:1].isupper()
         usual = self.after(before) if name else 0.0
         share = (ends + HELD_BACK * usual) / (used + HELD_BACK)
@@ -83,7 +87,7 @@ class Endings:
 
     def after(self, before: str) -> float:
         """The share of the words after ``before`` that end a sentence."""
-        _, _, used, ends = self.counts.get(before.lower(), (0, 0, 0, 0))
+        _, _, used, ends, _ = self.counts.get(before.lower(), (0, 0, 0, 0, 0))
         return (ends + HELD_BACK * self.base) / (used + HELD_BACK)
 
 
@@ -95,27 +99,30 @@ def plain(text: str) -> str:
 
 
 def ending_counts(*texts: DataFrame) -> DataFrame:
-    """(word, used, ends, next_used, next_ends): exact counts over every text of one-column frames, a row for each word. The last word of each text is left out, since it is what is judged."""
+    """(word, used, ends, next_used, next_ends, last): exact counts over every text of one-column frames, a row for each word. The last word of each text counts only as that, since it is what is judged."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: tuple[Counter, ...] = tuple(Counter() for _ in range(4))
+        total: tuple[Counter, ...] = tuple(Counter() for _ in range(5))
 
         def held() -> pa.RecordBatch:
-            words = list(total[0].keys() | total[2].keys())
+            words = list(total[0].keys() | total[2].keys() | total[4].keys())
             columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in total)]
             for c in total:
                 c.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "used", "ends", "next_used", "next_ends"])
+            return pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS])
 
         for batch in batches:
             words: list[str] = []
             for text in batch.column(0).to_pylist():
                 if text and "|" not in text:
                     words += _tokens.findall(_soft.sub("", plain(text)).lower())
+                    mark = ""
                     while words and words[-1][:1] in ".!?…" and words[-1]:
-                        words.pop()
+                        mark = words.pop()
+                    if words and words[-1] and mark in TERMINATED:
+                        total[4][words[-1]] += 1
                     words.append("")  # what follows the last word isn't known
-            for used, ends, pairs in ((*total[:2], zip(words, words[1:])), (*total[2:], zip(words, words[2:]))):
+            for used, ends, pairs in ((*total[:2], zip(words, words[1:])), (*total[2:4], zip(words, words[2:]))):
                 for (a, b), n in Counter(pairs).items():
                     if a and b and a[0] not in ".!?…":
                         used[a] += n
@@ -125,14 +132,20 @@ def ending_counts(*texts: DataFrame) -> DataFrame:
                 yield held()
         yield held()
 
-    parts = [df.mapInArrow(counted, "word string, used bigint, ends bigint, next_used bigint, next_ends bigint") for df in texts]
-    return reduce(DataFrame.unionByName, parts).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("used", "ends", "next_used", "next_ends")))
+    parts = [df.mapInArrow(counted, "word string, " + ", ".join(f"{c} bigint" for c in COUNTS)) for df in texts]
+    return reduce(DataFrame.unionByName, parts).groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def endings_model(*texts: DataFrame) -> Endings:
     """The counts of a small corpus in one object."""
     counts = {word: tuple(counts) for word, *counts in ending_counts(*texts).toLocalIterator()}
-    return Endings(counts, sum(c[1] for c in counts.values()) / max(1, sum(c[0] for c in counts.values())))
+    used, ends, once = (sum(x) for x in zip((0, 0, 0), *((c[0], c[1], c[0] == c[1] == 1) for c in counts.values())))
+    return Endings(counts, *rates(used, ends, once))
+
+
+def rates(used: int, ends: int, once: int) -> tuple[float, float]:
+    """The share of all uses of words that end a sentence, and the share of such ends at a word that stands nowhere else, of which there were ``once``."""
+    return ends / max(1, used), (once + 1) / (ends + 1)
 
 
 def left_open(text: str) -> str:
@@ -176,10 +189,13 @@ def broken(text: str) -> bool:
 
 
 def last_words(why: str, without: str, body: str) -> tuple[str, str, str]:
-    """``why`` with the last word of ``body`` and the word before it; ``without`` if there is none."""
+    """``why`` with the last word of ``body`` and the word before it; ``without`` if there is none. Before a mark that ends sentences any word of a text without capitals may be a name, and is given one."""
     last = at_end(_last, body)
-    before = at_end(_before, body) if last else None
-    return (why, last[1], before[1] if before else "") if last else (without, "", "")
+    if not last:
+        return without, "", ""
+    before = at_end(_before, body)
+    word = last[1].capitalize() if why == "unended?" and last[1].islower() and body == body.lower() else last[1]
+    return why, word, before[1] if before else ""
 
 
 def question(text: str | None) -> tuple[str, str, str]:
@@ -224,12 +240,15 @@ def answer(asked: str, word: str, before: str, model: Endings) -> str:
 
     Words that end sentences so seldom, against the share of all words, that the odds pass from the prior's to a cut.
     """
+    odds = PRIOR[asked] / (1 - PRIOR[asked])
     share = model.share(word, before)
-    if asked == "unended?":  # a whole text may end in a word never seen there, if others stand there
-        used, ends, _, _ = model.counts.get(read(word).lower(), (0, 0, 0, 0))
+    if asked == "unended?":
+        used, ends, _, _, last = model.counts.get(read(word).lower(), (0, 0, 0, 0, 0))
+        if not used and last <= HELD_BACK:  # a fragment, if need be with its copies, or a word that the corpus hardly holds
+            return ANSWERS[asked] if model.unseen < FRAGMENT * odds else ""
+        # a whole text may end in a word never seen there, if others stand there
         share = (ends + HELD_BACK * model.after(before)) / (used + HELD_BACK) if used else 1.0
-    prior = PRIOR[asked]
-    return ANSWERS[asked] if share < model.base * prior / (1 - prior) else ""
+    return ANSWERS[asked] if share < model.base * odds else ""
 
 
 ANSWERS = {"omitted?": "omitted", "bare?": "unterminated", "unended?": "unended"}
@@ -278,8 +297,8 @@ def habits(asked: DataFrame, baseline: float = BASELINE) -> DataFrame:
 
 def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
     """(why, word, before, found) of the distinct questions whose answer is a cut: each question meets the counts of its own two words."""
-    sums = counts.agg(F.sum("used").alias("used"), F.sum("ends").alias("ends")).first()
-    base = (sums.ends or 0) / max(1, sums.used or 0)
+    sums = counts.agg(F.sum("used").alias("used"), F.sum("ends").alias("ends"), F.count_if((F.col("used") == 1) & (F.col("ends") == 1)).alias("once")).first()
+    held = rates(sums.used or 0, sums.ends or 0, sums.once)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,16 +309,17 @@ def answers(pending: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                model = Endings({r["k"]: (r["used"], r["ends"], 0, 0)}, base)
+                model = Endings({r["k"]: (r["used"], r["ends"], 0, 0, r["last"])}, *held)
                 own = model.counts[r["k"]]
-                model.counts[r["j"]] = (*(own[:2] if r["j"] == r["k"] else (0, 0)), r["next_used"], r["next_ends"])
+                same = r["j"] == r["k"]
+                model.counts[r["j"]] = (*(own[:2] if same else (0, 0)), r["next_used"], r["next_ends"], own[4] if same else 0)
                 out.append(answer(r["why"], r["word"], r["before"], model))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], names=["why", "word", "before", "found"])
 
     asked = pending.select("why", "word", "before").distinct().mapInArrow(keyed, "why string, word string, before string, k string, j string")
-    ends, after = counts.select(F.col("word").alias("k"), "used", "ends"), counts.select(F.col("word").alias("j"), "next_used", "next_ends")
-    met = asked.join(ends, "k", "left").join(after, "j", "left").fillna(0, ["used", "ends", "next_used", "next_ends"])
-    return met.select("why", "word", "before", "k", "j", "used", "ends", "next_used", "next_ends").mapInArrow(tell, "why string, word string, before string, found string").filter("found <> ''")
+    ends, after = counts.select(F.col("word").alias("k"), "used", "ends", "last"), counts.select(F.col("word").alias("j"), "next_used", "next_ends")
+    met = asked.join(ends, "k", "left").join(after, "j", "left").fillna(0, list(COUNTS))
+    return met.select("why", "word", "before", "k", "j", *COUNTS).mapInArrow(tell, "why string, word string, before string, found string").filter("found <> ''")
 
 
 def cut_records(tables: dict[str, tuple[DataFrame, str, str, str]], baseline: float = BASELINE) -> tuple[DataFrame, DataFrame]:

@@ -125,6 +125,8 @@ def test_cut_whatever_mark_follows(spark):
     for mark in (".", "!", "?", "…", " …", "...", "[…]", ".”"):
         assert cutoff.evidence(f"Nobody sold the lamp and the{mark}", model), mark
         assert not cutoff.evidence(f"Nobody sold the lamp and the kettle{mark}", model) or mark == "[…]"
+        assert cutoff.evidence(f"Nobody sold the lamp and the kett{mark}", model), mark
+    assert not cutoff.evidence("nobody sold the lamp to zoë.", model)  # without capitals any word may be a name
 
 
 def test_words_are_counted_exactly(spark, monkeypatch):
