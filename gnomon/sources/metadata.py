@@ -9,12 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Terms that tell literature, and the words of rights.
+# Terms that tell literature and what is none, classes of a library that are literary, labels of shelves that tell nothing, and the words of rights.
 PUBLIC = "public domain in the usa."
-LITERARY_CLASSES = ("PN", "PQ", "PR", "PS", "PT", "PZ")
-LITERARY_TERMS = ("fiction", "drama", "poetry", "short stories", "novel", "adventure stories", "detective", "fairy tales", "literature")
-OTHER_TERMS = ("dictionar", "encyclop", "periodical", "catalog", "statutes", "treaties", "cookbook", "textbook", "manual", "bible", "sermon", "sheet music")
-OTHER_TITLES = re.compile(r"\b(?:dictionary|encyclop(?:a|ae)dia|catalog(?:ue)?|bibliography|gazette|statute|constitution|treaty|timetable|bible|commentar(?:y|ies)|index|testimony|memorandum|calendar)\b|\bv\.\s", re.I)
+LITERARY_TERMS = tuple("adventure stories;autobiographies;biographical fiction;children's literature;children's stories;drama;fairy tales;fiction;historical fiction;legends;literature;memoirs;novel;plays;romance fiction;short stories;travel".split(";"))
+LITERARY_SHELVES = tuple("adventure;children;fiction;literature;plays;school stories;short stories".split(";"))
+OTHER_TERMS = tuple("almanacs;bibliography;bible;catalogs;congresses;dictionaries;directories;encyclopedias;guidebooks;handbooks;history and criticism;indexes;law;legislation;manuals;meteorology;parliament;periodicals;railroad travel;railroad company;sermons;statistics;technical manuals;theology".split(";"))
+LITERARY_CLASSES = tuple("PZ PR PS PN PG PH PJ PK PL PM PQ PT".split())
+EMPTY_SHELVES = ("nobel prizes in literature", "children's history", "children's instructional books")
+LITERARY_SUBJECT = r"(?i)\b(?:fiction|drama|poetry|literature|short stories|fairy tales|legends?)\b"
+OTHER_TITLES = re.compile(
+    r"\b(?:dictionary|encyclop(?:a|ae)dia|catalog(?:ue)?|bibliography|gazette|statute|public law|constitution|executive order|treaty|schedule|timetable|parliamentary debates?|congressional record|bible|commentar(?:y|ies)|index|summa theologica|doctrine|confession of faith"
+    r"|legal opinion|trial judgment|commission report|accident report|investigation|verdict|court|case law|research paper|transcribed interview|testimony|memorandum|calendar|guide book)\b|\bv\.\s",
+    re.I,
+)
+NO_TEXT, OTHER_KIND = -1000.0, -500.0
 LAST_PUBLIC_YEAR = 1930
 # Fixed values end.
 
@@ -35,13 +43,23 @@ def literary_terms(text: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
 
 
-def literary_score(title: Column, subjects: Column, shelves: Column, classes: Column) -> Column:
-    """-500 if anything speaks of another kind of book; else 45 for each literary term, 25 for each literary shelf and for a literary class, 100 at most."""
-    about = F.concat_ws("; ", title, subjects, shelves)
-    shelf = literary_terms(shelves, ("fiction", "poetry", "plays", "children's literature", "classics"))
-    literary = F.exists(F.transform(F.split(F.upper(F.coalesce(classes, F.lit(""))), "[;,]"), lambda x: F.trim(x)), lambda c: F.substring(c, 1, 2).isin(*LITERARY_CLASSES))
-    points = 45.0 * F.size(literary_terms(about, LITERARY_TERMS)) + 25.0 * F.size(shelf) + F.when(literary, 25.0).otherwise(0.0)
-    return F.when(F.size(literary_terms(about, OTHER_TERMS)) > 0, -500.0).otherwise(F.least(F.lit(100.0), points))
+def literary_score(title: Column, subjects: Column, shelves: Column, classes: Column, authors: Column | None = None, kind: Column | None = None, language: Column | None = None) -> Column:
+    """How literary a catalog calls a work: 45 for each literary term, 25 for each literary shelf and for a literary class, 100 at most; -500 if any term, also of the authors, speaks of another kind of book, or the shelf is one of science without literature or travel; -1000 if its kind isn't text or its language not English, where these are given."""
+    bare = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    shelf = bare(shelves)
+    for label in EMPTY_SHELVES:
+        shelf = F.replace(shelf, F.lit(label), F.lit(""))
+    about = F.concat_ws("; ", title, subjects, shelf)
+    other = F.size(literary_terms(F.concat_ws("; ", about, authors if authors is not None else F.lit("")), OTHER_TERMS)) > 0
+    literary = F.exists(F.transform(F.split(F.upper(F.coalesce(classes, F.lit(""))), "[;,]"), lambda c: F.trim(c)), lambda c: F.substring(c, 1, 2).isin(*LITERARY_CLASSES))
+    science = F.contains(shelf, F.lit("category: science -")) & ~F.contains(shelf, F.lit("travel writing")) & ~literary & ~F.coalesce(subjects, F.lit("")).rlike(LITERARY_SUBJECT)
+    points = 45.0 * F.size(literary_terms(about, LITERARY_TERMS)) + 25.0 * F.size(literary_terms(shelf, LITERARY_SHELVES)) + F.when(literary, 25.0).otherwise(0.0)
+    no_text = F.lit(False)
+    if kind is not None:
+        no_text = no_text | (bare(kind) != "text")
+    if language is not None:
+        no_text = no_text | ~is_english(language)
+    return F.when(no_text, NO_TEXT).when(science | other, OTHER_KIND).otherwise(F.least(F.lit(100.0), points))
 
 
 def is_literary_title(title: Column) -> Column:
@@ -107,4 +125,4 @@ def catalog_index(catalog: DataFrame, rights: DataFrame) -> DataFrame:
     """The rows of a catalog (text, title, language, subjects, locc, bookshelves) with their rights and what follows from both: public, english, literary_score. A book without rights is not public; of several the last in order counts."""
     one = rights.groupBy(F.col("book").alias("text")).agg(F.max("rights").alias("rights"))
     judged = catalog.join(one, "text", "left")
-    return judged.withColumns({"public": is_public(F.col("rights")), "english": is_english(F.col("language")), "literary_score": literary_score(F.col("title"), F.col("subjects"), F.col("bookshelves"), F.col("locc"))})
+    return judged.withColumns({"public": is_public(F.col("rights")), "english": is_english(F.col("language")), "literary_score": literary_score(*(F.col(c) for c in ("title", "subjects", "bookshelves", "locc")), *(F.col(c) if c in catalog.columns else None for c in ("authors", "type", "language")))})

@@ -9,13 +9,31 @@ from gnomon.sources import metadata as M
 
 def test_catalog_columns(spark):
     rows = spark.createDataFrame(
-        [("Public domain in  the USA.", "en", "A Novel", "Fiction", "", "PR"), ("Copyrighted", "en; fr", "A Dictionary", None, None, None), (None, None, None, None, None, None)],
+        [("Public domain in  the USA.", "en", "A Novel", "Fiction", "", "PR"), ("Copyrighted", "en; fr", "A Dictionary", "Dictionaries", None, None), (None, None, None, None, None, None)],
         "rights string, lang string, title string, subjects string, shelves string, classes string",
     )
     found = rows.select(M.is_public(F.col("rights")), M.is_english(F.col("lang")), M.literary_score(*(F.col(c) for c in ("title", "subjects", "shelves", "classes"))), M.is_literary_title(F.col("title"))).collect()
     assert [tuple(r) for r in found] == [(True, True, 100.0, True), (False, False, -500.0, False), (False, False, 0.0, None)]
 
 
+def test_literary_scores(spark):
+    cases = [
+        ("Tales", "Short stories", "Children's Literature", "", "", "Text", "en", 100.0),  # two terms and two shelves
+        ("Poems", "", "Nobel Prizes in Literature", "", "", "Text", "en", 0.0),  # a shelf that tells nothing
+        ("Of Stars", "", "Category: Science - Astronomy", "QB", "", "Text", "en", -500.0),
+        ("Of Stars", "Fiction", "Category: Science - Astronomy", "QB", "", "Text", "en", 45.0),
+        ("A Voyage", "", "Category: Science - Travel Writing", "", "", "Text", "en", 45.0),
+        ("Novel", "", "", "PZ", "Society for Theology", "Text", "en", -500.0),
+        ("Novel", "", "", "PZ", "", "Sound", "en", -1000.0),
+        ("Novel", "", "", "PZ", "", "Text", "en; de", -1000.0),
+        (None, None, None, None, None, None, None, -1000.0),
+    ]
+    names = "title subjects shelves classes authors kind language"
+    rows = spark.createDataFrame(cases, ", ".join(f"{n} string" for n in names.split()) + ", want double")
+    found = rows.select(M.literary_score(*(F.col(n) for n in names.split())).alias("s"), "want", "title").collect()
+    assert [(r.title, r.s) for r in found] == [(r.title, r.want) for r in found]
+
+
 def test_work():
     page = "{{header\n| title = [[A/B|The ''Clock'']]\n| author = {{x}} Ann Lee\n| year = c. 1901\n}}\n{{PD-US}}text"
     assert M.work_of(page) == ("The Clock", "Ann Lee", 1901, "PUBLIC_DOMAIN", True)
